@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from quillon.llm.chat import OP4_SQL, op4_chat_format
+from quillon.llm.decontaminate import op7_decontaminate
+from quillon.llm.line_dedup import OP2_SQL, op2_line_dedup
+from quillon.llm.media import op5_media_columns
+from quillon.llm.minhash import op10_minhash_near_dedup
+from quillon.llm.mixing import OP8_SQL, op8_mixing
+from quillon.llm.sharding import op6_sharding
 from quillon.llm.substring_dedup import op1_substring_dedup
 from quillon.llm.suffix_dedup import op9_suffix_dedup
+from quillon.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op4_chat_format": op4_chat_format,
+    "op5_media_columns": op5_media_columns,
+    "op6_sharding": op6_sharding,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op4_chat_format": OP4_SQL, "op8_mixing": OP8_SQL}
