@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from quillon.llm import textnp as tn
 from quillon.llm.frames import parts_for, total_bytes
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
+#: Text for each bucket, in groups.
+GROUPS_A_BUCKET = 4
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -65,8 +67,6 @@ class Group:
         docs = docs.take(pa.array(order))
         self.null = ids.is_null().to_numpy(zero_copy_only=False)[order]
         self.ids = keys[order]
-        #: Rank among the rows that carry the same id.
-        self.rank = np.arange(len(order)) - np.searchsorted(self.ids, self.ids, side="left")
         self.data, self.offsets = tn.binary_buffers(docs["text"])
 
 
@@ -91,8 +91,8 @@ class Chunk:
     values: np.ndarray
     #: First symbol of each document, and the end.
     start: np.ndarray
-    begin: np.ndarray | None
-    end: np.ndarray | None
+    begin: np.ndarray
+    end: np.ndarray
 
 
 def chunked(group: Group, spec: Spec):
@@ -104,7 +104,8 @@ def chunked(group: Group, spec: Spec):
             begin, end, start = tn.words(data, offsets)
             yield Chunk(low, high, data, tn.span_hashes(data, begin, end), start, begin, end)
         else:
-            yield Chunk(low, high, data, tn.byte_values(data), offsets, None, None)
+            places = np.arange(len(data) + 1)
+            yield Chunk(low, high, data, tn.byte_values(data), offsets, places[:-1], places[1:])
 
 
 def runs_of(chunk: Chunk, spec: Spec) -> Runs:
@@ -134,10 +135,24 @@ def runs_of(chunk: Chunk, spec: Spec) -> Runs:
     return Runs(windows[at], windows[last], anchor[at], grams[anchor[at]], document[at])
 
 
-ANCHORS = "bucket int, grp int, hashes array<long>, counts array<int>"
+ANCHORS = "bucket int, grp int, hashes binary, counts array<int>"
 SHARED = "grp int, shared array<long>, hot array<long>"
-SEGMENTS = "bucket int, grp int, texts binary, length array<int>, offset array<int>, hash array<long>, doc array<long>, rank array<int>, place array<int>, occurrences array<int>, auto_doc array<long>, auto_rank array<int>, auto_begin array<int>, auto_end array<int>"
-COVERED = "grp int, doc array<long>, rank array<int>, begin array<int>, end array<int>"
+SEGMENTS = "bucket int, grp int, strings binary, known binary"
+COVERED = "grp int, covered binary"
+
+#: Types of the arrays in SEGMENTS.strings, SEGMENTS.known and COVERED.covered.
+_STRINGS = (np.uint8, np.int32, np.int16, np.int32, np.int32, np.int64, np.int32, np.int32)
+_RANGES = (np.int32, np.int32, np.int32)
+_NAME_BYTES = 6
+
+
+def name_of(hashes: np.ndarray) -> np.ndarray:
+    """48 bits of an anchor's hash: enough to find out which occur once."""
+    return tn.mix(hashes) >> np.uint64(64 - 8 * _NAME_BYTES)
+
+
+def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
+    return (tn.mix(names) % np.uint64(buckets)).astype(np.int32)
 
 
 def split_by(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,18 +163,20 @@ def split_by(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def anchor_sender(spec: Spec, buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
-    """Step 1: a group's distinct anchor hashes and their counts, by bucket."""
+    """Step 1: a group's distinct anchors and their counts, by bucket."""
 
     def send(key: tuple, docs: pa.Table) -> pa.Table:
         group = Group(docs)
-        found = [runs_of(c, spec).hash for c in chunked(group, spec)]
-        hashes, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        order, kinds, sizes = split_by((hashes % np.uint64(buckets)).astype(np.int32))
+        found = [name_of(runs_of(c, spec).hash) for c in chunked(group, spec)]
+        names, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        order, kinds, sizes = split_by(bucket_of(names, buckets))
+        raw = np.ascontiguousarray(names[order]).view(np.uint8).reshape(-1, 8)[:, :_NAME_BYTES]
+        ends = np.cumsum(sizes)
         return pa.table(
             {
                 "bucket": pa.array(kinds, pa.int32()),
                 "grp": pa.array(np.full(len(kinds), key[0].as_py()), pa.int32()),
-                "hashes": tn.list_column(hashes[order].view(np.int64), sizes, pa.int64()),
+                "hashes": pa.array([raw[e - n : e].tobytes() for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)], pa.binary()),
                 "counts": tn.list_column(np.minimum(counts[order], 1 << 30).astype(np.int32), sizes, pa.int32()),
             }
         )
@@ -171,16 +188,16 @@ def anchor_counter(spec: Spec) -> Callable[[pa.Table], pa.Table]:
     """Step 2: which of a bucket's anchors occur at least twice, for each group that has them."""
 
     def count(rows: pa.Table) -> pa.Table:
-        hashes, sizes = tn.flat(rows["hashes"])
-        counts, _ = tn.flat(rows["counts"])
+        raw, _ = tn.binary_buffers(rows["hashes"])
+        names = np.zeros((len(raw) // _NAME_BYTES, 8), np.uint8)
+        names[:, :_NAME_BYTES] = raw.reshape(-1, _NAME_BYTES)
+        names = names.view(np.int64).ravel()
+        counts, sizes = tn.flat(rows["counts"])
         row = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.argsort(hashes, kind="stable")
-        new = np.empty(len(order), bool)
-        if len(order):
-            new[0] = True
-            np.not_equal(hashes[order][1:], hashes[order][:-1], out=new[1:])
-        at = np.flatnonzero(new)
-        total = np.add.reduceat(counts[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+        order = np.argsort(names, kind="stable")
+        ordered = names[order]
+        at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(order) else order
+        total = np.add.reduceat(counts[order].astype(np.int64), at) if len(at) else at
         total = np.repeat(total, np.diff(np.append(at, len(order))))
         keep = total >= 2
         picked, hot = order[keep], total[keep] >= spec.hot
@@ -190,162 +207,208 @@ def anchor_counter(spec: Spec) -> Callable[[pa.Table], pa.Table]:
         return pa.table(
             {
                 "grp": rows["grp"],
-                "shared": tn.list_column(hashes[picked[~hot]], np.bincount(row[picked[~hot]], minlength=n), pa.int64()),
-                "hot": tn.list_column(hashes[picked[hot]], np.bincount(row[picked[hot]], minlength=n), pa.int64()),
+                "shared": tn.list_column(names[picked[~hot]], np.bincount(row[picked[~hot]], minlength=n), pa.int64()),
+                "hot": tn.list_column(names[picked[hot]], np.bincount(row[picked[hot]], minlength=n), pa.int64()),
             }
         )
 
     return count
 
 
+@dataclass
+class Strings:
+    """Runs of a group whose anchor is shared, with their text."""
+
+    name: np.ndarray
+    #: Anchor's place in the run; -1 for a single window of a hot anchor.
+    offset: np.ndarray
+    content: np.ndarray
+    slot: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    at: np.ndarray
+    length: np.ndarray
+    data: np.ndarray
+    #: Ranges (slot, begin, end) of windows that start earlier in the chunk too.
+    known: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def merged(slot: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that start at neighbouring places as ranges of symbols."""
+    order = np.lexsort((place, slot))
+    slot, place = slot[order], place[order]
+    new = np.append(True, (slot[1:] != slot[:-1]) | (place[1:] != place[:-1] + 1))[: len(slot)]
+    at = np.flatnonzero(new)
+    stop = np.append(at[1:], len(slot)) - 1
+    return slot[at], place[at], place[stop] + window if len(at) else place[at]
+
+
+def single_windows(group: Group, spec: Spec, chunk: Chunk, data: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of hot anchors a chunk has to send (indices), and which of them start earlier too.
+
+    Equal windows of a chunk are sent with the places in their first document only.
+    """
+    content = tn.gram_hashes(chunk.values, spec.window)[starts]
+    order = np.lexsort((starts, content))
+    fresh = np.append(True, content[order][1:] != content[order][:-1])
+    head = order[fresh][np.cumsum(fresh) - 1]
+    at, size = begin[starts], end[starts + spec.window - 1] - begin[starts]
+    again = np.flatnonzero(~fresh)
+    if not tn.equal_spans(data, at[order[again]], size[order[again]], at[head[again]], size[head[again]]):
+        return np.arange(len(starts)), starts[:0]
+    stays = fresh if spec.within_document else group.ids[slots[order]] == group.ids[slots[head]]
+    return order[stays], order[~stays]
+
+
+def spaced(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a chunk, each followed by one space: bytes, starts and ends."""
+    size = chunk.end - chunk.begin
+    padded = np.append(chunk.data, np.uint8(32))
+    data = padded[tn.ranges(chunk.begin, size + 1)]
+    begin = np.cumsum(size + 1) - size - 1
+    data[begin + size] = 32
+    return data, begin, begin + size
+
+
+def strings_of(group: Group, spec: Spec, shared: np.ndarray, hot: np.ndarray) -> Strings:
+    """All strings of a group that a bucket has to see."""
+    parts, base, known = [], 0, []
+    for chunk in chunked(group, spec) if len(shared) or len(hot) else ():
+        runs = runs_of(chunk, spec)
+        name = name_of(runs.hash).view(np.int64)
+        take, one = np.flatnonzero(np.isin(name, shared)), np.flatnonzero(np.isin(name, hot))
+        if not len(take) and not len(one):
+            continue
+        data, begin, end = spaced(chunk) if spec.by_word else (chunk.data, chunk.begin, chunk.end)
+        times = (runs.last - runs.first + 1)[one]
+        single, owner = tn.ranges(runs.first[one], times), np.repeat(runs.document[one], times)
+        if len(single):
+            sent, earlier = single_windows(group, spec, chunk, data, begin, end, single, owner + chunk.low)
+            known.append(merged(owner[earlier] + chunk.low, single[earlier] - chunk.start[owner[earlier]], spec.window))
+            single, owner = single[sent], owner[sent]
+        first = np.concatenate([runs.first[take], single])
+        stop = np.concatenate([runs.last[take], single]) + spec.window
+        document = np.concatenate([runs.document[take], owner])
+        offset = np.concatenate([runs.anchor[take] - runs.first[take], np.full(len(single), -1)])
+        content = tn.value_span_hashes(chunk.values, first, stop)
+        names = np.concatenate([name[take], name_of(content[len(take) :]).view(np.int64)])
+        place = first - chunk.start[document]
+        at, size = begin[first], end[stop - 1] - begin[first]
+        raw = tn.take_spans(data, at, size)
+        parts.append((names, offset, content, document + chunk.low, place, place + (stop - first), base + np.cumsum(size) - size, size, raw))
+        base += len(raw)
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return Strings(none, none, none.view(np.uint64), none, none, none, none, none, none.astype(np.uint8), known)
+    return Strings(*[np.concatenate(x) for x in zip(*parts, strict=True)], known)
+
+
+def distinct(s: Strings) -> np.ndarray:
+    """A key for each string: equal anchors, places and bytes, equal key."""
+    key = tn.mix(s.content + tn.mix(s.name.view(np.uint64) * np.uint64(2) + (s.offset + 1).astype(np.uint64)))
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order][1:] == key[order][:-1]) + 1
+    left, right = order[same - 1], order[same]
+    equal = tn.equal_spans(s.data, s.at[left], s.length[left], s.at[right], s.length[right])
+    if equal:
+        return key
+    # two texts with one hash: key the strings by what they are
+    raw, known = s.data.tobytes(), {}
+    return np.array([known.setdefault((n, o, raw[a : a + z]), len(known)) for n, o, a, z in zip(s.name.tolist(), s.offset.tolist(), s.at.tolist(), s.length.tolist(), strict=True)], np.uint64)
+
+
 def segment_sender(spec: Spec, buckets: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-    """Step 3: the distinct strings of the runs whose anchor is shared, by bucket."""
+    """Step 3: the distinct strings of the runs whose anchor is shared, by bucket.
+
+    A string goes with its places in the group's first document that has it.  Its
+    windows are known to start earlier for all other places.
+    """
 
     def send(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
         group = Group(docs)
-        known, hot = np.sort(tn.flat(shared["shared"])[0]), np.sort(tn.flat(shared["hot"])[0])
-        texts: dict[tuple[int, int, bytes], int] = {}
-        # of each distinct string: bucket, hash, anchor's place, first document and its occurrences
-        rows: list[tuple[int, int, int, bytes]] = []
-        where: list[list[tuple[int, int, int, int]]] = []
-        for chunk in chunked(group, spec) if len(known) or len(hot) else ():
-            runs = runs_of(chunk, spec)
-            signed = runs.hash.view(np.int64)
-            is_hot = np.isin(signed, hot)
-            take = np.isin(signed, known)
-            size = runs.last - runs.first + 1
-            one = np.flatnonzero(is_hot)
-            single = tn.ranges(runs.first[one], size[one])
-            first = np.concatenate([runs.first[take], single])
-            last = np.concatenate([runs.last[take], single])
-            offset = np.concatenate([runs.anchor[take] - runs.first[take], np.full(len(single), -1)])
-            doc = np.concatenate([runs.document[take], np.repeat(runs.document[one], size[one])])
-            single_hash = tn.gram_hashes(chunk.values, spec.window)[single].view(np.int64) if len(single) else single
-            hashes = np.concatenate([signed[take], single_hash])
-            if spec.by_word:
-                begin, end = chunk.begin[first], chunk.end[last + spec.window - 1]
-            else:
-                begin, end = first, last + spec.window
-            raw = chunk.data.tobytes()
-            ids, ranks, start = group.ids[chunk.low : chunk.high], group.rank[chunk.low : chunk.high], chunk.start
-            for b, e, o, h, d, f, z in zip(begin.tolist(), end.tolist(), offset.tolist(), hashes.tolist(), doc.tolist(), first.tolist(), last.tolist(), strict=True):
-                text = raw[b:e] if not spec.by_word else b" ".join(raw[b:e].split())
-                at = texts.setdefault((h, o, text), len(rows))
-                if at == len(rows):
-                    rows.append((h, o, z - f + 1, text))
-                    where.append([])
-                where[at].append((int(ids[d]), int(ranks[d]), f - int(start[d]), z - int(start[d]) + spec.window))
-        return packed(key[0].as_py(), rows, where, spec, buckets)
+        s = strings_of(group, spec, np.sort(tn.flat(shared["shared"])[0]), np.sort(tn.flat(shared["hot"])[0]))
+        keys = distinct(s)
+        order = np.lexsort((s.begin, s.slot, keys))
+        fresh = np.append(True, keys[order][1:] != keys[order][:-1]) if len(order) else np.zeros(0, bool)
+        head = order[fresh]
+        string = np.cumsum(fresh) - 1
+        goes = fresh.copy() if spec.within_document else group.ids[s.slot[order]] == group.ids[s.slot[head]][string]
+        rest = order[~goes]
+        known = tn.pack(*(np.concatenate(x).astype(np.int32) for x in zip((s.slot[rest], s.begin[rest], s.end[rest]), *s.known, strict=True)))
+        spot, of = order[goes], string[goes]
+        where = bucket_of(s.name[head].view(np.uint64), buckets)
+        by, kinds, sizes = split_by(where)
+        turn = np.empty(len(by), np.int64)
+        turn[by] = np.arange(len(by))
+        again = np.argsort(turn[of], kind="stable")
+        spot, of = spot[again], turn[of][again]
+        cuts = np.append(0, np.cumsum(sizes))
+        spots = np.searchsorted(of, cuts)
+        head = head[by]
+        out = []
+        for a, b, x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), spots[:-1].tolist(), spots[1:].tolist(), strict=True):
+            mine, places = head[a:b], spot[x:y]
+            slots, inverse = np.unique(s.slot[places], return_inverse=True)
+            text = tn.take_spans(s.data, s.at[mine], s.length[mine])
+            out.append(tn.pack(text, s.length[mine].astype(np.int32), s.offset[mine].astype(np.int16), np.bincount(of[x:y] - a, minlength=b - a).astype(np.int32), slots.astype(np.int32), group.ids[slots], inverse.astype(np.int32), s.begin[places].astype(np.int32)))
+        kinds = kinds.tolist()
+        if len(rest) and not kinds:
+            raise AssertionError("a repeated string has a first place")
+        return pa.table(
+            {
+                "bucket": pa.array(kinds, pa.int32()),
+                "grp": pa.array([key[0].as_py()] * len(kinds), pa.int32()),
+                "strings": pa.array(out, pa.binary()),
+                "known": pa.array([known] * bool(kinds) + [None] * (len(kinds) - 1) if kinds else [], pa.binary()),
+            }
+        )
 
     return send
 
 
-def packed(grp: int, rows: list, where: list, spec: Spec, buckets: int) -> pa.Table:
-    """The rows of one group: strings and where they stand, and what is known to be covered."""
-    n = len(rows)
-    hashes = np.array([r[0] for r in rows], np.int64)
-    bucket = (mixed(hashes) % np.uint64(buckets)).astype(np.int32) if n else np.zeros(0, np.int32)
-    order, kinds, sizes = split_by(bucket)
-    texts, lengths, offsets, docs, ranks, places, occurrences = [], [], [], [], [], [], []
-    auto: list[list[tuple[int, int, int, int]]] = []
-    o = 0
-    for size in sizes.tolist():
-        mine, parts = [], []
-        for i in order[o : o + size].tolist():
-            spots = sorted(where[i])
-            least = spots[0]
-            same = [s for s in spots if s[0] == least[0]] if not spec.within_document else spots[:1]
-            mine += [s for s in spots if s[0] != least[0]] if not spec.within_document else spots[1:]
-            parts.append(rows[i][3])
-            lengths.append(len(rows[i][3]))
-            offsets.append(rows[i][1])
-            occurrences.append(len(same))
-            docs += [s[0] for s in same]
-            ranks += [s[1] for s in same]
-            places += [s[2] for s in same]
-        texts.append(b"".join(parts))
-        auto.append(mine)
-        o += size
-    counted = np.array(occurrences, np.int64)
-    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    spots_of = np.array([counted[a:b].sum() for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)
-    autos = np.array([len(x) for x in auto], np.int64)
-    column = lambda k: np.array([s[k] for x in auto for s in x], np.int64)
-    return pa.table(
-        {
-            "bucket": pa.array(kinds, pa.int32()),
-            "grp": pa.array(np.full(len(kinds), grp), pa.int32()),
-            "texts": pa.array(texts, pa.binary()),
-            "length": tn.list_column(np.array(lengths, np.int32), sizes, pa.int32()),
-            "offset": tn.list_column(np.array(offsets, np.int32), sizes, pa.int32()),
-            "hash": tn.list_column(hashes[order], sizes, pa.int64()),
-            "doc": tn.list_column(np.array(docs, np.int64), spots_of, pa.int64()),
-            "rank": tn.list_column(np.array(ranks, np.int32), spots_of, pa.int32()),
-            "place": tn.list_column(np.array(places, np.int32), spots_of, pa.int32()),
-            "occurrences": tn.list_column(counted.astype(np.int32), sizes, pa.int32()),
-            "auto_doc": tn.list_column(column(0), autos, pa.int64()),
-            "auto_rank": tn.list_column(column(1).astype(np.int32), autos, pa.int32()),
-            "auto_begin": tn.list_column(column(2).astype(np.int32), autos, pa.int32()),
-            "auto_end": tn.list_column(column(3).astype(np.int32), autos, pa.int32()),
-        }
-    )
-
-
-def mixed(hashes: np.ndarray) -> np.ndarray:
-    """Other bits than those that picked the minimum, which is small."""
-    return tn.mix(hashes.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
-
-
 @dataclass
 class Bucket:
-    """The strings of one bucket; `first` says where each string's occurrences begin."""
+    """The strings of one bucket; `first` says where each string's places begin."""
 
     data: np.ndarray
     begin: np.ndarray
     length: np.ndarray
     offset: np.ndarray
-    hash: np.ndarray
+    first: np.ndarray
+    #: Of each place: row of the bucket, slot in its group, document, place in it.
+    row: np.ndarray
+    slot: np.ndarray
     doc: np.ndarray
-    rank: np.ndarray
     place: np.ndarray
-    first: np.ndarray
-    group_row: np.ndarray
 
 
-def bucket_of(rows: pa.Table) -> Bucket:
-    """Unpack the rows that met in a bucket."""
-    data, _ = tn.binary_buffers(rows["texts"])
-    length, sizes = tn.flat(rows["length"])
-    offset, hashes = tn.flat(rows["offset"])[0], tn.flat(rows["hash"])[0]
-    doc, rank, place = (tn.flat(rows[c])[0] for c in ("doc", "rank", "place"))
-    counted = tn.flat(rows["occurrences"])[0].astype(np.int64)
+def unpacked(rows: pa.Table) -> Bucket:
+    """The rows that met in a bucket."""
+    parts = []
+    for i, packed in enumerate(rows["strings"].to_pylist()):
+        text, length, offset, times, slots, ids, inverse, place = tn.unpack(packed, *_STRINGS)
+        parts.append((text, length, offset, times, np.full(len(place), i), slots[inverse], ids[inverse], place))
+    text, length, offset, times, row, slot, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
     length = length.astype(np.int64)
-    return Bucket(data, np.cumsum(length) - length, length, offset.astype(np.int64), hashes, doc, rank, place, np.append(0, np.cumsum(counted)), np.repeat(np.arange(len(sizes)), sizes))
+    return Bucket(text, np.cumsum(length) - length, length, offset.astype(np.int64), np.append(0, np.cumsum(times)).astype(np.int64), row, slot, doc, place.astype(np.int64))
 
 
 def covered_rows(rows: pa.Table, bucket: Bucket, spot: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Table:
-    """Covered ranges by group: those found (for occurrence `spot`) and those known before."""
-    string = np.searchsorted(bucket.first, spot, side="right") - 1
-    row = bucket.group_row[string] if len(spot) else np.zeros(0, np.int64)
+    """Covered ranges by group: those found (for place `spot`) and those known before."""
+    row = bucket.row[spot]
     order = np.argsort(row, kind="stable")
-    n = rows.num_rows
-    sizes = np.bincount(row, minlength=n) if len(row) else np.zeros(n, np.int64)
-    found = {
-        "grp": rows["grp"].combine_chunks(),
-        "doc": tn.list_column(bucket.doc[spot][order], sizes, pa.int64()),
-        "rank": tn.list_column(bucket.rank[spot][order].astype(np.int32), sizes, pa.int32()),
-        "begin": tn.list_column(begin[order].astype(np.int32), sizes, pa.int32()),
-        "end": tn.list_column(end[order].astype(np.int32), sizes, pa.int32()),
-    }
-    known = {"grp": rows["grp"], **{c: rows[f"auto_{c}"] for c in ("doc", "rank", "begin", "end")}}
-    types = pa.schema([("grp", pa.int32()), ("doc", pa.list_(pa.int64())), ("rank", pa.list_(pa.int32())), ("begin", pa.list_(pa.int32())), ("end", pa.list_(pa.int32()))])
-    return pa.concat_tables([pa.table(found).cast(types), pa.table(known).cast(types)])
+    cuts = np.searchsorted(row[order], np.arange(rows.num_rows + 1))
+    slot, begin, end = (x[order].astype(np.int32) for x in (bucket.slot[spot], begin, end))
+    groups, known = rows["grp"].to_pylist(), rows["known"].to_pylist()
+    found = [(g, tn.pack(slot[a:b], begin[a:b], end[a:b])) for g, a, b in zip(groups, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a]
+    found += [(g, k) for g, k in zip(groups, known, strict=True) if k is not None]
+    return pa.table({"grp": pa.array([g for g, _ in found], pa.int32()), "covered": pa.array([c for _, c in found], pa.binary())})
 
 
 def masks(group: Group, covered: pa.Table, spec: Spec):
     """Step 5: each chunk of a group with the mask of its covered symbols."""
-    doc, rank, begin, end = (tn.flat(covered[c])[0] for c in ("doc", "rank", "begin", "end"))
-    slot = np.searchsorted(group.ids, doc, side="left") + rank if len(doc) else np.zeros(0, np.int64)
+    parts = [tn.unpack(c, *_RANGES) for c in covered["covered"].to_pylist()]
+    slot, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 3
     order = np.argsort(slot, kind="stable")
     slot, begin, end = slot[order], begin[order], end[order]
     for chunk in chunked(group, spec):
@@ -362,11 +425,12 @@ def sha256(data: bytes) -> str:
 
 def repeated_windows(docs: DataFrame, spec: Spec, decide: Callable[[pa.Table], pa.Table], finish: Callable[[tuple, pa.Table, pa.Table], pa.Table], schema: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Run the five steps; `decide` is a bucket's work, `finish` makes a group's result rows."""
-    groups = parts_for(total_bytes(docs), group_bytes)
+    size = total_bytes(docs)
+    groups, buckets = parts_for(size, group_bytes), parts_for(size, group_bytes * GROUPS_A_BUCKET)
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     by_group = dealt.groupBy("grp")
-    anchors = by_group.applyInArrow(anchor_sender(spec, groups), ANCHORS)
+    anchors = by_group.applyInArrow(anchor_sender(spec, buckets), ANCHORS)
     shared = anchors.groupBy("bucket").applyInArrow(anchor_counter(spec), SHARED)
-    segments = by_group.cogroup(shared.groupBy("grp")).applyInArrow(segment_sender(spec, groups), SEGMENTS)
+    segments = by_group.cogroup(shared.groupBy("grp")).applyInArrow(segment_sender(spec, buckets), SEGMENTS)
     covered = segments.groupBy("bucket").applyInArrow(decide, COVERED)
     return by_group.cogroup(covered.groupBy("grp")).applyInArrow(finish, schema)

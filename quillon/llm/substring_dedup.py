@@ -59,25 +59,18 @@ def decide(spec: an.Spec):
     """A bucket's windows, sorted: each but the first of equal ones starts earlier elsewhere."""
 
     def run(rows: pa.Table) -> pa.Table:
-        b = an.bucket_of(rows)
+        b = an.unpacked(rows)
         ids, start = word_ids(b.data, b.begin, b.length)
         count = np.diff(start) - spec.window + 1
         at = tn.ranges(start[:-1], count)
-        string = np.repeat(np.arange(len(count)), count)
-        within = at - start[:-1][string]
-        # one occurrence each: the earliest of its group
-        spot = b.first[:-1][string]
-        place = np.lexsort((b.place, b.rank, b.doc))
-        turn = np.empty(len(place), np.int64)
-        turn[place] = np.arange(len(place))
-        # strings of one document may overlap: their order is that of the window's own start
-        near = np.lexsort((within + b.place[spot], b.rank[spot], b.doc[spot]))
+        spot = np.repeat(b.first[:-1], count)
+        begin = b.place[spot] + at - np.repeat(start[:-1], count)
+        near = np.lexsort((begin, b.slot[spot], b.doc[spot]))
         tie = np.empty(len(near), np.int64)
         tie[near] = np.arange(len(near))
         order, new = equal_windows(ids, at, spec.window, tie)
         hit = np.sort(order[~new])
-        begin = b.place[spot[hit]].astype(np.int64) + within[hit]
-        return an.covered_rows(rows, b, spot[hit], begin, begin + spec.window)
+        return an.covered_rows(rows, b, spot[hit], begin[hit], begin[hit] + spec.window)
 
     return run
 

@@ -92,13 +92,14 @@ def decide(spec: an.Spec):
     """A bucket's strings, column by column; the covered windows of every occurrence."""
 
     def run(rows: pa.Table) -> pa.Table:
-        b = an.bucket_of(rows)
+        b = an.unpacked(rows)
         owner = b.doc[b.first[:-1]]
         # single windows of hot anchors (offset -1) are aligned at their start
         alone = b.offset < 0
         offset = np.where(alone, 0, b.offset)
-        _, group = np.unique(np.stack([b.hash, alone.astype(np.int64)]), axis=1, return_inverse=True) if alone.any() else np.unique(b.hash, return_inverse=True)
-        group = group.ravel()
+        size = np.where(alone, spec.window, spec.gram)
+        anchor = tn.value_span_hashes(tn.byte_values(b.data), b.begin + offset, b.begin + offset + size)
+        group = np.unique(anchor, return_inverse=True)[1].ravel()
         # a group of one string, or of one document, has nothing to compare
         least = np.full(int(group.max()) + 1 if len(group) else 0, an.NO_ID)
         np.minimum.at(least, group, owner)
@@ -120,7 +121,7 @@ def decide(spec: an.Spec):
         # to every occurrence of the string in its document
         times = np.diff(b.first)[s]
         spot = tn.ranges(b.first[:-1][s], times)
-        base = b.place[spot].astype(np.int64)
+        base = b.place[spot]
         return an.covered_rows(rows, b, spot, base + np.repeat(first, times), base + np.repeat(last, times) + spec.window)
 
     return run

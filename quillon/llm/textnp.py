@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 CHUNK_BYTES = 1 << 19
 
@@ -106,6 +107,14 @@ def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
 
 
+def value_span_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of values[b:e] for each span."""
+    p, inverse = powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * p[:-1], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+
+
 def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     """The hash of each k consecutive 64-bit values."""
     n = len(values) - k + 1
@@ -141,9 +150,37 @@ def ranges(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return shift + np.arange(total)
 
 
-def as_list(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """One list cell that holds all the values."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+_SPANS = 1 << 14
+
+
+def take_spans(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """data[b:b+n] of each span, laid end to end; in blocks, so that the index stays small."""
+    parts = [data[ranges(begin[i : i + _SPANS], length[i : i + _SPANS])] for i in range(0, len(begin), _SPANS)]
+    return np.concatenate(parts) if parts else data[:0]
+
+
+def equal_spans(data: np.ndarray, left: np.ndarray, left_length: np.ndarray, right: np.ndarray, right_length: np.ndarray) -> bool:
+    """Whether each left span has the bytes of its right span."""
+    if not np.array_equal(left_length, right_length):
+        return False
+    return all(np.array_equal(data[ranges(left[i : i + _SPANS], left_length[i : i + _SPANS])], data[ranges(right[i : i + _SPANS], left_length[i : i + _SPANS])]) for i in range(0, len(left), _SPANS))
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed string; `unpack` needs their types."""
+    sizes = np.array([len(a) for a in arrays], np.int64)
+    return zstandard.compress(b"".join([sizes.tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]), 1)
+
+
+def unpack(packed: bytes, *types: type) -> list[np.ndarray]:
+    """The arrays of a packed string."""
+    raw = zstandard.decompress(packed)
+    sizes = np.frombuffer(raw, np.int64, len(types))
+    out, at = [], 8 * len(types)
+    for size, kind in zip(sizes.tolist(), types, strict=True):
+        out.append(np.frombuffer(raw, kind, size, at))
+        at += size * np.dtype(kind).itemsize
+    return out
 
 
 def list_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
