@@ -23,8 +23,12 @@ from quillon.llm import textnp as tn
 from quillon.llm.frames import cut, table
 
 BITS = 22
-SHARDS = 6
 ROUNDS = 3
+#: Most shards, and documents that a shard has at least if there are so many.
+SHARDS = 6
+SHARD_ROWS = 2000
+#: Of so many parts of the sample one is kept from training, to place the bias.
+PARTS = 5
 
 
 @dataclass(frozen=True)
@@ -104,7 +108,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 24_000, rounds:
     """Fit on at most about `train_rows` labelled rows, picked by a hash of their id.
 
     Rows that `held_out` marks, and labels that are null, are left out; of several
-    labels of one document the largest counts.
+    labels of one document the largest counts.  L1 shrinks the weights and with
+    them the scores of the rarer class, so the bias is placed afterwards, where
+    it parts the classes best on a fifth of the sample that no shard has seen.
     """
     marked = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = marked.count()
@@ -112,16 +118,40 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 24_000, rounds:
     turn = F.xxhash64("doc_id", F.lit(11))
     picked = marked.withColumn("turn", turn).filter(F.pmod("turn", F.lit(1_000_000)) < int(share * 1_000_000))
     texts = docs.filter(~held_out()).select("doc_id", "text").join(picked, "doc_id")
-    sample = cut(texts.select(F.pmod("turn", F.lit(SHARDS)).cast("int").alias("shard"), "turn", "toxic", "text"))
+    shards = max(1, min(SHARDS, int(known * share) // SHARD_ROWS))
+    part = F.pmod(F.xxhash64("turn"), F.lit(PARTS * shards)).cast("int")
+    sample = cut(texts.select(part.alias("part"), "turn", "toxic", "text"))
+    seen, unseen = sample.filter(F.col("part") >= shards).withColumn("shard", F.col("part") % shards), sample.filter(F.col("part") < shards)
     state = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     for _ in range(rounds):
-        shards = sample.groupBy("shard").applyInArrow(_trainer(settings, state), "idx long, z double, n double")
-        merged = shards.groupBy("idx").agg(F.avg("z").alias("z"), F.avg("n").alias("n"), F.count("*").alias("votes")).filter(F.col("votes") * 2 >= SHARDS).orderBy("idx").toPandas()
+        passed = seen.select("shard", "turn", "toxic", "text").groupBy("shard").applyInArrow(_trainer(settings, state), "idx long, z double, n double")
+        merged = passed.groupBy("idx").agg(F.avg("z").alias("z"), F.avg("n").alias("n"), F.count("*").alias("votes")).filter(F.col("votes") * 2 >= shards).orderBy("idx").toPandas()
         state = (merged["idx"].to_numpy(np.int64), merged["z"].to_numpy(np.float64), merged["n"].to_numpy(np.float64))
     index, z, n = state
     on = np.abs(z) > settings.l1
     weight = (np.sign(z) * settings.l1 - z) / ((settings.beta + np.sqrt(n)) / settings.alpha + settings.l2)
-    return Model(index[on], weight[on].astype(np.float32))
+    model = Model(index[on], weight[on].astype(np.float32))
+    rated = score(unseen.select("toxic", "text"), model).select("score", "toxic").toPandas()
+    return with_bias(model, best_cut(rated["score"].to_numpy(np.float64), rated["toxic"].to_numpy() > 0))
+
+
+def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
+    """The log-odds that part the classes with the fewest errors; the middle of them if several do."""
+    if not toxic.any() or toxic.all():
+        return 0.0
+    odds = np.log(p) - np.log1p(-p)
+    levels = np.unique(odds)
+    misses = np.searchsorted(np.sort(odds[toxic]), levels, side="left") + (~toxic).sum() - np.searchsorted(np.sort(odds[~toxic]), levels, side="left")
+    best = np.flatnonzero(misses == misses.min())
+    low = best[len(best) // 2]
+    return float((levels[low] + levels[low - 1]) / 2) if low else float(levels[0])
+
+
+def with_bias(model: Model, shift: float) -> Model:
+    """The model with its bias lowered by `shift`."""
+    plain = model.index < 1 << BITS
+    bias = float(model.weight[~plain].sum()) - shift
+    return Model(np.append(model.index[plain], 1 << BITS), np.append(model.weight[plain], np.float32(bias)))
 
 
 def scores(data: np.ndarray, offsets: np.ndarray, dense: np.ndarray) -> np.ndarray:
