@@ -135,13 +135,17 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 24_000, rounds:
     return with_bias(model, best_cut(rated["score"].to_numpy(np.float64), rated["toxic"].to_numpy() > 0))
 
 
-def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
-    """The log-odds that part the classes with the fewest errors; the middle of them if several do."""
+def best_cut(p: np.ndarray, toxic: np.ndarray, alarm_cost: float = 3.0) -> float:
+    """The log-odds that part the classes best; the middle of them if several do.
+
+    A clean document that is rejected counts as `alarm_cost` toxic ones that pass.
+    """
     if not toxic.any() or toxic.all():
         return 0.0
     odds = np.log(p) - np.log1p(-p)
     levels = np.unique(odds)
-    misses = np.searchsorted(np.sort(odds[toxic]), levels, side="left") + (~toxic).sum() - np.searchsorted(np.sort(odds[~toxic]), levels, side="left")
+    alarms = (~toxic).sum() - np.searchsorted(np.sort(odds[~toxic]), levels, side="left")
+    misses = np.searchsorted(np.sort(odds[toxic]), levels, side="left") + alarm_cost * alarms
     best = np.flatnonzero(misses == misses.min())
     low = best[len(best) // 2]
     return float((levels[low] + levels[low - 1]) / 2) if low else float(levels[0])
