@@ -161,64 +161,57 @@ def scan(index: Index, data: np.ndarray, offsets: np.ndarray, shingle: int, perc
     return found
 
 
-FOUND = "doc_id long, item_ids array<long>, similarities array<double>"
+NEW = ["contaminated", "n_items", "item_ids", "similarity"]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Benchmark items that each document holds, wholly or nearly.
+    """Adds the benchmark items that each document holds, wholly or nearly.
 
     Words are runs of letters and digits, A-Z lowered.  A document holds an item
     if some window of the item's length in words (the whole document if it is
     shorter) has a weighted Jaccard similarity of `percent` / 100 with the item,
     on shingles of `shingle` words (shorter items: the whole item).
 
-    ``docs`` needs ``doc_id`` and ``text``, ``benchmark`` needs ``item_id`` and
-    ``text``; other columns are ignored.  A benchmark larger than `block_bytes`
-    is broadcast in blocks, each of which reads the documents once.
+    ``docs`` needs ``text``; all its columns stay, but for those named like the
+    new ones, which are replaced: ``contaminated``, ``n_items``, ``item_ids``
+    (sorted), ``similarity`` (the highest; null if none).  ``benchmark`` needs
+    ``item_id`` and ``text``.  A benchmark larger than `block_bytes` is
+    broadcast in blocks, which pass over the documents one after another.
 
-    Returns one row per input row: ``doc_id, contaminated, n_items, item_ids``
-    (sorted), ``similarity`` (the highest; null if none).  Null or empty texts
-    are clean; items without words or without an id are ignored; a benchmark
-    without rows leaves all documents clean.
+    Null or empty texts are clean; items without words or without an id are
+    ignored; a benchmark without rows leaves all documents clean.
     """
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = parts_for(total_bytes(items), block_bytes, least=1)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    context = docs.sparkSession.sparkContext
-
-    def scanned(block: int) -> DataFrame:
+    plain = docs.drop(*NEW, "found")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    text_at = plain.columns.index("text")
+    out = plain.withColumn("found", F.create_map().cast("map<bigint,double>"))
+    for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        shared = context.broadcast(build_index([tuple(r) for r in part.orderBy("item_id", "text").collect()], shingle))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, memo = shared.value, {}
-            for batch in batches:
-                data, offsets = tn.binary_buffers(batch.column("text"))
-                for low, high in tn.chunks(offsets):
-                    if len(memo) > 200_000:
-                        memo.clear()
-                    found = scan(index, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], shingle, percent, memo)
-                    best = [sorted(_best(index, f).items()) for f in found]
-                    sizes = np.array([len(b) for b in best], np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("doc_id").slice(low, high - low),
-                            tn.list_column(np.array([i for b in best for i, _ in b], np.int64), sizes, pa.int64()),
-                            tn.list_column(np.array([s for b in best for _, s in b], np.float64), sizes, pa.float64()),
-                        ],
-                        ["doc_id", "item_ids", "similarities"],
-                    )
-
-        return slim.mapInArrow(run, FOUND)
-
-    found = scanned(0)
-    if blocks > 1:
-        for block in range(1, blocks):
-            found = found.union(scanned(block))
-        # equal ids in several rows: each row has one line from every block, so lines are merged by id and dealt back
-        found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.flatten(F.collect_list("similarities")).alias("similarities"), (F.count("*") / blocks).cast("int").alias("n"))
-        found = found.withColumn("item_ids", F.array_sort(F.array_distinct("item_ids"))).withColumn("copy", F.explode(F.sequence(F.lit(1), "n")))
-    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.array_max("similarities").alias("similarity"))
+        index = build_index([tuple(r) for r in part.orderBy("item_id", "text").collect()], shingle)
+        out = out.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(index), text_at, shingle, percent), f"{kinds}, found map<bigint,double>")
+    ids = F.array_sort(F.map_keys("found"))
+    return out.select(*plain.columns, (F.size("found") > 0).alias("contaminated"), F.size("found").cast("long").alias("n_items"), ids.alias("item_ids"), F.array_max(F.map_values("found")).alias("similarity"))
+
+
+def _scanner(shared, text_at: int, shingle: int, percent: int):
+    """Adds one block's items to the last column of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, memo = shared.value, {}
+        for batch in batches:
+            data, offsets = tn.binary_buffers(batch.column(text_at))
+            best: list[dict[int, float]] = []
+            for low, high in tn.chunks(offsets):
+                if len(memo) > 200_000:
+                    memo.clear()
+                best += [_best(index, f) for f in scan(index, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], shingle, percent, memo)]
+            before = batch.column(batch.num_columns - 1).to_pylist()
+            merged = [list((dict(b) | f).items()) for b, f in zip(before, best, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(merged, pa.map_(pa.int64(), pa.float64()))], batch.schema.names)
+
+    return run
 
 
 def _best(index: Index, found: dict[int, float]) -> dict[int, float]:
@@ -231,4 +224,5 @@ def _best(index: Index, found: dict[int, float]) -> dict[int, float]:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items, five-word shingles, similarity 0.8."""
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", *NEW)
