@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.plans import corpus_queries, interval_queries, stream_queries, text_queries, vector_queries
+
 FLAGSHIP = "dataset_metadata"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_MODULES = (text_queries, interval_queries, vector_queries, corpus_queries, stream_queries)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

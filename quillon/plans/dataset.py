@@ -49,21 +49,23 @@ def split_by_hash(dataset: DataFrame, fraction: float, seed: int = 1234) -> Data
     return hashed.withColumn("rank", rank).join(F.broadcast(starts), "part").withColumn("is_eval", F.col("first") + F.col("rank") <= F.col("n_eval")).select(*dataset.columns, "is_eval")
 
 
-def split_seeded(dataset: DataFrame, fraction: float, seed: int = 1234) -> DataFrame:
+def split_seeded(dataset: DataFrame, fraction: float, seed: int = 1234, most: int = 2_000_000) -> DataFrame:
     """Adds ``is_eval`` by a seeded permutation of the sorted ids.
 
-    Only the number of clips is needed for the permutation, and only the ranks
-    that it picks leave the driver (`fraction` of the clips).
+    The permutation is drawn on the driver from the number of clips alone, so
+    that number is bounded by `most`; `split_by_hash` has no bound.
     """
     import numpy as np
 
     n = dataset.count()
+    if n > most:
+        raise ValueError(f"{n} clips; a seeded permutation is drawn for at most {most}")
     order = np.arange(n)
     np.random.default_rng(seed).shuffle(order)
     picked = order[: int(round(n * fraction))]
     spark = dataset.sparkSession
     ranks = spark.createDataFrame([(int(i),) for i in picked], "rank long")
-    ranked = dataset.orderBy("clip_id").rdd.zipWithIndex().map(lambda x: (x[0]["clip_id"], x[1])).toDF("clip_id string, rank long")
+    ranked = dataset.select("clip_id", (F.row_number().over(Window.orderBy("clip_id")) - 1).cast("long").alias("rank"))
     chosen = ranked.join(ranks, "rank", "left_semi").select("clip_id", F.lit(True).alias("is_eval"))
     return dataset.join(chosen, "clip_id", "left").withColumn("is_eval", F.coalesce("is_eval", F.lit(False)))
 
