@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 # The model families.
 FAMILIES = ("separator", "diarizer", "overlap", "embedder", "scorer", "transcriber")
@@ -54,7 +55,7 @@ def cosine_scorer():
     return score
 
 
-@udtf(returnType="chunk int, s_us bigint, e_us bigint")
+@udtf(returnType=StructType([StructField("chunk", IntegerType()), StructField("s_us", LongType()), StructField("e_us", LongType())]))
 class Chunks:
     """Rows of the chunks that cover [0, total)."""
 

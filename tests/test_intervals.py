@@ -82,6 +82,6 @@ def test_results_do_not_depend_on_partitions(spark, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
         rows = turns(spark, [("a", i * 0.7, i * 0.7 + 1) for i in range(50)] + [("b", i * 1.3, i * 1.3 + 0.4) for i in range(30)])
-        assert len(got(iv.overlap(rows))) == 30
+        assert len(got(iv.overlap(rows))) == 28  # "a" speaks until 35.3 s
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
