@@ -6,11 +6,14 @@ greatest, so a signature of 2P values costs P hash evaluations.  Four values
 classes that share a band are candidates, and every link is confirmed on the
 full sets.
 
-Within a band's bucket no list of all pairs is made: each class is compared
-with the bucket's least class, linked classes become components, and only then
-are classes outside the bucket's main component compared with the classes of
-other components.  Pairs inside a component need no comparison, so no component
-is lost against comparing all candidates.
+Within a band's bucket no list of all pairs is made.  Each class is compared with
+the bucket's least class, and linked classes become components.  Pairs inside a
+component need no further comparison; what is left is links between components
+that share a bucket.  In buckets of at most `SMALL` classes the classes outside
+the main component are compared with the others.  For larger buckets an exact
+bound takes the place of pairs: sets as similar as asked share one of their
+rarest few shingles, so only classes that do are compared, again across
+components.  No component is lost against comparing all candidates.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import textnp as tn
@@ -29,6 +32,7 @@ from quillon.llm.frames import cut, table
 #: At similarity 0.8 a band of two permutations agrees with probability 0.8**4; 32 bands all differ once in 2 * 10**7 pairs.
 BANDS = 32
 PERCENT = 80
+SMALL = 32
 
 
 def document_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +125,33 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * percent).select("a", "b").distinct()
 
 
+def _open(entries: DataFrame) -> DataFrame:
+    """Entries (``key, node, n_shingles, root, nth``) of keys with several components, with the key's main one and its size."""
+    counts = entries.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mains = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("members"))
+    return entries.join(mains.filter("roots > 1").drop("roots"), "key")
+
+
+def _crossing(opened: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a key: a class outside the main component with one of another component."""
+    side = lambda rows, name: rows.select("key", F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n_shingles", "root", "nth")])
+    rest = lambda name: F.col(f"n_shingles_{name}") - F.col(f"nth_{name}")
+    # what the sets can share at most if the key is the first of their shingles that they share
+    reach = (F.least(rest("x"), rest("y")) + 1) * (100 + percent) >= (F.col("n_shingles_x") + F.col("n_shingles_y")) * percent
+    met = side(opened.filter("root <> main"), "x").join(side(opened, "y"), "key").filter("root_x <> root_y").filter(reach)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _rarest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Entries of classes under their rarest shingles, as many as similar sets cannot all lack; ``nth`` is the rank."""
+    tokens = nodes.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node").select("node", "n_shingles", "root", F.explode("shingles").alias("key"))
+    often = tokens.groupBy("key").agg(F.count("*").alias("often"))
+    ordered = Window.partitionBy("node").orderBy("often", "key")
+    few = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    shared = tokens.join(often, "key").withColumn("nth", F.row_number().over(ordered)).filter((F.col("nth") <= few) & (F.col("often") > 1))
+    return shared.select("key", "node", "n_shingles", "root", "nth")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of `percent` / 100 or more.
 
@@ -148,13 +179,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
     links = cut(_linked(tried, sets, percent))
     roots = components(links)
 
-    # classes outside a bucket's main component against the bucket's other components
-    placed = members.join(roots, "node", "left").select("key", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
-    mains = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
-    open_ = cut(placed.join(mains, "key"))
-    outside = open_.filter("root <> main").select("key", F.col("node").alias("x"), F.col("n_shingles").alias("n_x"), F.col("root").alias("root_x"))
-    inside = open_.select("key", F.col("node").alias("y"), F.col("n_shingles").alias("n_y"), F.col("root").alias("root_y"))
-    crossing = outside.join(inside, "key").filter("root_x <> root_y").filter(_near("n_x", "n_y", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # links between components that share a bucket
+    placed = members.join(roots, "node", "left").select("key", "node", "n_shingles", F.coalesce("root", "node").alias("root"), F.lit(1).alias("nth"))
+    opened = cut(_open(placed))
+    crowded = opened.filter(F.col("members") > SMALL).select("node", "n_shingles", "root").distinct()
+    rare = _open(_rarest(crowded, sets, percent))
+    crossing = _crossing(opened.filter(F.col("members") <= SMALL), percent).union(_crossing(rare, percent)).distinct()
     more = cut(_linked(crossing.join(tried, ["a", "b"], "left_anti"), sets, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
