@@ -139,11 +139,10 @@ def best_cut(p: np.ndarray, toxic: np.ndarray, alarm_cost: float = 3.0) -> float
     """The log-odds that part the classes best; the middle of them if several do.
 
     A clean document that is rejected counts as `alarm_cost` toxic ones that pass.
+    Where nothing toxic is told apart, as without labels, nothing is rejected.
     """
-    if not toxic.any() or toxic.all():
-        return 0.0
     odds = np.log(p) - np.log1p(-p)
-    levels = np.unique(odds)
+    levels = np.append(np.unique(odds), odds.max() + 1 if len(odds) else 1.0)
     alarms = (~toxic).sum() - np.searchsorted(np.sort(odds[~toxic]), levels, side="left")
     misses = np.searchsorted(np.sort(odds[toxic]), levels, side="left") + alarm_cost * alarms
     best = np.flatnonzero(misses == misses.min())
