@@ -69,7 +69,8 @@ def line_dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
     sorted_ = gone.groupBy("doc", "row").agg(F.sort_array(F.collect_list("line")).alias("gone"))
     gap = F.transform("gone", lambda x, i: F.concat(F.array_repeat(F.lit(False), x - F.when(i == 0, F.lit(-1)).otherwise(F.get("gone", i - 1)) - 1), F.array(F.lit(True))))
     masks = cut(sorted_.select("doc", "row", F.size("gone").alias("n_gone"), F.flatten(gap).alias("mask")))
-    joined = keyed.join(masks, ["doc", "row"], "left")
+    # texts are dealt by document whatever the masks' size, so that the plan is the same for any input
+    joined = keyed.join(masks.hint("merge"), ["doc", "row"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.get("mask", i), F.lit(False))), "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     return joined.select("doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce("n_gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.when(F.col("mask").isNull(), F.col("text")).otherwise(kept), F.lit("")).alias("kept_text"))
