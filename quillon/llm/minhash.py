@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import textnp as tn
@@ -142,14 +142,45 @@ def _crossing(opened: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _rarest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Entries of classes under their rarest shingles, as many as similar sets cannot all lack; ``nth`` is the rank."""
-    tokens = nodes.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node").select("node", "n_shingles", "root", F.explode("shingles").alias("key"))
-    often = tokens.groupBy("key").agg(F.count("*").alias("often"))
-    ordered = Window.partitionBy("node").orderBy("often", "key")
+def _token_sender(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packs the shingles of a batch of classes by bucket: ``bucket, nodes, tokens``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, sizes = tn.flat(batch.column("shingles"))
+            nodes = np.repeat(batch.column("node").to_numpy(), sizes)
+            bucket = (tn.mix(tokens.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            kinds, counts = np.unique(bucket, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), tn.list_column(nodes[order], counts, pa.int64()), tn.list_column(tokens[order], counts, pa.int64())], ["bucket", "nodes", "tokens"])
+
+    return run
+
+
+def _token_counter(rows: pa.Table) -> pa.Table:
+    """How many classes have each shingle of a bucket: ``node, often, tokens`` for every class in it."""
+    nodes, tokens = tn.flat(rows["nodes"])[0], tn.flat(rows["tokens"])[0]
+    _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    often = counts[inverse.ravel()]
+    order = np.argsort(nodes, kind="stable")
+    kinds, sizes = np.unique(nodes, return_counts=True)
+    return pa.table({"node": pa.array(kinds, pa.int64()), "often": tn.list_column(often[order], sizes, pa.int64()), "tokens": tn.list_column(tokens[order], sizes, pa.int64())})
+
+
+def _rarest(nodes: DataFrame, sets: DataFrame, percent: int, buckets: int = 32) -> DataFrame:
+    """Entries of classes under their rarest shingles, as many as similar sets cannot all lack; ``nth`` is the rank.
+
+    Shingles are counted packed by bucket, one row for each class and bucket; only
+    the rarest few of a class become rows.
+    """
+    held = nodes.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node").select("node", "shingles")
+    sent = held.mapInArrow(_token_sender(buckets), "bucket int, nodes array<long>, tokens array<long>")
+    counted = sent.groupBy("bucket").applyInArrow(_token_counter, "node long, often array<long>, tokens array<long>")
+    ranked = counted.groupBy("node").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("often", "tokens")))).alias("ranked"))
     few = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
-    shared = tokens.join(often, "key").withColumn("nth", F.row_number().over(ordered)).filter((F.col("nth") <= few) & (F.col("often") > 1))
-    return shared.select("key", "node", "n_shingles", "root", "nth")
+    first = F.transform(F.slice("ranked", F.lit(1), few.cast("int")), lambda x, i: F.struct(x["tokens"].alias("key"), x["often"].alias("often"), (i + 1).alias("nth")))
+    shared = nodes.join(ranked, "node").withColumn("one", F.explode(F.filter(first, lambda x: x["often"] > 1)))
+    return shared.select("one.key", "node", "n_shingles", "root", "one.nth")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
