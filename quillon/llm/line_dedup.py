@@ -7,24 +7,34 @@ is theirs alone are dropped at once: no longer prefix of theirs repeats.  At the
 run length every suffix that does not hold its own name starts a run that stands
 earlier too; the lines of such runs, joined where they overlap into maximal
 repeated runs, are the later copies that are deleted.
+
+Runs can be measured in words instead, so that one long line counts.  A repeated
+run of enough words is the union of its least windows: from each line on, and back
+from each line, as few lines as have the words.  Equal windows have equal lengths,
+and a window of h lines is named by the names of the powers of two that cover it
+from both ends, so doubling goes on while names repeat and windows are longer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.frames import cut, table
+from quillon.llm.frames import cut, table, word_count
 
 #: Fewest lines of a repeated run.
 RUN = 3
+#: Fewest words of a repeated run where runs are measured in words.
+WORDS = 20
 _PLACE = ["doc", "row", "line"]
 
 
-def _named(keyed: DataFrame, keys: list[str]) -> DataFrame:
+def _named(keyed: DataFrame, keys: list[str], *more: str) -> DataFrame:
     """Name rows by the earliest place of their keys; rows with keys of their own are dropped."""
     names = keyed.groupBy(*keys).agg(F.min(F.struct(*_PLACE)).alias("name"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return keyed.join(names, keys).select(*_PLACE, "name")
+    return keyed.join(names, keys).select(*_PLACE, *more, "name")
 
 
 def _doubled(names: DataFrame, shift: int) -> DataFrame:
@@ -46,9 +56,78 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     return names.filter(F.struct(*_PLACE) != F.col("name")).select(*_PLACE)
 
 
-def line_dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
+def _windows(docs: DataFrame, words: int) -> DataFrame:
+    """Lines with their hashes ``a, b, c``, and how many lines have `words` words from it on (``ahead``) and back from it (``back``; ends before it).
+
+    Each document has one more line, without hashes, after its last.
+    """
+    parts = F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"), F.length(x).alias("c"), word_count(x).alias("n")))
+    end = F.array(F.struct(F.lit(None).cast("long").alias("a"), F.lit(None).cast("int").alias("b"), F.lit(None).cast("int").alias("c"), F.lit(0).cast("long").alias("n")))
+    # rows that agree in id and text are one document
+    one = docs.select("doc", "row", F.concat(parts, end).alias("parts")).groupBy("doc", "row").agg(F.first("parts").alias("parts"))
+    lines = one.select("doc", "row", F.posexplode("parts").alias("line", "x")).select(*_PLACE, "x.*")
+    document = Window.partitionBy("doc", "row")
+    summed = lines.withColumn("before", F.sum("n").over(document.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
+    past = F.min("line").over(document.orderBy(F.desc("before")).rangeBetween(Window.unboundedPreceding, -words))
+    first = F.max("line").over(document.orderBy("before").rangeBetween(Window.unboundedPreceding, -words))
+    return summed.select(*_PLACE, "a", "b", "c", (past - F.col("line")).alias("ahead"), (F.col("line") - first).alias("back"))
+
+
+def repeated_spans(docs: DataFrame, words: int) -> DataFrame:
+    """Least windows (``doc, row, line, h``: h lines from line on) of `words` words that also start earlier."""
+    lines = cut(_windows(docs, words))
+    ahead = lines.filter("ahead is not null").select(*_PLACE, F.col("ahead").alias("h"))
+    back = lines.filter("back is not null").select("doc", "row", (F.col("line") - F.col("back")).alias("line"), F.col("back").alias("h"))
+    windows = ahead.union(back).distinct()
+    names = cut(_named(lines.filter("a is not null").select(*_PLACE, "a", "b", "c"), ["a", "b", "c"]))
+    most = lines.agg(F.max(F.greatest("ahead", "back")).alias("h")).first().h or 0
+    h, found = 1, []
+    while h <= most:
+        here = names.withColumnRenamed("name", "first")
+        last = names.select("doc", "row", F.col("line").alias("at"), F.col("name").alias("then"))
+        sized = windows.filter(F.col("h").between(h, 2 * h - 1)).withColumn("at", F.col("line") + F.col("h") - h)
+        keyed = sized.join(here, _PLACE).join(last, ["doc", "row", "at"])
+        found.append(_named(keyed, ["h", "first", "then"], "h").filter(F.struct(*_PLACE) != F.col("name")).select(*_PLACE, "h"))
+        if 2 * h > most or names.isEmpty():
+            break
+        names = cut(_doubled(names, h))
+        h *= 2
+    return reduce(DataFrame.union, found) if found else windows.limit(0)
+
+
+def _joined(spans: DataFrame) -> DataFrame:
+    """Spans (``doc, row, line, h``) joined where they overlap or meet, as sorted arrays ``gone`` of ``(line, past)`` for each document."""
+    document = Window.partitionBy("doc", "row")
+    order = document.orderBy("line", "h")
+    reached = F.max(F.col("line") + F.col("h")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = spans.withColumn("fresh", F.coalesce((F.col("line") > reached).cast("int"), F.lit(1)))
+    numbered = fresh.withColumn("nth", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    joined = numbered.groupBy("doc", "row", "nth").agg(F.min("line").alias("line"), F.max(F.col("line") + F.col("h")).alias("past"))
+    return joined.groupBy("doc", "row").agg(F.sort_array(F.collect_list(F.struct("line", "past"))).alias("gone"))
+
+
+def _run_masks(real: DataFrame, run: int) -> DataFrame:
+    """``doc, row, n_gone, mask`` where runs are measured in lines."""
+    starts = repeated_runs(real, run)
+    gone = starts.select("doc", "row", F.explode(F.sequence("line", F.col("line") + (run - 1))).alias("line")).distinct()
+    sorted_ = gone.groupBy("doc", "row").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    gap = F.transform("gone", lambda x, i: F.concat(F.array_repeat(F.lit(False), x - F.when(i == 0, F.lit(-1)).otherwise(F.get("gone", i - 1)) - 1), F.array(F.lit(True))))
+    return sorted_.select("doc", "row", F.size("gone").alias("n_gone"), F.flatten(gap).alias("mask"))
+
+
+def _span_masks(real: DataFrame, words: int) -> DataFrame:
+    """``doc, row, n_gone, mask`` where runs are measured in words."""
+    gap = F.transform("gone", lambda x, i: F.concat(F.array_repeat(F.lit(False), x["line"] - F.when(i == 0, F.lit(0)).otherwise(F.get("gone", i - 1)["past"])), F.array_repeat(F.lit(True), x["past"] - x["line"])))
+    n_gone = F.aggregate("gone", F.lit(0), lambda n, x: n + x["past"] - x["line"])
+    return _joined(repeated_spans(real, words)).select("doc", "row", n_gone.alias("n_gone"), F.flatten(gap).alias("mask"))
+
+
+def line_dedup(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """Delete each line in a run of `run` or more lines that also stands earlier.
 
+    With `words`, runs count from so many words on, whatever number of lines they
+    have, and `run` is not used.
+
     Earlier: in a document with a smaller ``doc_id``, or further up in the same
     one.  Lines are parted by ``\\n`` and compared exactly; blank lines count.
     Runs are judged on the input.  ``docs`` needs ``doc_id`` and ``text``; other
@@ -64,11 +143,8 @@ def line_dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
     """
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("row"), "text")
     real = keyed.filter("text is not null")
-    starts = repeated_runs(real.select("doc", "row", "text"), run)
-    gone = starts.select("doc", "row", F.explode(F.sequence("line", F.col("line") + (run - 1))).alias("line")).distinct()
-    sorted_ = gone.groupBy("doc", "row").agg(F.sort_array(F.collect_list("line")).alias("gone"))
-    gap = F.transform("gone", lambda x, i: F.concat(F.array_repeat(F.lit(False), x - F.when(i == 0, F.lit(-1)).otherwise(F.get("gone", i - 1)) - 1), F.array(F.lit(True))))
-    masks = cut(sorted_.select("doc", "row", F.size("gone").alias("n_gone"), F.flatten(gap).alias("mask")))
+    slim = real.select("doc", "row", "text")
+    masks = cut(_run_masks(slim, run) if words is None else _span_masks(slim, words))
     # texts are dealt by document whatever the masks' size, so that the plan is the same for any input
     joined = keyed.join(masks.hint("merge"), ["doc", "row"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.get("mask", i), F.lit(False))), "\n")
@@ -82,6 +158,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, runs of twenty words or more, be it one line."""
+    found = line_dedup(table(spark, sf_dir, "documents"), words=WORDS)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 OP2_SQL = """
 WITH lines AS (
   SELECT doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS content

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quillon.llm.chat import OP4_SQL, op4_chat_format
 from quillon.llm.decontaminate import op7_decontaminate
-from quillon.llm.line_dedup import OP2_SQL, op2_line_dedup
+from quillon.llm.line_dedup import OP2_SQL, op2_line_dedup, op2_line_dedup_words
 from quillon.llm.media import op5_media_columns
 from quillon.llm.minhash import op10_minhash_near_dedup
 from quillon.llm.mixing import OP8_SQL, op8_mixing
@@ -16,6 +16,7 @@ from quillon.llm.toxicity import op3_toxicity
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
+    "op2_line_dedup_words": op2_line_dedup_words,
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
     "op5_media_columns": op5_media_columns,

@@ -113,6 +113,38 @@ def test_op2_deletes_later_line_runs(spark):
     assert line_dedup.line_dedup(docs_of(spark, [])).count() == 0
 
 
+def brute_lines(rows, least):
+    """Longest earlier copy from each line on, by comparing with all earlier starts."""
+    docs = [(i, text.split("\n")) for i, text in rows if text is not None]
+    starts = [(d, s) for d in range(len(docs)) for s in range(len(docs[d][1]))]
+    gone = {i: set() for i, _ in rows}
+    for n, (d, s) in enumerate(starts):
+        own, most = docs[d][1], 0
+        for e, t in starts[:n]:
+            other, k = docs[e][1], 0
+            while s + k < len(own) and t + k < len(other) and own[s + k] == other[t + k]:
+                k += 1
+            most = max(most, k)
+        if sum(len(WORD.findall(x)) for x in own[s : s + most]) >= least:
+            gone[docs[d][0]] |= set(range(s, s + most))
+    return {i: (0 if t is None else t.count("\n") + 1, len(gone[i]), "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone[i])) for i, t in rows}
+
+
+def test_op2_measured_in_words_deletes_one_and_two_lines(spark):
+    rng = random.Random(8)
+    lines = ["", "", "a", "b c", "d e f", "g h i j", " ".join(["long"] * 9), "x\ty  z"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 14)))) for i in range(40)]
+    rows += [(40, "one two three four five six"), (41, "one two three four five six"), (42, "p q r\n\n\n\n\ns t u"), (43, "z\np q r\n\n\n\n\ns t u\nz"), (44, None), (45, "")]
+    for least in (1, 6, 25):
+        want = brute_lines(rows, least)
+        got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.line_dedup(docs_of(spark, rows), words=least).collect()}
+        assert got == want
+    assert brute_lines(rows, 6)[41] == (1, 1, "")
+    twice = line_dedup.line_dedup(docs_of(spark, [(3, "a b\nc"), (3, "a b\nc"), (4, "a b"), (None, "a b\nc"), (None, "a b\nc")]), words=2).collect()
+    assert sorted((r.doc_id or 9, r.n_removed) for r in twice) == [(3, 0), (3, 0), (4, 1), (9, 2), (9, 2)]
+    assert line_dedup.line_dedup(docs_of(spark, []), words=6).count() == 0
+
+
 def test_op3_learns_marked_words_and_never_uses_held_out_labels(spark):
     rng = random.Random(2)
     plain = [f"w{i}" for i in range(200)]
