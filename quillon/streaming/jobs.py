@@ -44,6 +44,17 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], mode:
     stream.writeStream.foreachBatch(work).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
+def complete(stream: DataFrame) -> DataFrame:
+    """A table of all rows of an aggregation over what the stream gives now, those of open windows too.
+
+    Each batch has the whole result and takes the place of the one before it.
+    """
+    spark = stream.sparkSession
+    out = shared_path(spark, "streams")
+    each_batch(stream, lambda batch, _: batch.write.mode("overwrite").parquet(out), "complete")
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def latest(stream: DataFrame, keys: list[str], version: str) -> DataFrame:
     """A table of the last version of each key of an updating aggregation.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillon import catalog
 from quillon.functions import registry as rg
 from quillon.functions import rules as ru
+from quillon.operators import intervals as iv
 from quillon.operators import mining as mi
 from quillon.plans import dataset as ds
 from quillon.sources import readers as rd
@@ -25,6 +26,19 @@ def test_streams_equal_their_batch_form(spark):
     assert seen.count() == seen.distinct().count() == users.select("user_id").distinct().count()
 
 
+def test_stream_sessions_equal_batch_sessions(spark, tmp_path):
+    twice = spark.read.parquet(f"{SF}/events.parquet")
+    spans = lambda rows: rows.select(F.col("event_type").alias("spk"), F.unix_micros(F.col("ts").cast("timestamp")).alias("s_us"), (F.unix_micros(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 1e6).cast("long")).alias("e_us"))
+    want = lambda rows: sorted(map(tuple, iv.union(spans(rows), ["spk"], iv.GAP_US).select("spk", "s_us", "e_us").collect()))
+    got = lambda d: sorted((r.spk, r.s_us, r.e_us) for r in catalog.QUERIES["stm_session_union"](spark, d).collect())
+    assert got(SF) == want(twice)
+    # all events within a day, and a file with older rows after newer ones
+    day = twice.filter(F.col("ts") < twice.agg(F.min("ts")).first()[0] + F.expr("INTERVAL 20 HOURS"))
+    (tmp_path / "day").mkdir()
+    day.orderBy(F.desc("ts")).coalesce(1).write.parquet(f"{tmp_path}/day/events.parquet")
+    assert got(f"{tmp_path}/day") == want(day) != []
+
+
 def wav(samples, channels=1, rate=8000):
     data = np.asarray(samples, "<i2").tobytes()
     return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, channels, rate, rate * channels * 2, channels * 2, 16) + b"data" + struct.pack("<I", len(data)) + data
