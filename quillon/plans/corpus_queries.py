@@ -162,20 +162,28 @@ def cat_prereq_closure(spark, d):
 SHORT = sg.Limits(min_silence=0.02, pad=0.01, snap=0.02, least=0.1, most=0.3, hard=0.4)
 
 
+#: Ids of vectors in one region.
+REGION_IDS = 512
+
+
 def _track(spark, d):
-    """All vectors of a label, one after another, as one region of frames."""
-    labels = table(spark, d, "embeddings").select("vec_id", "label")
-    place = labels.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
-    return _masked(spark, d).join(place, "vec_id").select("label", (F.col("nth") * 8 + F.col("frame")).cast("int").alias("frame"), "rms_db", "speech")
+    """Vectors of a label, one after another, as regions of frames: each holds at most the vectors of a block of ids."""
+    region = F.concat(F.col("label").cast("string"), F.lit("/"), F.floor(F.col("vec_id") / REGION_IDS).cast("string"))
+    labels = table(spark, d, "embeddings").select("vec_id", region.alias("region"))
+    place = labels.withColumn("nth", F.row_number().over(Window.partitionBy("region").orderBy("vec_id")) - 1)
+    return _masked(spark, d).join(place, "vec_id").select("region", (F.col("nth") * 8 + F.col("frame")).cast("int").alias("frame"), "rms_db", "speech")
 
 
 def seg_walk(spark, d):
     from quillon.operators import frames as fr
 
     track = _track(spark, d)
-    rows = sg.region_rows(track, fr.zones(track, "label", SHORT.frames()[0]), "label")
-    flags = {"vad": F.lit(True), "start_safe": F.col("label") % 2 == 0, "end_safe": F.lit(True)}
-    return sg.segment(rows.withColumns(flags), "label", SHORT)
+    rows = sg.region_rows(track, fr.zones(track, "region", SHORT.frames()[0]), "region")
+    label, block = (F.split_part("region", F.lit("/"), F.lit(i)) for i in (1, 2))
+    flags = {"vad": F.lit(True), "start_safe": label.cast("long") % 2 == 0, "end_safe": F.lit(True)}
+    clips = sg.segment(rows.withColumns(flags), "region", SHORT)
+    kind = table(spark, d, "embeddings").schema["label"].dataType
+    return clips.select(label.cast(kind).alias("label"), block.cast("long").alias("block"), *clips.columns[1:])
 
 
 def seg_validated_only(spark, d):

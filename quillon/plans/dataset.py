@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
+from quillon.plans.shared import materialised
 
 
 def rows(gated: DataFrame) -> DataFrame:
@@ -49,25 +51,47 @@ def split_by_hash(dataset: DataFrame, fraction: float, seed: int = 1234) -> Data
     return hashed.withColumn("rank", rank).join(F.broadcast(starts), "part").withColumn("is_eval", F.col("first") + F.col("rank") <= F.col("n_eval")).select(*dataset.columns, "is_eval")
 
 
-def split_seeded(dataset: DataFrame, fraction: float, seed: int = 1234, most: int = 2_000_000) -> DataFrame:
+#: Ranks in one row of the picked ones.
+BLOCK = 1 << 16
+
+
+def ranked(dataset: DataFrame) -> DataFrame:
+    """Adds ``rank``, the place in the order of ``clip_id`` from 0 on.
+
+    Ids are dealt into ranges, ranked inside each, and moved by the counts of the
+    ranges before, so no task sees all of them.
+    """
+    n = max(8, int(dataset.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # ranges are drawn from a sample, so they are written once and read by both uses
+    parts = materialised(dataset.repartitionByRange(n, "clip_id").withColumn("part", F.spark_partition_id()))
+    counts = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("clip_id")) - 1
+    return parts.withColumn("inside", inside).join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("inside")).select(*dataset.columns, "rank")
+
+
+def split_seeded(dataset: DataFrame, fraction: float, seed: int = 1234) -> DataFrame:
     """Adds ``is_eval`` by a seeded permutation of the sorted ids.
 
-    The permutation is drawn on the driver from the number of clips alone, so
-    that number is bounded by `most`; `split_by_hash` has no bound.
+    The permutation is numpy's, which has to be drawn in one sequence: the driver
+    holds four bytes for each clip, and the picked ranks go out as one bit each.
     """
     import numpy as np
 
-    n = dataset.count()
-    if n > most:
-        raise ValueError(f"{n} clips; a seeded permutation is drawn for at most {most}")
-    order = np.arange(n)
+    rows = ranked(dataset)
+    n = rows.count()
+    order = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
     np.random.default_rng(seed).shuffle(order)
-    picked = order[: int(round(n * fraction))]
-    spark = dataset.sparkSession
-    ranks = spark.createDataFrame([(int(i),) for i in picked], "rank long")
-    ranked = dataset.select("clip_id", (F.row_number().over(Window.orderBy("clip_id")) - 1).cast("long").alias("rank"))
-    chosen = ranked.join(ranks, "rank", "left_semi").select("clip_id", F.lit(True).alias("is_eval"))
-    return dataset.join(chosen, "clip_id", "left").withColumn("is_eval", F.coalesce("is_eval", F.lit(False)))
+    picked = np.zeros(-(-n // BLOCK) * BLOCK, bool)
+    picked[order[: int(round(n * fraction))]] = True
+    del order
+    bits = np.packbits(picked.reshape(-1, BLOCK), axis=1)
+    blocks = dataset.sparkSession.createDataFrame(pa.table({"block": pa.array(range(len(bits)), pa.int64()), "bits": pa.array([b.tobytes() for b in bits], pa.binary())}))
+    at = F.col("rank") % BLOCK
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_eval = F.getbit(byte, (7 - at % 8).cast("int")) == 1
+    return rows.withColumn("block", F.floor(F.col("rank") / BLOCK)).join(blocks, "block").select(*dataset.columns, is_eval.alias("is_eval"))
 
 
 def summary(gated: DataFrame, split: DataFrame) -> DataFrame:

@@ -92,3 +92,28 @@ def test_split_covers_and_repeats(spark, tmp_path):
     ds.write_lines(rows.select("clip_id", ds.csv_line().alias("value")), str(tmp_path / "out"))
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
     assert text.splitlines()[0] == 'c000|"t|0"|n' and len(text.splitlines()) == 50
+
+
+def test_seeded_split_has_no_bound_and_ranks_in_ranges(spark):
+    n = 2_000_300
+    rows = spark.range(n, numPartitions=4).select(F.format_string("c%08d", (F.col("id") * 7919) % n).alias("clip_id"))
+    order = np.arange(n)
+    np.random.default_rng(1234).shuffle(order)
+    split = ds.split_seeded(rows, 0.1)
+    assert split.count() == n
+    assert [r.rank for r in split.filter("is_eval").select(F.substring("clip_id", 2, 8).cast("long").alias("rank")).orderBy("rank").collect()] == sorted(order[: round(n * 0.1)].tolist())
+    assert "SinglePartition" not in "".join(x for x in ds.ranked(rows)._jdf.queryExecution().executedPlan().toString().splitlines(True) if "clip_id" in x)
+    assert ds.split_seeded(rows.limit(0), 0.1).count() == 0
+
+
+def test_regions_of_the_segmenter_are_bounded(spark, tmp_path):
+    from quillon.plans import corpus_queries as cq
+
+    one = spark.read.parquet(f"{SF}/embeddings.parquet").withColumn("label", F.lit(3).cast("int"))
+    one = one.union(one.withColumn("vec_id", F.col("vec_id") + 1000)).union(one.withColumn("vec_id", F.col("vec_id") + 2000))
+    one.write.parquet(f"{tmp_path}/embeddings.parquet")
+    n = one.count()
+    sizes = [r["count"] for r in cq._track(spark, str(tmp_path)).groupBy("region").count().collect()]
+    assert sum(sizes) == 8 * n and max(sizes) <= 8 * cq.REGION_IDS < 8 * n
+    clips = cq.seg_walk(spark, str(tmp_path)).groupBy("label", "block").agg(F.min("first").alias("a"), F.max("past").alias("b")).collect()
+    assert {r.label for r in clips} == {3} and len(clips) == len(sizes)
