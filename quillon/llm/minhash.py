@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import textnp as tn
 from quillon.llm.components import components
-from quillon.llm.frames import cut, table
+from quillon.llm.frames import cut, parts_for, table
 
 #: At similarity 0.8 a band of two permutations agrees with probability 0.8**4; 32 bands all differ once in 2 * 10**7 pairs.
 BANDS = 32
@@ -142,45 +142,77 @@ def _crossing(opened: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _token_sender(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Packs the shingles of a batch of classes by bucket: ``bucket, nodes, tokens``."""
+#: Shingles of the classes of one group.
+GROUP_TOKENS = 1 << 20
+_COUNTS = "bucket int, grp int, tokens array<long>, counts array<long>"
+_OFTEN = "grp int, tokens array<long>, often array<long>"
+_ENTRIES = "key long, node long, n_shingles long, root long, nth int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, sizes = tn.flat(batch.column("shingles"))
-            nodes = np.repeat(batch.column("node").to_numpy(), sizes)
-            bucket = (tn.mix(tokens.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            kinds, counts = np.unique(bucket, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), tn.list_column(nodes[order], counts, pa.int64()), tn.list_column(tokens[order], counts, pa.int64())], ["bucket", "nodes", "tokens"])
 
-    return run
+def _token_sender(buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """A group's distinct shingles and how many of its classes have each, by bucket."""
 
+    def send(key: tuple, classes: pa.Table) -> pa.Table:
+        tokens, counts = np.unique(tn.flat(classes["shingles"])[0], return_counts=True)
+        bucket = (tn.mix(tokens.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        kinds, sizes = np.unique(bucket, return_counts=True)
+        return pa.table({"bucket": pa.array(kinds, pa.int32()), "grp": pa.array(np.full(len(kinds), key[0].as_py()), pa.int32()), "tokens": tn.list_column(tokens[order], sizes, pa.int64()), "counts": tn.list_column(counts[order], sizes, pa.int64())})
 
-def _token_counter(rows: pa.Table) -> pa.Table:
-    """How many classes have each shingle of a bucket: ``node, often, tokens`` for every class in it."""
-    nodes, tokens = tn.flat(rows["nodes"])[0], tn.flat(rows["tokens"])[0]
-    _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-    often = counts[inverse.ravel()]
-    order = np.argsort(nodes, kind="stable")
-    kinds, sizes = np.unique(nodes, return_counts=True)
-    return pa.table({"node": pa.array(kinds, pa.int64()), "often": tn.list_column(often[order], sizes, pa.int64()), "tokens": tn.list_column(tokens[order], sizes, pa.int64())})
+    return send
 
 
-def _rarest(nodes: DataFrame, sets: DataFrame, percent: int, buckets: int = 32) -> DataFrame:
+def _token_counter(rows: pa.Table) -> pa.Table:
+    """A bucket's shingles that several classes have, with how many do, for each group that has them."""
+    tokens, sizes = tn.flat(rows["tokens"])
+    counts, _ = tn.flat(rows["counts"])
+    order = np.argsort(tokens, kind="stable")
+    ordered = tokens[order]
+    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(order) else order
+    total = np.empty(len(order), np.int64)
+    total[order] = np.repeat(np.add.reduceat(counts[order], at), np.diff(np.append(at, len(order)))) if len(at) else at
+    keep = total > 1
+    kept = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+    return pa.table({"grp": rows["grp"].cast(pa.int32()), "tokens": tn.list_column(tokens[keep], kept, pa.int64()), "often": tn.list_column(total[keep], kept, pa.int64())})
+
+
+def _rarest_of(percent: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """The entries of a group's classes, given the shingles that are not theirs alone."""
+
+    def pick(key: tuple, classes: pa.Table, shared: pa.Table) -> pa.Table:
+        tokens, sizes = tn.flat(classes["shingles"])
+        known, often = tn.flat(shared["tokens"])[0], tn.flat(shared["often"])[0]
+        by = np.argsort(known, kind="stable")
+        known, often = known[by], often[by]
+        times = np.ones(len(tokens), np.int64)
+        if len(known):
+            spot = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+            times = np.where(known[spot] == tokens, often[spot], 1)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((tokens, times, row))
+        nth = np.arange(len(tokens)) - (np.cumsum(sizes) - sizes)[row] + 1
+        n = classes["n_shingles"].to_numpy()
+        few = n + (-n * percent) // 100 + 1
+        take = (nth <= few[row]) & (times[order] > 1)
+        whose = pa.array(row[take])
+        return pa.table({"key": pa.array(tokens[order[take]], pa.int64()), **{c: classes[c].take(whose).cast(pa.int64()) for c in ("node", "n_shingles", "root")}, "nth": pa.array(nth[take], pa.int32())})
+
+    return pick
+
+
+def _rarest(nodes: DataFrame, sets: DataFrame, percent: int, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Entries of classes under their rarest shingles, as many as similar sets cannot all lack; ``nth`` is the rank.
 
-    Shingles are counted packed by bucket, one row for each class and bucket; only
-    the rarest few of a class become rows.
+    Classes are dealt into groups, as many as their shingles ask for.  A group
+    sends its distinct shingles with counts to buckets, which add them up and send
+    back those of several classes; only the rarest few of a class become rows.
     """
-    held = nodes.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node").select("node", "shingles")
-    sent = held.mapInArrow(_token_sender(buckets), "bucket int, nodes array<long>, tokens array<long>")
-    counted = sent.groupBy("bucket").applyInArrow(_token_counter, "node long, often array<long>, tokens array<long>")
-    ranked = counted.groupBy("node").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("often", "tokens")))).alias("ranked"))
-    few = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
-    first = F.transform(F.slice("ranked", F.lit(1), few.cast("int")), lambda x, i: F.struct(x["tokens"].alias("key"), x["often"].alias("often"), (i + 1).alias("nth")))
-    shared = nodes.join(ranked, "node").withColumn("one", F.explode(F.filter(first, lambda x: x["often"] > 1)))
-    return shared.select("one.key", "node", "n_shingles", "root", "one.nth")
+    groups = parts_for(nodes.agg(F.sum("n_shingles").alias("n")).first().n or 0, group_tokens, least=32)
+    held = nodes.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    dealt = held.select(F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int").alias("grp"), "node", "n_shingles", "root", "shingles").groupBy("grp")
+    sent = dealt.applyInArrow(_token_sender(groups), _COUNTS)
+    counted = sent.groupBy("bucket").applyInArrow(_token_counter, _OFTEN)
+    return dealt.cogroup(counted.groupBy("grp")).applyInArrow(_rarest_of(percent), _ENTRIES)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,3 +363,26 @@ def test_op10_awkward_ids_and_empty_table(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id, r.kept) for r in got if r.doc_id is not None) == [(False, 2, 2, True), (False, 2, 2, True), (False, 4, 4, True), (False, 5, 5, True), (False, 9, 2, False)]
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
+
+
+def test_op10_rarest_shingles_are_counted_in_groups_that_follow_the_data(spark, monkeypatch):
+    rng = random.Random(4)
+    sets = [(i, sorted(rng.sample(range(-40, 40), 12) + [1000 + i, 99])) for i in range(300)]
+    nodes = spark.createDataFrame([(i, len(s), i % 7) for i, s in sets], "node long, n_shingles long, root long")
+    often = defaultdict(int)
+    for _, s in sets:
+        for x in s:
+            often[x] += 1
+    want = []
+    for i, s in sets:
+        first = sorted((often[x], x) for x in s)[: len(s) - -(-len(s) * 80 // 100) + 1]
+        want += [(x, i, len(s), i % 7, k + 1) for k, (n, x) in enumerate(first) if n > 1]
+    seen, deal = [], minhash.parts_for
+    monkeypatch.setattr(minhash, "parts_for", lambda *a, **k: seen.append(deal(*a, **k)) or seen[-1])
+    for each in (1 << 20, 50):
+        got = minhash._rarest(nodes, spark.createDataFrame(sets, "doc_id long, shingles array<long>"), 80, each)
+        assert sorted(tuple(r) for r in got.select("key", "node", "n_shingles", "root", "nth").collect()) == sorted(want)
+    assert seen == [32, 84]
+    # a shingle of all classes reaches its bucket once for each group, not for each class
+    sent = minhash._token_counter(minhash._token_sender(1)((type("K", (), {"as_py": lambda self: 5})(),), pa.table({"shingles": pa.array([[1, 2], [1, 3], [1, 4]], pa.list_(pa.int64()))})))
+    assert sent.to_pydict() == {"grp": [5], "tokens": [[1]], "often": [[3]]}
