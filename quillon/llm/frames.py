@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterable
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,13 +36,15 @@ def parts_for(size: int, each: int, least: int = 8) -> int:
     return max(least, ceil(size / each))
 
 
-def _shared(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names; on one machine a folder of our own where none is set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = jvm.get() if jvm.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="quillon-checkpoint-")
@@ -48,13 +52,77 @@ def _shared(spark: SparkSession) -> str:
     return where
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/quillon/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder and cut the lineage there.
 
     The rows are written as a Parquet table and read back: any executor can
     read them again after another was lost, and columns stay compressed.
     """
-    spark = df.sparkSession
-    path = f"{_shared(spark)}/quillon/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what `cut` wrote for a table that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(files[0]))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hidden(docs: DataFrame, needed: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """`docs` with names of their own for all columns but the `needed` ones, and what gives the columns back.
+
+    An operator works on the first and selects the second at its end, so that a
+    column named like one of the operator's own comes through unchanged.
+    """
+    needed = set(needed)
+    names = [c if c in needed else f"input_{i}_" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
+#: The rows of one key are split over so many tasks where keys can be hot.
+SALTS = 64
+
+
+def _salt(by: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+
+
+def _salts_used() -> Column:
+    """The salts of a group as the bits of a long."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt_"))).alias("salts_")
+
+
+def _one_row_a_salt(totals: DataFrame) -> DataFrame:
+    used = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(F.col("salts_"), i) == 1)
+    return totals.withColumn("salt_", F.explode(used)).drop("salts_")
+
+
+def with_totals(rows: DataFrame, keys: list[str], by: list[str], *totals: Column, having: str | None = None) -> DataFrame:
+    """`rows` with the aggregates of their keys; keys that `having` refuses go.
+
+    Aggregates are combined before the shuffle, and the rows of a key are dealt by
+    a hash of `by` over `SALTS` tasks, so a key with a third of all rows is no one
+    task's work.
+    """
+    salted = rows.withColumn("salt_", _salt(by))
+    summed = salted.groupBy(*keys).agg(*totals, _salts_used())
+    return salted.join(_one_row_a_salt(summed.filter(having) if having else summed), [*keys, "salt_"]).drop("salt_")
+
+
+def attached(rows: DataFrame, lookup: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """`rows` with the columns of `lookup`, which has one row a key; rows whose key it lacks go, or have nulls with ``how="left"``.
+
+    The rows of a key are dealt by a hash of `by` over `SALTS` tasks; each of them gets the key's lookup row.
+    """
+    salted = rows.withColumn("salt_", _salt(by))
+    used = salted.groupBy(*keys).agg(_salts_used())
+    return salted.join(_one_row_a_salt(used.join(lookup, keys, how)), [*keys, "salt_"]).drop("salt_")
