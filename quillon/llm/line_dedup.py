@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.frames import cut, table, word_count
+from quillon.llm.frames import cut, discard, table, with_totals, word_count
 
 #: Fewest lines of a repeated run.
 RUN = 3
@@ -32,9 +32,12 @@ _PLACE = ["doc", "row", "line"]
 
 
 def _named(keyed: DataFrame, keys: list[str], *more: str) -> DataFrame:
-    """Name rows by the earliest place of their keys; rows with keys of their own are dropped."""
-    names = keyed.groupBy(*keys).agg(F.min(F.struct(*_PLACE)).alias("name"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return keyed.join(names, keys).select(*_PLACE, *more, "name")
+    """Name rows by the earliest place of their keys; rows with keys of their own are dropped.
+
+    A key that very many places have (a blank line) is split over several tasks.
+    """
+    named = with_totals(keyed, keys, _PLACE, F.min(F.struct(*_PLACE)).alias("name"), F.count("*").alias("times"), having="times > 1")
+    return named.select(*_PLACE, *more, "name")
 
 
 def _doubled(names: DataFrame, shift: int) -> DataFrame:
@@ -47,11 +50,14 @@ def _doubled(names: DataFrame, shift: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     """Starts (``doc, row, line``) of runs of `run` lines that also start earlier."""
     lines = docs.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    names = cut(_named(lines.select(*_PLACE, F.xxhash64("content").alias("a"), F.hash("content").alias("b"), F.length("content").alias("c")), ["a", "b", "c"]))
+    # a place is one row, however often its document was given
+    places = lines.select(*_PLACE, F.xxhash64("content").alias("a"), F.hash("content").alias("b"), F.length("content").alias("c")).dropDuplicates(_PLACE)
+    names = cut(_named(places, ["a", "b", "c"]))
     h = 1
     while h < run:
         step = min(h, run - h)
-        names = cut(_doubled(names, step))
+        former, names = names, cut(_doubled(names, step))
+        discard(former)
         h += step
     return names.filter(F.struct(*_PLACE) != F.col("name")).select(*_PLACE)
 
@@ -129,7 +135,8 @@ def line_dedup(docs: DataFrame, run: int = RUN, words: int | None = None) -> Dat
     have, and `run` is not used.
 
     Earlier: in a document with a smaller ``doc_id``, or further up in the same
-    one.  Lines are parted by ``\\n`` and compared exactly; blank lines count.
+    one.  Lines are parted by ``\\n``; blank lines count.  Lines are compared by two
+    hashes (64 and 32 bits) and their length.
     Runs are judged on the input.  ``docs`` needs ``doc_id`` and ``text``; other
     columns are ignored.
 
