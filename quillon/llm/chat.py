@@ -40,18 +40,24 @@ def collapse(conversations: DataFrame) -> DataFrame:
     in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     placed = turns.withColumn("place", F.row_number().over(in_order))
     running = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("conv_id")
+    conversation = Window.partitionBy("conv_id")
     sums = {name: F.sum(_salted(i)).over(running) for i, name in enumerate(_PREFIX[1:])}
-    hashed = placed.withColumns(sums).withColumn("turns", F.count("*").over(whole)).select("conv_id", F.col("place").alias("n"), *_PREFIX[1:], "turns")
-    whole_ones = hashed.filter("n = turns")
-    longest = hashed.groupBy(*_PREFIX).agg(F.max("turns").alias("longest"), F.min(F.when(F.col("n") == F.col("turns"), F.col("conv_id"))).alias("least"))
-    snapshots = longest.filter("least is not null")
-    maximal = whole_ones.join(snapshots.filter("longest > n"), _PREFIX, "left_anti").join(snapshots.select(*_PREFIX, "least"), _PREFIX).filter("conv_id = least").select("conv_id")
+    hashed = placed.withColumns(sums).withColumn("turns", F.count("*").over(conversation)).select("conv_id", F.col("place").alias("n"), *_PREFIX[1:], "turns")
+    # one row a prefix, whoever has it: a first turn that all conversations share is combined before the shuffle
+    longest = hashed.groupBy(*_PREFIX).agg(F.max("turns").alias("longest"), F.min(F.when(F.col("n") == F.col("turns"), F.col("conv_id"))).alias("conv_id"))
+    whole = longest.filter("conv_id is not null").select(*_PREFIX, "conv_id")
+    maximal = whole.join(longest.filter("longest > n").select(*_PREFIX), _PREFIX, "left_anti").select("conv_id")
     return placed.join(maximal, "conv_id", "left_semi").select("conv_id", "place", "role", "text")
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """One row per conversation: ``conv_id, n_turns, rendered``."""
+    """One row per conversation: ``conv_id, n_turns, rendered``.
+
+    ``turns`` is what `collapse` gives; other columns are ignored.  A null role or
+    text makes its turn vanish from the text (`collapse` leaves none), an empty
+    one is shown empty.  Turns that tie in ``place`` follow by their text.  An
+    empty table gives an empty result.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("place", rendered_turn(F.col("role"), F.col("text")).alias("shown"))))
     return turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_join(F.transform(ordered, lambda x: x["shown"]), "").alias("rendered"))
 
