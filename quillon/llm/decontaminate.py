@@ -2,11 +2,17 @@
 
 Every benchmark item has a 64-bit SimHash of its five-word shingles, weighted by
 their counts.  A document is read in windows as long as each item.  Fingerprints
-are cut into 8 blocks of 8 bits: two fingerprints within `RADIUS` bits differ by
-at most 2 bits in some block (8 blocks of 3 or more would make 24), so the index
-lists each item under all block values within 2 bits of its own and one look-up
-per block finds every item within the radius.  Candidates are verified by their
-exact weighted Jaccard similarity.
+are cut into four blocks of 16 bits.  Two fingerprints within `RADIUS` bits are,
+in some block, within the bits that `REACH` says (one more in every block would
+make `RADIUS` + 1), so the index lists each item under the block values within
+one bit of its own, a window looks up those within the rest of the reach, and
+every item within the radius is met.  A random item is met by about a tenth of
+the windows; candidates within the radius are verified by their exact weighted
+Jaccard similarity.
+
+The radius is a bound on recall: at a similarity of exactly 0.8 a bit differs
+with a probability of about 0.15, so 18 of 64 or more do in less than one pair in
+a hundred; at 0.9 in none of a million.
 
 A window's similarity cannot reach the bound unless that share of its shingles
 occurs in the benchmark at all; other windows are not fingerprinted.
@@ -14,9 +20,8 @@ occurs in the benchmark at all; other windows are not fingerprinted.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +29,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import textnp as tn
-from quillon.llm.frames import parts_for, table, total_bytes
+from quillon.llm.frames import cut, discard, hidden, parts_for, table, text_bytes
 
 SHINGLE = 5
 PERCENT = 80
-RADIUS = 23
-BLOCKS = 8
-#: Block values within 2 bits of zero: 1 + 8 + 28.
-NEAR = np.array([v for v in range(256) if v.bit_count() <= 2], np.int64)
-#: Items broadcast at once; a larger benchmark is read in several blocks.
-BLOCK_BYTES = 8 << 20
+#: Bits by which two fingerprints in one block may differ and still meet there.
+REACH = (4, 4, 3, 3)
+RADIUS = sum(REACH) + len(REACH) - 1
+#: 16-bit values by how many bits they have, few first.
+_BY_BITS = np.argsort(np.bitwise_count(np.arange(1 << 16, dtype=np.uint32)), kind="stable").astype(np.uint32)
+#: How many values have at most 0, 1, 2, 3 bits.
+_WITHIN = np.cumsum([1, 16, 120, 560])
+#: Bytes of the index that is broadcast at once; the benchmark is read in blocks of so much.
+BLOCK_BYTES = 32 << 20
+#: Bytes of the index for an item, and for a byte of its text, at most.
+ITEM_BYTES, TEXT_BYTES = 1200, 12
 _FILTER_BITS = 22
 
 
@@ -43,30 +53,57 @@ def simhash(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits.sum(axis=1, dtype=np.int32) * 2 > grams.shape[1], axis=-1).view(np.uint64).ravel()
 
 
-@dataclass
-class Item:
-    """One benchmark item."""
+def _keys(fingerprints: np.ndarray, block: int, bits: int) -> np.ndarray:
+    """Look-up keys (fingerprints x values) of a block's values within so many bits."""
+    value = (fingerprints >> np.uint64(16 * block)).astype(np.uint32) & np.uint32(0xFFFF)
+    return (np.uint32(block) << np.uint32(16)) | (value[:, None] ^ _BY_BITS[: _WITHIN[bits]])
+
 
-    item_id: int
-    n_words: int
-    fingerprint: int
-    bag: Counter
+@dataclass
+class Lookup:
+    """The items of one length: fingerprints, and item numbers by block value."""
+
+    items: np.ndarray
+    fingerprints: np.ndarray
+    keys: np.ndarray
+    listed: np.ndarray
+
+    @classmethod
+    def of(cls, items: np.ndarray, fingerprints: np.ndarray) -> Lookup:
+        keys = np.concatenate([_keys(fingerprints, b, 1) for b in range(len(REACH))], axis=1)
+        listed = np.repeat(np.arange(len(items), dtype=np.int32), keys.shape[1])
+        order = np.argsort(keys.ravel(), kind="stable")
+        return cls(items, fingerprints, keys.ravel()[order], listed[order])
+
+    def candidates(self, fingerprint: np.uint64) -> np.ndarray:
+        """Places of the items that share a block value nearly enough."""
+        one = np.array([fingerprint], np.uint64)
+        asked = np.concatenate([_keys(one, b, reach - 1)[0] for b, reach in enumerate(REACH)])
+        begin, end = np.searchsorted(self.keys, asked, "left"), np.searchsorted(self.keys, asked, "right")
+        return np.unique(self.listed[tn.ranges(begin, end - begin)])
+
+    def within(self, fingerprint: np.uint64) -> np.ndarray:
+        """Places of the items within the radius."""
+        at = self.candidates(fingerprint)
+        return at[np.bitwise_count(self.fingerprints[at] ^ fingerprint) <= RADIUS]
 
 
 @dataclass
 class Index:
-    """Items by length, block and block value; and which shingles occur at all."""
+    """Items: ids, distinct shingles with counts (laid end to end), look-ups by length; and which shingles occur at all."""
 
-    items: list[Item] = field(default_factory=list)
-    lengths: list[int] = field(default_factory=list)
-    tables: dict = field(default_factory=dict)
-    known: dict = field(default_factory=dict)
-    sieve: dict = field(default_factory=dict)
+    item_ids: np.ndarray
+    start: np.ndarray
+    shingles: np.ndarray
+    times: np.ndarray
+    lookups: dict[int, Lookup]
+    known: dict[int, np.ndarray]
+    sieve: dict[int, np.ndarray]
 
 
 def build_index(rows: list[tuple[int, str]], shingle: int) -> Index:
     """Index some items; items without words are left out."""
-    index = Index()
+    ids, sizes, prints, shingles, times = [], [], [], [], []
     grams_by_k: dict[int, list] = {}
     for item_id, text in rows:
         raw = np.frombuffer((text or "").encode(), np.uint8)
@@ -76,42 +113,42 @@ def build_index(rows: list[tuple[int, str]], shingle: int) -> Index:
             continue
         k = min(shingle, len(begin))
         grams = tn.gram_hashes(tn.span_hashes(lower, begin, end), k)
-        grams_by_k.setdefault(k, []).append(grams)
-        index.items.append(Item(item_id, len(begin), int(simhash(grams[None, :])[0]), Counter(grams.tolist())))
-    index.lengths = sorted({i.n_words for i in index.items})
-    for length in index.lengths:
-        own = [i for i, item in enumerate(index.items) if item.n_words == length]
-        blocks = []
-        for block in range(BLOCKS):
-            lists: dict[int, list[int]] = {}
-            for i in own:
-                value = index.items[i].fingerprint >> (8 * block) & 255
-                for v in (NEAR ^ value).tolist():
-                    lists.setdefault(v, []).append(i)
-            blocks.append(lists)
-        index.tables[length] = blocks
-    for k, parts in grams_by_k.items():
-        index.known[k] = np.unique(np.concatenate(parts))
-        index.sieve[k] = np.zeros(1 << _FILTER_BITS, bool)
-        index.sieve[k][(index.known[k] >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return index
-
-
-def similarity(a: Counter, b: Counter) -> float:
-    """Weighted Jaccard: summed least counts over summed greatest counts."""
-    both = sum(min(n, b[g]) for g, n in a.items() if g in b)
-    return both / (sum(a.values()) + sum(b.values()) - both)
-
-
-def matches(index: Index, fingerprint: int, length: int, grams: np.ndarray, percent: int) -> list[tuple[int, float]]:
-    """Items of the window's length within the radius that the window resembles."""
-    seen = {i for block in range(BLOCKS) for i in index.tables[length][block].get(fingerprint >> (8 * block) & 255, ())}
-    near = [i for i in seen if (index.items[i].fingerprint ^ fingerprint).bit_count() <= RADIUS]
+        own, counts = np.unique(grams, return_counts=True)
+        grams_by_k.setdefault(k, []).append(own)
+        ids.append(item_id)
+        sizes.append(len(begin))
+        prints.append(simhash(grams[None, :])[0])
+        shingles.append(own)
+        times.append(counts.astype(np.int32))
+    length, prints = np.array(sizes, np.int64), np.array(prints, np.uint64)
+    lookups = {n: Lookup.of(np.flatnonzero(length == n), prints[length == n]) for n in sorted(set(sizes))}
+    known = {k: np.unique(np.concatenate(parts)) for k, parts in grams_by_k.items()}
+    sieve = {k: np.zeros(1 << _FILTER_BITS, bool) for k in known}
+    for k, values in known.items():
+        sieve[k][(values >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+    start = np.append(0, np.cumsum([len(x) for x in shingles])).astype(np.int64)
+    return Index(np.array(ids, np.int64), start, np.concatenate(shingles or [np.zeros(0, np.uint64)]), np.concatenate(times or [np.zeros(0, np.int32)]), lookups, known, sieve)
+
+
+def matches(index: Index, fingerprint: np.uint64, length: int, grams: np.ndarray, percent: int) -> list[tuple[int, float]]:
+    """Items of the window's length within the radius that the window resembles.
+
+    The similarity is the weighted Jaccard one: summed least counts over summed greatest counts.
+    """
+    lookup = index.lookups[length]
+    near = lookup.items[lookup.within(fingerprint)].tolist()
     if not near:
         return []
-    bag = Counter(grams.tolist())
-    found = [(i, similarity(bag, index.items[i].bag)) for i in near]
-    return [(i, s) for i, s in found if s * 100 >= percent - 1e-9]
+    own, counts = np.unique(grams, return_counts=True)
+    found = []
+    for i in near:
+        a, z = index.start[i], index.start[i + 1]
+        _, mine, theirs = np.intersect1d(own, index.shingles[a:z], assume_unique=True, return_indices=True)
+        both = int(np.minimum(counts[mine], index.times[a:z][theirs]).sum())
+        every = len(grams) + int(index.times[a:z].sum()) - both
+        if both * 100 >= percent * every:
+            found.append((i, both / every))
+    return found
 
 
 def _known(index: Index, k: int, grams: np.ndarray) -> np.ndarray:
@@ -139,7 +176,7 @@ def scan(index: Index, data: np.ndarray, offsets: np.ndarray, shingle: int, perc
         for d in np.unique(doc[inside]).tolist():
             a, z = int(start[d]), int(start[d + 1])
             own, sums = grams[a : z - k + 1], np.append(0, np.cumsum(hit[a : z - k + 1]))
-            for length in index.lengths:
+            for length in index.lookups:
                 if min(shingle, length) != k:
                     continue
                 size = min(length, z - a) - k + 1
@@ -153,7 +190,7 @@ def scan(index: Index, data: np.ndarray, offsets: np.ndarray, shingle: int, perc
                 names = tn.mix(windows + np.arange(size, dtype=np.uint64)).sum(axis=1).tolist()
                 fresh = [i for i, name in enumerate(names) if (length, size, name) not in memo]
                 if fresh:
-                    for i, fingerprint in zip(fresh, simhash(windows[fresh]).tolist(), strict=True):
+                    for i, fingerprint in zip(fresh, simhash(windows[fresh]), strict=True):
                         memo[length, size, names[i]] = matches(index, fingerprint, length, windows[i], percent)
                 for name in names:
                     for i, s in memo[length, size, name]:
@@ -170,29 +207,42 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     Words are runs of letters and digits, A-Z lowered.  A document holds an item
     if some window of the item's length in words (the whole document if it is
     shorter) has a weighted Jaccard similarity of `percent` / 100 with the item,
-    on shingles of `shingle` words (shorter items: the whole item).
+    on shingles of `shingle` words (shorter items: the whole item), and their
+    fingerprints differ in at most `RADIUS` bits.
 
-    ``docs`` needs ``text``; all its columns stay, but for those named like the
-    new ones, which are replaced: ``contaminated``, ``n_items``, ``item_ids``
-    (sorted), ``similarity`` (the highest; null if none).  ``benchmark`` needs
-    ``item_id`` and ``text``.  A benchmark larger than `block_bytes` is
-    broadcast in blocks, which pass over the documents one after another.
+    ``docs`` needs ``text``; all its columns stay, whatever their names, but for
+    those named like the new ones, which are replaced: ``contaminated``,
+    ``n_items``, ``item_ids`` (sorted), ``similarity`` (the highest; null if
+    none).  ``benchmark`` needs ``item_id`` and ``text``.  A benchmark whose index
+    exceeds `block_bytes` is broadcast in blocks, which pass over the documents
+    one after another; each pass is written to the shared folder and its block
+    freed, so no more than one block is held at a time.
 
     Null or empty texts are clean; items without words or without an id are
-    ignored; a benchmark without rows leaves all documents clean.
+    ignored; several items of one id count as one; a benchmark without rows
+    leaves all documents clean.
     """
+    spark = docs.sparkSession
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = parts_for(total_bytes(items), block_bytes, least=1)
-    plain = docs.drop(*NEW, "found")
+    weight = items.agg(F.sum(text_bytes() * TEXT_BYTES + ITEM_BYTES).alias("n")).first().n or 0
+    blocks = parts_for(weight, block_bytes, least=1)
+    plain, back = hidden(docs.drop(*NEW), ["text"])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
     text_at = plain.columns.index("text")
     out = plain.withColumn("found", F.create_map().cast("map<bigint,double>"))
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         index = build_index([tuple(r) for r in part.orderBy("item_id", "text").collect()], shingle)
-        out = out.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(index), text_at, shingle, percent), f"{kinds}, found map<bigint,double>")
+        shared = spark.sparkContext.broadcast(index)
+        out = out.mapInArrow(_scanner(shared, text_at, shingle, percent), f"{kinds}, found map<bigint,double>")
+        if blocks > 1:
+            written = cut(out)
+            shared.unpersist()
+            if block:
+                discard(out_before)
+            out = out_before = written
     ids = F.array_sort(F.map_keys("found"))
-    return out.select(*plain.columns, (F.size("found") > 0).alias("contaminated"), F.size("found").cast("long").alias("n_items"), ids.alias("item_ids"), F.array_max(F.map_values("found")).alias("similarity"))
+    return out.select(*back, (F.size("found") > 0).alias("contaminated"), F.size("found").cast("long").alias("n_items"), ids.alias("item_ids"), F.array_max(F.map_values("found")).alias("similarity"))
 
 
 def _scanner(shared, text_at: int, shingle: int, percent: int):
@@ -208,7 +258,7 @@ def _scanner(shared, text_at: int, shingle: int, percent: int):
                     memo.clear()
                 best += [_best(index, f) for f in scan(index, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], shingle, percent, memo)]
             before = batch.column(batch.num_columns - 1).to_pylist()
-            merged = [list((dict(b) | f).items()) for b, f in zip(before, best, strict=True)]
+            merged = [list({k: max(f.get(k, 0.0), dict(b).get(k, 0.0)) for k in dict(b) | f}.items()) for b, f in zip(before, best, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(merged, pa.map_(pa.int64(), pa.float64()))], batch.schema.names)
 
     return run
@@ -218,7 +268,8 @@ def _best(index: Index, found: dict[int, float]) -> dict[int, float]:
     """By item id; several items of one id count as one."""
     out: dict[int, float] = {}
     for i, s in found.items():
-        out[index.items[i].item_id] = max(s, out.get(index.items[i].item_id, 0.0))
+        item = int(index.item_ids[i])
+        out[item] = max(s, out.get(item, 0.0))
     return out
 
 
