@@ -1,8 +1,9 @@
 """Operator 6: sharding through fixed virtual slots.
 
-Records are hashed by id into `SLOTS` slots.  Bytes are summed per slot, and a
-slot-to-shard map, stored with a version, places the slots.  Rebalancing edits
-the map: only the slots that move change, so only their records move.
+Records are hashed by id and text into `SLOTS` slots, so that missing or repeated
+ids spread too.  Bytes are summed per slot, and a slot-to-shard map, stored with
+a version, places the slots.  Rebalancing edits the map: only the slots that move
+change, so only their records move.
 """
 
 from __future__ import annotations
@@ -10,15 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.frames import table, text_bytes
+from quillon.llm.frames import hidden, new_path, table, text_bytes
 
 SLOTS = 4096
 SHARDS = 24
 
 
-def slot_of(doc_id: str = "doc_id", slots: int = SLOTS) -> Column:
-    """The virtual slot of a record: its id alone decides."""
-    return F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(slots)).cast("int")
+def text_crc32(text: str = "text") -> Column:
+    """Unsigned CRC-32 of the UTF-8 bytes; a null text has none."""
+    return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def slot_of(doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS) -> Column:
+    """The virtual slot of a record: its id and its text decide."""
+    return F.pmod(F.xxhash64(F.col(doc_id).cast("long"), text_crc32(text)), F.lit(slots)).cast("int")
 
 
 def slot_loads(records: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -82,26 +88,50 @@ def assign(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     return numbered.withColumn("slot", F.col("slot_begin") + F.col("in_slot")).drop("slot_begin", "in_slot")
 
 
-NEW = ["size", "text_crc32", "virtual_slot", "shard", "slot"]
+NEW = ["size", "text_crc32", "virtual_slot", "map_version", "shard", "slot", "next_shard"]
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: DataFrame | None = None) -> DataFrame:
-    """Place documents in `shards` shards of nearly equal bytes.
+def _records(docs: DataFrame, slots: int) -> DataFrame:
+    return docs.withColumns({"size": text_bytes() + 8, "text_crc32": text_crc32(), "virtual_slot": slot_of(slots=slots)})
+
 
-    ``docs`` needs ``doc_id`` and ``text``; all its columns stay, but for those
-    named like the new ones, which are replaced: ``size`` (UTF-8 bytes plus 8),
-    ``text_crc32``, ``virtual_slot``, ``shard`` and ``slot``.  With `slot_map`
-    (from `store`) that map is used, otherwise version 1 is made from the data.
+def first_maps(docs: DataFrame, path: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """Store version 1 of the map, made from the documents, and version 2, grown by one shard; gives version 1 back."""
+    spark = docs.sparkSession
+    store(first_map(slot_loads(_records(docs, slots).select("virtual_slot", "size"), slots), shards), path)
+    first = stored(spark, path, 1)
+    store(grow(first, shards), path)
+    return first
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None, version: int = 1) -> DataFrame:
+    """Place documents in `shards` shards of nearly equal bytes.
 
-    Null texts count as empty.  Null ids share a slot, and so do rows of one id;
-    equal rows are numbered one after another.  An empty table gives an empty result.
+    ``docs`` needs ``doc_id`` and ``text``; all its columns stay, whatever their
+    names, but for those named like the new ones, which are replaced: ``size``
+    (UTF-8 bytes plus 8), ``text_crc32``, ``virtual_slot``, ``map_version``,
+    ``shard``, ``slot``, and ``next_shard``, the shard under the map's next
+    version (null if there is none).  The map is read from `path` in the given
+    version; without a path, versions 1 and 2 (one shard more) are made from the
+    data and stored in the shared folder.
+
+    Null texts count as empty.  Rows without an id, or with one id, are dealt by
+    their texts too; rows that agree in both share a slot, tie, and are numbered
+    one after another.  An empty table gives an empty result.
     """
-    records = docs.drop(*NEW).withColumns({"size": text_bytes() + 8, "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), "virtual_slot": slot_of(slots=slots)})
-    chosen = slot_map if slot_map is not None else first_map(slot_loads(records.select("virtual_slot", "size"), slots), shards)
-    return assign(records, chosen).select(*docs.drop(*NEW).columns, *NEW)
+    spark = docs.sparkSession
+    plain, back = hidden(docs.drop(*NEW), ["doc_id", "text"])
+    if path is None:
+        path = new_path(spark)
+        first_maps(plain, path, shards, slots)
+    now, later = stored(spark, path, version), stored(spark, path, version + 1)
+    numbered = assign(_records(plain, slots), now).withColumn("map_version", F.lit(version))
+    moved = later.select("virtual_slot", F.col("shard").alias("next_shard"))
+    # one row a virtual slot
+    return numbered.join(F.broadcast(moved), "virtual_slot", "left").select(*back, *NEW)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: all documents into 24 shards of nearly equal bytes."""
+    """Contract query: all documents into 24 shards of nearly equal bytes, by the stored map; ``next_shard`` is the one of 25."""
     placed = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", "next_shard")
