@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.frames import cut, table
+from quillon.llm import textnp as tn
+from quillon.llm.frames import attached, cut, table
 
 #: Samples of a row; payloads are padded with spaces to whole rows, one at least.
 ROW = 192
@@ -102,8 +103,8 @@ def sequences(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for low, high in tn.chunks(tn.binary_buffers(batch.column(1))[1]):
+                part = batch.slice(low, high - low)
                 parsed = [parse_html(h) for h in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(parsed, pa.list_(PART))], [key, "sequence"])
 
@@ -142,32 +143,34 @@ def difference_hash(samples: np.ndarray) -> str:
 def media_rows(docs: DataFrame) -> DataFrame:
     """The media table of texts: ``digest, n_bytes, media``; each digest once in a task's batch.
 
-    ``docs`` has ``text``; ``digest`` is the SHA-256 of the text.
+    ``docs`` has ``text``; ``digest`` is the SHA-256 of the text.  Texts are
+    encoded in chunks of some bytes, and a longer text alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[bytes] = set()
-            for at in range(0, batch.num_rows, 256):
+            data, offsets = tn.binary_buffers(batch.column(0))
+            for low, high in tn.chunks(offsets):
                 digests, sizes, media = [], [], []
-                for text in batch.column(0).slice(at, 256).to_pylist():
-                    payload = (text or "").encode()
+                for a, z in zip(offsets[low:high].tolist(), offsets[low + 1 : high + 1].tolist(), strict=True):
+                    payload = data[a:z].tobytes()
                     digest = hashlib.sha256(payload).digest()
                     if digest not in seen:
                         seen.add(digest)
-                        digests.append(digest.hex())
+                        digests.append(digest)
                         sizes.append(len(payload))
                         media.append(encode(padded(payload)))
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["digest", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["digest", "n_bytes", "media"])
 
-    return docs.select("text").mapInArrow(run, "digest string, n_bytes long, media binary")
+    return docs.select("text").mapInArrow(run, "digest binary, n_bytes long, media binary")
 
 
-FEATURES = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "digest binary, n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Features of stored media, computed from the bytes read back."""
+    """Features of stored media, computed from the bytes read back; digests are binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +180,7 @@ def media_features(media: DataFrame) -> DataFrame:
                 samples = decode(raw)
                 payload = samples.tobytes()
                 feature = f"{samples.shape[1]}x{samples.shape[0]}:{difference_hash(samples)}"
-                values = (digest, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature)
+                values = (digest, n_bytes, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).digest(), feature)
                 for column, value in zip(out.values(), values, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_pydict(out)
@@ -186,21 +189,26 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def references(parsed: DataFrame, key: str) -> DataFrame:
-    """The media references of sequences: ``key, position, digest, caption, text_before``.
+    """The media references of sequences: ``key, position, digest, reference, caption, text_before``.
 
-    References of the form ``sha256:<digest>`` name a payload; others have a null digest.
+    References of the form ``sha256:<digest>`` name a payload; others have an empty digest.
     """
     media = F.filter("sequence", lambda p: p["kind"] == "media")
     rows = parsed.select(key, "sequence", F.explode(media).alias("part"))
     before = F.filter("sequence", lambda p: (p["kind"] == "text") & (p["position"] < F.col("part.position")))
-    digest = F.regexp_extract("part.reference", "^sha256:([0-9a-f]{64})$", 1)
-    return rows.select(key, F.col("part.position").alias("position"), F.when(digest != "", digest).alias("digest"), F.col("part.reference").alias("reference"), F.col("part.caption").alias("caption"), F.try_element_at(before, F.lit(-1))["text"].alias("text_before"))
+    digest = F.unhex(F.regexp_extract("part.reference", "^sha256:([0-9a-f]{64})$", 1))
+    return rows.select(key, F.col("part.position").alias("position"), digest.alias("digest"), F.col("part.reference").alias("reference"), F.col("part.caption").alias("caption"), F.try_element_at(before, F.lit(-1))["text"].alias("text_before"))
 
 
 def resolve(parsed: DataFrame, key: str, features: DataFrame) -> DataFrame:
-    """Each media reference with what the media table knows of its payload (null if it isn't there)."""
+    """Each media reference with what the media table knows of its payload (null if it isn't there).
+
+    Payloads join by digest; a digest that very many references name is split over several tasks.
+    """
     once = features.groupBy("digest").agg(*[F.first(c).alias(c) for c in features.columns if c != "digest"])
-    return references(parsed, key).join(once, "digest", "left")
+    found = attached(cut(references(parsed, key)), once, ["digest"], [key, "position"], how="left")
+    shown = {c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")} | {"digest": F.when(F.length("digest") > 0, F.lower(F.hex("digest")))}
+    return found.withColumns(shown)
 
 
 def as_page(doc_id: Column, digest: Column) -> Column:
@@ -231,3 +239,16 @@ def document_media(docs: DataFrame) -> DataFrame:
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: all documents as media, resolved through their pages."""
     return document_media(table(spark, sf_dir, "documents"))
+
+
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of all ``pages`` in order, with the media they refer to: one row a page.
+
+    Returns ``page_id, n_parts, n_media, captions, text_sha256`` (of the parts' texts,
+    a line each).  Null and empty pages have no parts.
+    """
+    parsed = sequences(table(spark, sf_dir, "pages"), "page_id")
+    kind = lambda k: F.filter("sequence", lambda p: p["kind"] == k)
+    said = F.array_join(F.transform(kind("text"), lambda p: p["text"]), "\n")
+    captions = F.array_compact(F.transform(kind("media"), lambda p: p["caption"]))
+    return parsed.select("page_id", F.size("sequence").alias("n_parts"), F.size(kind("media")).alias("n_media"), F.array_join(captions, "\n").alias("captions"), F.sha2(said.cast("binary"), 256).alias("text_sha256"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from quillon.llm.chat import OP4_SQL, op4_chat_format
 from quillon.llm.decontaminate import op7_decontaminate
 from quillon.llm.line_dedup import OP2_SQL, op2_line_dedup, op2_line_dedup_words
-from quillon.llm.media import op5_media_columns
+from quillon.llm.media import op5_media_columns, page_sequences
 from quillon.llm.minhash import op10_minhash_near_dedup
 from quillon.llm.mixing import OP8_SQL, op8_mixing
 from quillon.llm.sharding import op6_sharding
@@ -20,6 +20,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
     "op5_media_columns": op5_media_columns,
+    "page_sequences": page_sequences,
     "op6_sharding": op6_sharding,
     "op7_decontaminate": op7_decontaminate,
     "op8_mixing": op8_mixing,
