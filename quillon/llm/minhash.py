@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import textnp as tn
 from quillon.llm.components import components
-from quillon.llm.frames import cut, parts_for, table
+from quillon.llm.frames import attached, cut, discard, parts_for, table, with_totals
 
 #: At similarity 0.8 a band of two permutations agrees with probability 0.8**4; 32 bands all differ once in 2 * 10**7 pairs.
 BANDS = 32
@@ -117,11 +117,11 @@ def _near(a: str, b: str, percent: int) -> Column:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have at least the similarity."""
+    """The pairs (a, b) whose full sets have at least the similarity; a class with very many pairs is split."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
+    joined = attached(attached(pairs, left, ["a"], ["b"]), right, ["b"], ["a"]).select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
     return joined.filter(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * percent).select("a", "b").distinct()
 
 
@@ -129,7 +129,7 @@ def _open(entries: DataFrame) -> DataFrame:
     """Entries (``key, node, n_shingles, root, nth``) of keys with several components, with the key's main one and its size."""
     counts = entries.groupBy("key", "root").agg(F.count("*").alias("n"))
     mains = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("members"))
-    return entries.join(mains.filter("roots > 1").drop("roots"), "key")
+    return attached(entries, mains.filter("roots > 1").drop("roots"), ["key"], ["node"])
 
 
 def _crossing(opened: DataFrame, percent: int) -> DataFrame:
@@ -234,8 +234,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
     real = features.filter("doc_id is not null and n_shingles > 0")
     classes = cut(real.groupBy(*digest).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
     entries = classes.select("node", "n_shingles", F.explode("bands").alias("key"))
-    centres = entries.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = cut(entries.join(centres, "key").select("key", "node", "n_shingles", F.col("centre.node").alias("centre"), F.col("centre.n_shingles").alias("n_centre")))
+    centred = with_totals(entries, ["key"], ["node"], F.min(F.struct("node", "n_shingles")).alias("centre"), F.count("*").alias("n"), having="n > 1")
+    members = cut(centred.select("key", "node", "n_shingles", F.col("centre.node").alias("centre"), F.col("centre.n_shingles").alias("n_centre")))
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     sets = cut(slim.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"))
     tried = cut(members.filter(F.col("node") != F.col("centre")).filter(_near("n_shingles", "n_centre", percent)).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
@@ -251,9 +251,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
     more = cut(_linked(crossing.join(tried, ["a", "b"], "left_anti"), sets, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
+    for done in (members, sets, tried, links, opened, more):
+        discard(done)
 
     named = classes.join(roots, "node", "left").select(*digest, F.coalesce("root", "node").alias("root"))
-    found = features.filter("n_shingles > 0").select("doc_id", *digest).join(named, digest, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"))
+    # exact copies share a digest: a large group is split
+    found = attached(features.filter("n_shingles > 0").select("doc_id", *digest), named, digest, ["doc_id"], how="left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"))
     empty = features.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
