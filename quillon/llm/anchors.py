@@ -3,7 +3,10 @@
 The two exact window-dedup operators share this plan; they differ in what a
 symbol is (a word, a byte) and in how a bucket finds equal windows.
 
-1. Documents are dealt into groups of a few megabytes.  Each window of ``window``
+1. Documents are dealt into groups of a few megabytes.  Groups and buckets grow
+   with the square root of the text, so that the rows exchanged between them (one
+   for each group and bucket) grow in proportion to it; from about 16 GB of text
+   on their bounds hold, and rows grow until each holds one string.  Each window of ``window``
    symbols has one *anchor*: its k-gram with the least hash.  Consecutive windows
    with the same anchor form a run.  A group sends the distinct anchor hashes it
    has, with counts, to hash buckets.
@@ -34,9 +37,13 @@ from pyspark.sql import functions as F
 from quillon.llm import textnp as tn
 from quillon.llm.frames import parts_for, total_bytes
 
+#: Text of a group where there is 1 GiB of text in all.
 GROUP_BYTES = 2 << 20
-#: Text for each bucket, in groups.
+#: Bounds of a group's text, so that a task's memory is bounded.
+LEAST_GROUP, MOST_GROUP = 1 << 19, 16 << 20
+#: Text for each bucket: in groups, and at most.
 GROUPS_A_BUCKET = 4
+MOST_BUCKET = 16 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -383,7 +390,7 @@ class Bucket:
 
 
 def unpacked(rows: pa.Table) -> Bucket:
-    """The rows that met in a bucket."""
+    """The rows that met in a bucket; sort them by group, so that ties fall the same way whenever a task runs again."""
     parts = []
     for i, packed in enumerate(rows["strings"].to_pylist()):
         text, length, offset, times, slots, ids, inverse, place = tn.unpack(packed, *_STRINGS)
@@ -423,14 +430,25 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def repeated_windows(docs: DataFrame, spec: Spec, decide: Callable[[pa.Table], pa.Table], finish: Callable[[tuple, pa.Table, pa.Table], pa.Table], schema: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Run the five steps; `decide` is a bucket's work, `finish` makes a group's result rows."""
+def group_size(size: int) -> int:
+    """Bytes of a group's text, given those of all."""
+    return int(min(MOST_GROUP, max(LEAST_GROUP, GROUP_BYTES * (size / (1 << 30)) ** 0.5)))
+
+
+def repeated_windows(docs: DataFrame, spec: Spec, decide: Callable[[pa.Table], pa.Table], finish: Callable[[tuple, pa.Table, pa.Table], pa.Table], schema: str, group_bytes: int | None = None) -> DataFrame:
+    """Run the five steps; `decide` is a bucket's work, `finish` makes a group's result rows.
+
+    Every exchange has as many partitions as there are groups or buckets.  Rows
+    without an id are dealt by a hash of their text.
+    """
     size = total_bytes(docs)
-    groups, buckets = parts_for(size, group_bytes), parts_for(size, group_bytes * GROUPS_A_BUCKET)
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    by_group = dealt.groupBy("grp")
+    each = group_bytes or group_size(size)
+    groups, buckets = parts_for(size, each), parts_for(size, min(each * GROUPS_A_BUCKET, MOST_BUCKET))
+    dealt_by = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.col("doc_id").cast("long")))
+    dealt = docs.select(F.pmod(dealt_by, F.lit(groups)).cast("int").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    by_group = dealt.repartition(groups, "grp").groupBy("grp")
     anchors = by_group.applyInArrow(anchor_sender(spec, buckets), ANCHORS)
-    shared = anchors.groupBy("bucket").applyInArrow(anchor_counter(spec), SHARED)
-    segments = by_group.cogroup(shared.groupBy("grp")).applyInArrow(segment_sender(spec, buckets), SEGMENTS)
-    covered = segments.groupBy("bucket").applyInArrow(decide, COVERED)
-    return by_group.cogroup(covered.groupBy("grp")).applyInArrow(finish, schema)
+    shared = anchors.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(anchor_counter(spec), SHARED)
+    segments = by_group.cogroup(shared.repartition(groups, "grp").groupBy("grp")).applyInArrow(segment_sender(spec, buckets), SEGMENTS)
+    covered = segments.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(decide, COVERED)
+    return by_group.cogroup(covered.repartition(groups, "grp").groupBy("grp")).applyInArrow(finish, schema)

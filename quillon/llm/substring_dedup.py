@@ -59,13 +59,14 @@ def decide(spec: an.Spec):
     """A bucket's windows, sorted: each but the first of equal ones starts earlier elsewhere."""
 
     def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("grp")
         b = an.unpacked(rows)
         ids, start = word_ids(b.data, b.begin, b.length)
         count = np.diff(start) - spec.window + 1
         at = tn.ranges(start[:-1], count)
         spot = np.repeat(b.first[:-1], count)
         begin = b.place[spot] + at - np.repeat(start[:-1], count)
-        near = np.lexsort((begin, b.slot[spot], b.doc[spot]))
+        near = np.lexsort((begin, b.slot[spot], b.row[spot], b.doc[spot]))
         tie = np.empty(len(near), np.int64)
         tie[near] = np.arange(len(near))
         order, new = equal_windows(ids, at, spec.window, tie)
@@ -114,7 +115,7 @@ def finish(spec: an.Spec, with_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = 2048, with_text: bool = True, group_bytes: int = an.GROUP_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = 2048, with_text: bool = True, group_bytes: int | None = None) -> DataFrame:
     """Remove each word covered by a window of `window` words that also starts earlier.
 
     Earlier: in a document with a smaller ``doc_id``, or before it in the same
@@ -125,9 +126,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     kept_text`` (kept words joined by one space; null unless `with_text`).
 
     Null text: no words.  Texts shorter than a window: nothing is removed.  Rows
-    with a null ``doc_id`` come after all others; rows that share a ``doc_id``
-    count as one after another, ordered by text, so the second of two equal
-    rows loses its windows.  An empty table gives an empty result.
+    with a null ``doc_id`` come after all others, in the order of a hash of their
+    text; rows that share a ``doc_id`` count as one after another, ordered by text,
+    so the second of two equal rows loses its windows.  An empty table gives an empty result.
     """
     spec = an.Spec(window=window, gram=min(gram, window), by_word=True, within_document=True, hot=hot)
     return an.repeated_windows(docs, spec, decide(spec), finish(spec, with_text), RESULT, group_bytes)

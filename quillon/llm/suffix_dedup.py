@@ -92,6 +92,7 @@ def decide(spec: an.Spec):
     """A bucket's strings, column by column; the covered windows of every occurrence."""
 
     def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("grp")
         b = an.unpacked(rows)
         owner = b.doc[b.first[:-1]]
         # single windows of hot anchors (offset -1) are aligned at their start
@@ -163,7 +164,7 @@ def finish(spec: an.Spec, with_bytes: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = 2048, with_bytes: bool = True, group_bytes: int = an.GROUP_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = 2048, with_bytes: bool = True, group_bytes: int | None = None) -> DataFrame:
     """Remove each byte covered by a `window`-byte string that also starts in a document with a smaller ``doc_id``.
 
     Matches never cross documents and are judged on the input.  ``docs`` needs
