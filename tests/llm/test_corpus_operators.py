@@ -1,16 +1,18 @@
 """Corpus operators against brute force, on small and awkward tables."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, line_dedup, media, minhash, mixing, sharding, substring_dedup, suffix_dedup, toxicity
+from quillon.llm import anchors, chat, decontaminate, frames, line_dedup, media, minhash, mixing, sharding, substring_dedup, suffix_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -268,21 +270,48 @@ def test_op7_finds_items_whole_and_nearly(spark):
     docs += [(100, None), (101, ""), (102, "x Only (three) words!"), (103, " ".join(items[0][1].split()[1:])), (None, items[1][1])]
     bench = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, found string")
     want = brute_windows(docs, items)
-    for block_bytes in (8 << 20, 600):
+    for block_bytes in (8 << 20, 8000):
         got = {r.doc_id: set(r.item_ids) for r in decontaminate.decontaminate(docs_of(spark, docs), bench, block_bytes=block_bytes).collect()}
         assert got == {i: want.get(i, set()) for i, _ in docs}
     assert sum(map(bool, got.values())) > 15
     assert decontaminate.decontaminate(docs_of(spark, docs), bench.limit(0)).filter("contaminated").count() == 0
 
 
-def test_op7_index_finds_all_fingerprints_within_the_radius():
-    rng = random.Random(8)
-    own = rng.getrandbits(64)
-    for _ in range(300):
-        other = own
-        for bit in rng.sample(range(64), decontaminate.RADIUS):
-            other ^= 1 << bit
-        assert any((own >> 8 * b & 255) ^ (other >> 8 * b & 255) in set(decontaminate.NEAR.tolist()) for b in range(8))
+def test_op7_index_finds_all_fingerprints_within_the_radius_and_few_others():
+    rng = np.random.default_rng(8)
+    prints = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 4000, dtype=np.uint64)
+    lookup = decontaminate.Lookup.of(np.arange(4000), prints)
+    met = 0
+    for i in range(300):
+        bits = rng.choice(64, decontaminate.RADIUS, replace=False).astype(np.uint64)
+        asked = prints[i] ^ np.bitwise_or.reduce(np.uint64(1) << bits)
+        found = lookup.candidates(asked)
+        assert i in found and set(lookup.within(asked)) == set(np.flatnonzero(np.bitwise_count(prints ^ asked) <= decontaminate.RADIUS))
+        met += len(found) - 1
+    assert met / 300 / 3999 < 0.12
+
+
+def test_op7_index_keeps_to_its_bound():
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(10**5)}" for _ in range(rng.choice([3, 40, 300])))) for i in range(3000)]
+    index = decontaminate.build_index(rows, 5)
+    held = sum(len(pickle.dumps(x)) for x in (index.item_ids, index.start, index.shingles, index.times, index.lookups, index.known))
+    assert held <= sum(len(t) * decontaminate.TEXT_BYTES + decontaminate.ITEM_BYTES for _, t in rows)
+
+
+def test_op7_recall_at_the_bound():
+    """Pairs of a similarity from 0.8 to 0.9: nearly all have fingerprints within the radius."""
+    rng = random.Random(10)
+    near = n = 0
+    for _ in range(2000):
+        grams = np.array([rng.getrandbits(63) for _ in range(rng.randint(20, 60))], np.uint64)
+        other = grams.copy()
+        changed = max(1, int(len(grams) * rng.uniform(0.06, 0.11)))
+        other[:changed] = [rng.getrandbits(63) for _ in range(changed)]
+        if (len(grams) - changed) / (len(grams) + changed) >= 0.8:
+            n += 1
+            near += int(np.bitwise_count(decontaminate.simhash(grams[None, :])[0] ^ decontaminate.simhash(other[None, :])[0])) <= decontaminate.RADIUS
+    assert n > 1500 and near / n > 0.985
 
 
 def test_op8_targets_and_takes(spark):
@@ -386,3 +415,118 @@ def test_op10_rarest_shingles_are_counted_in_groups_that_follow_the_data(spark,
     # a shingle of all classes reaches its bucket once for each group, not for each class
     sent = minhash._token_counter(minhash._token_sender(1)((type("K", (), {"as_py": lambda self: 5})(),), pa.table({"shingles": pa.array([[1, 2], [1, 3], [1, 4]], pa.list_(pa.int64()))})))
     assert sent.to_pydict() == {"grp": [5], "tokens": [[1]], "often": [[3]]}
+
+
+def test_op2_repeated_rows_cost_in_proportion(spark):
+    """Repeated rows are one document: names are one row a place, however often a row was given."""
+    text = "\n".join(f"line {i} {i * 7}" for i in range(4))
+    docs = spark.createDataFrame([(1, text)] * 200 + [(2, text)] * 200, "doc_id long, text string")
+    keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row"), "text")
+    starts = line_dedup.repeated_runs(keyed)
+    assert sorted((r.doc, r.line) for r in starts.collect()) == [(2, 0), (2, 1)]
+    got = line_dedup.line_dedup(docs).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0)] * 200 + [(2, 4)] * 200
+
+
+def duck_rows(sql, **tables):
+    import duckdb
+
+    c = duckdb.connect()
+    for name, frame in tables.items():
+        c.register(name, frame.toArrow())
+    cursor = c.execute(sql)
+    return [x[0] for x in cursor.description], cursor.fetchall()
+
+
+def same_rows(df, sql, **tables):
+    names, want = duck_rows(sql, **tables)
+    got = df.select(names).collect()
+    shown = lambda rows: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in rows)
+    assert shown(got) == shown(want) and len(got) > 0
+
+
+def test_sql_of_op2_op4_and_op8_on_awkward_tables(spark):
+    rows = [(i, t) for i, t in awkward(6, 80)] + [(500, "a\n\n\nb"), (501, "\n\n\n"), (502, "a\n\n\nb\nc")]
+    docs = docs_of(spark, rows).select("doc_id", "text", "source")
+    done = line_dedup.line_dedup(docs)
+    same_rows(done.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")), line_dedup.OP2_SQL, documents=docs)
+    rng = random.Random(12)
+    turns = []
+    for c in range(60):
+        said = turns and rng.choice([[t for t in turns if t[0] == rng.randrange(c)], []]) or []
+        texts = [t[3] for t in said] + [rng.choice(["a", "b", "", None]) for _ in range(rng.randint(0 if said else 1, 3))]
+        turns += [(c, i if rng.random() < 0.9 else None, rng.choice(["user", None]) if rng.random() < 0.1 else "user", t) for i, t in enumerate(texts)]
+    turns += turns[:4] + [(None, 0, "user", "a")]
+    chats = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    same_rows(chat.render(chat.collapse(chats)), chat.OP4_SQL, conversations=chats)
+    mixed = docs_of(spark, [(i, t, ["b", "a", None, "Z", "é"][i % 7 % 5]) for i, t in rows] + [(None, "x y", "a"), (None, "y z q", "a"), (3, "other text", "b")]).select("doc_id", "text", "source")
+    got = mixing.mix(mixed).select("doc_id", "size", "source_size", "target", "taken", "position")
+    same_rows(got, mixing.OP8_SQL, documents=mixed)
+
+
+def test_hot_keys_are_split(spark):
+    """One key with most rows: its rows are dealt over many tasks, and nothing is lost."""
+    rows = spark.range(5000).select((F.col("id") % 10 == 0).cast("int").alias("k"), "id")
+    got = frames.with_totals(rows, ["k"], ["id"], F.count("*").alias("n"), F.min("id").alias("least"))
+    assert {(r.k, r.n, r.least) for r in got.select("k", "n", "least").distinct().collect()} == {(0, 4500, 1), (1, 500, 0)} and got.count() == 5000
+    lookup = spark.createDataFrame([(0, "zero")], "k int, name string")
+    assert frames.attached(rows, lookup, ["k"], ["id"]).count() == 4500
+    left = frames.attached(rows, lookup, ["k"], ["id"], how="left")
+    assert left.count() == 5000 and left.filter("name is null").count() == 500
+    assert frames._one_row_a_salt(rows.withColumn("salt_", frames._salt(["id"])).groupBy("k").agg(frames._salts_used())).count() == 2 * frames.SALTS
+
+
+def test_repeated_windows_exchange_grows_in_proportion():
+    rows = lambda size: (size / anchors.group_size(size)) * (size / min(anchors.group_size(size) * anchors.GROUPS_A_BUCKET, anchors.MOST_BUCKET))
+    assert rows(850 << 20) / rows(170 << 20) == pytest.approx(5, rel=0.02)
+
+
+def test_op3_learner_equals_a_plain_loop():
+    """FTRL-proximal, one document and one coordinate at a time."""
+    rng = random.Random(3)
+    settings = toxicity.Ftrl(alpha=0.5, beta=1.0, l1=0.7, l2=0.3)
+    documents = [sorted(rng.sample(range(40), rng.randint(1, 12))) + [1 << toxicity.BITS] for _ in range(300)]
+    labels = [int(3 in d or rng.random() < 0.1) for d in documents]
+    z, n = defaultdict(float), defaultdict(float)
+    for d, y in zip(documents, labels, strict=True):
+        w = {i: 0.0 if abs(z[i]) <= settings.l1 else ((settings.l1 if z[i] > 0 else -settings.l1) - z[i]) / ((settings.beta + n[i] ** 0.5) / settings.alpha + settings.l2) for i in d}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - y
+        for i in d:
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / settings.alpha * w[i]
+            n[i] += g * g
+    none = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    idx, zs, ns = toxicity._learn([np.array(d, np.int32) for d in documents], np.array(labels, float), settings, none)
+    assert idx.tolist() == sorted(i for i in z if abs(z[i]) > settings.l1) and 3 in idx.tolist()
+    assert zs == pytest.approx([z[i] for i in idx.tolist()]) and ns == pytest.approx([n[i] for i in idx.tolist()])
+
+
+def test_op5_feature_equals_a_plain_loop():
+    rng = random.Random(4)
+    for height in (1, 3, 8, 13):
+        samples = np.array([[rng.randrange(256) for _ in range(media.ROW)] for _ in range(height)], np.uint8)
+        bits = []
+        for r in range(8):
+            top, end = (0, height) if height < 8 else (r * height // 8, (r + 1) * height // 8)
+            sums = [sum(int(x) for row in samples[top:end] for x in row[c * media.ROW // 9 : (c + 1) * media.ROW // 9]) for c in range(9)]
+            bits += [int(a < b) for a, b in zip(sums, sums[1:], strict=False)]
+        assert media.difference_hash(samples) == f"{int(''.join(map(str, bits)), 2):016x}"
+
+
+def test_pages_are_read_in_order(spark):
+    got = media.page_sequences(spark, "/root/testdata/sf0.001")
+    html = {r.page_id: r.html for r in frames.table(spark, "/root/testdata/sf0.001", "pages").collect()}
+    rows = got.collect()
+    assert len(rows) == len(html)
+    for r in rows:
+        parts = media.parse_html(html[r.page_id])
+        said = "\n".join(p["text"] for p in parts if p["kind"] == "text")
+        assert (r.n_parts, r.n_media, r.text_sha256) == (len(parts), sum(p["kind"] == "media" for p in parts), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_op6_missing_and_repeated_ids_spread(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text {i} " + "x" * (i % 50)) for i in range(4000)], "doc_id long, text string")
+    got = sharding.shard(docs, shards=8).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    loads = [r.n for r in got]
+    assert len(loads) == 8 and max(loads) - min(loads) <= 200
+    moved = sharding.shard(docs, shards=8).filter("next_shard <> shard")
+    assert {r.next_shard for r in moved.select("next_shard").distinct().collect()} == {8} and 0 < moved.count() < 1000

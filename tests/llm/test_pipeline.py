@@ -3,8 +3,13 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline as cp
+import numpy as np
+from pyspark.sql import functions as F
 from quillon.llm import toxicity
+from quillon.llm.decontaminate import decontaminate
 from quillon.llm.frames import table
+from quillon.llm.minhash import near_duplicates
+from quillon.llm.mixing import mix, training_rows
 from test_corpus_operators import WORD, brute_groups, brute_windows
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +72,42 @@ def test_awkward_rows_pass_through(spark):
         if n < 3:
             assert docs.count() == (6 if n == 0 else 4)
     assert docs.count() >= 1 and cp.STAGES[-1][1](spark, docs.limit(0).select("doc_id", "text"), SF).count() == 0
+
+
+#: Names that the operators use for columns of their own.
+INTERNAL = ["found", "slot_no", "slot_hash", "slot_size", "of_source", "of_slot", "slot_begin", "in_slot", "score", "predicted", "size", "source_size", "target", "taken", "first_word", "position", "slope", "similarity", "contaminated", "n_items", "item_ids", "take", "take_words", "take_position", "one", "digest", "digest_a", "bands", "root", "kept", "component_id", "n_shingles", "key", "node", "salt_", "salts_", "part", "rank", "bound", "level", "row", "doc", "input_0_", "toxic", "turn"]
+LAST = ["virtual_slot", "shard", "slot", "map_version", "next_shard", "text_crc32"]
+
+
+def test_columns_with_clashing_names_come_through(spark):
+    docs = table(spark, SF, "documents").limit(60)
+    more = {c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in INTERNAL + LAST}
+    wide = docs.withColumns(more).persist()
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns, name
+        rows = out.select("doc_id", *more).collect()
+        assert rows and all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in more), name
+    last = cp.STAGES[-1][1](spark, wide, SF)
+    own = {"size", *LAST}
+    rows = last.collect()
+    assert len(rows) == 60 and all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in more if c not in own)
+    for shown in (toxicity.score(wide, toxicity.Model(*map(np.array, ([1], [0.5])))), decontaminate(wide, table(spark, SF, "benchmark")), training_rows(mix(wide)), near_duplicates(wide)):
+        assert shown.count() > 0
+
+
+def test_stages_on_empty_tables_and_awkward_texts(spark):
+    docs = table(spark, SF, "documents")
+    long = "word " * 200_000 + "tail"
+    rows = [(1, long, "en", "s", 1), (2, long, "en", "s", 1), (3, None, None, None, None), (4, "", "en", "s", 0), (5, " \t\n", "en", None, 3), (6, "one", "en", "s", 3), (6, "one", "en", "s", 3), (None, "one", "en", "s", 3)]
+    few = spark.createDataFrame(rows, docs.schema)
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        out = stage(spark, few, SF)
+        assert out.count() > 0, name
+        if name == "near_dedup":
+            assert sorted((r.doc_id or 99) for r in out.collect()) == [1, 3, 4, 5, 6, 99]
+        if name == "decontamination":
+            assert out.count() == len(rows)
+        if name == "sharding":
+            assert out.count() == len(rows)
