@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.decontaminate import decontaminate
-from quillon.llm.frames import cut, table
+from quillon.llm.frames import cut, hidden, table
 from quillon.llm.minhash import near_duplicates
 from quillon.llm.mixing import mix, training_rows
 from quillon.llm.sharding import shard
@@ -19,44 +19,73 @@ from quillon.llm.toxicity import score, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).filter("predicted = 0").select(*docs.columns)
+    """Documents that the classifier rejects go.
+
+    All columns come through unchanged, whatever their names.  Null and empty
+    texts, which hold nothing toxic, are scored by the bias alone and stay where
+    that is below one half; repeated rows stay or go together, rows without an id
+    are scored like all others.  An empty table gives an empty result.
+    """
+    plain, back = hidden(docs, ["doc_id", "text"])
+    model = train(plain, table(spark, sf_dir, "labels"))
+    return score(plain, model).filter("predicted = 0").select(*back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document with the least id stays.
 
-    Five-word shingles, similarity 0.8.  Rows with equal id and text count once;
-    rows without an id are compared with nothing and stay.
+    Five-word shingles, similarity 0.8.  Rows with equal id and text count once,
+    and which of them stays is not defined where other columns differ; rows
+    without an id are compared with nothing and stay.  Texts without words are no
+    duplicates.  All columns come through unchanged, whatever their names.  An
+    empty table gives an empty result.
     """
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]).union(docs.filter("doc_id is null"))
+    plain, back = hidden(docs, ["doc_id", "text"])
+    kept = near_duplicates(plain).filter("kept and doc_id is not null").select("doc_id").distinct()
+    firsts = plain.join(kept, "doc_id", "left_semi").withColumn("digest", F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "digest"]).drop("digest")
+    return firsts.union(plain.filter("doc_id is null")).select(*back)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(*docs.columns)
+    """Documents that hold a benchmark item go.
+
+    All columns come through unchanged, whatever their names.  Null and empty
+    texts hold none and stay; repeated rows and rows without an id are judged like
+    all others.  An empty table gives an empty result.
+    """
+    plain, back = hidden(docs, ["doc_id", "text"])
+    return decontaminate(plain, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(*back)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order.
 
     The last document of a source's demand is cut after the words that are
-    still taken (joined by single spaces then; ``n_chars`` follows).
+    still taken (joined by single spaces then; ``n_chars`` follows).  All other
+    columns come through unchanged, whatever their names.  Texts without words
+    (null, empty) have nothing to train on and are never taken.  Equal rows and
+    rows without an id are taken like all others.  An empty table gives an empty
+    result.
     """
-    rows = training_rows(mix(docs))
+    plain, back = hidden(docs, ["doc_id", "source", "text", "n_chars"])
+    rows = training_rows(mix(plain))
     cut_text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("take_words").cast("int")), " ")
     whole = F.col("take_words") == F.col("size")
     text = F.when(whole, F.col("text")).otherwise(cut_text)
     changed = {"text": text}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(cut_text)).cast(docs.schema["n_chars"].dataType)
-    return rows.withColumns(changed).select(*docs.columns)
+    return rows.withColumns(changed).select(*back)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's shard, and its number in it."""
+    """Every row's shard, and its number in it, by a map that is stored with its next version.
+
+    The columns of `shard` come behind those of the documents and replace columns
+    of their names; all others are unchanged.  Null texts count as empty, rows
+    without an id are dealt by their text, equal rows are numbered one after
+    another.  An empty table gives an empty result.
+    """
     return shard(docs)
 
 
