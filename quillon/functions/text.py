@@ -90,15 +90,30 @@ def _number(digits: Column) -> Column:
     return ascii_digits(digits).try_cast("long")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _spoken(match: Column, in_words: Callable[[Column], Column]) -> Column:
+    """A run of digits in words; null above the greatest number that is spelled."""
+    return bound(_number(match), lambda n: F.when(n <= MOST_SPELLED, in_words(n)))
+
+
 def normalize_en(text: Column) -> Column:
-    """English transcript as it is read aloud: abbreviations, ordinals to the 20th, integers to 9999, white space."""
+    """English transcript as it is read aloud: abbreviations, ordinals to the 20th, integers to 9999, white space.
+
+    Texts without a digit and without an abbreviation take a short way.
+    """
     s = F.coalesce(text, F.lit(""))
+    short_forms = "|".join(ABBREVIATIONS)
+    plain = ~s.rlike(rf"(?U)\d|\b(?:{short_forms})\.")
     for short, full in ABBREVIATIONS.items():
         s = F.regexp_replace(s, rf"(?U)\b{short}\.", full)
     ordinal = lambda m: _pick(ORDINALS, _number(F.regexp_extract(m, r"^(?U)(\d+)", 1)) - 1)
     s = replace_each(s, r"(?U)\b\d{1,2}(?:st|nd|rd|th)\b", ordinal)
-    s = replace_each(s, r"(?U)\b\d+\b", lambda m: F.when(_number(m) <= MOST_SPELLED, int_words(_number(m))))
-    return collapsed(s)
+    s = replace_each(s, r"(?U)\b\d+\b", lambda m: _spoken(m, int_words))
+    return F.when(plain, one_line(text)).otherwise(collapsed(s))
 
 
 @F.pandas_udf(StringType())
@@ -107,21 +122,31 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-def normalize_ar(text: Column, compose: bool = True) -> Column:
-    """Arabic transcript as it is read aloud. Letters are kept; marks go, digits and integers are unified and spelled."""
+def normalize_ar(text: Column, arabic: Column | None = None) -> Column:
+    """Arabic transcript as it is read aloud. Letters are kept; marks go, digits and integers are unified and spelled.
+
+    Composition has no built-in; where `arabic` says which rows count, only their texts leave the JVM.
+    """
     s = F.coalesce(text, F.lit(""))
-    s = F.regexp_replace(nfc(s) if compose else s, AR_MARKS, "")
-    s = replace_each(ascii_digits(s), r"(?U)\b\d+\b", lambda m: F.when(_number(m) <= MOST_SPELLED, ar_int_words(_number(m))))
+    composed = nfc(s if arabic is None else F.when(arabic, s))
+    s = F.regexp_replace(composed, AR_MARKS, "")
+    s = replace_each(ascii_digits(s), r"(?U)\b\d+\b", lambda m: _spoken(m, ar_int_words))
     return collapsed(s)
 
 
+def is_blank(text: Column, arabic: Column) -> Column:
+    """Whether nothing is left of a transcript when it is normalised: white space, and in Arabic marks without sound."""
+    s = F.coalesce(text, F.lit(""))
+    return ~F.when(arabic, F.regexp_replace(s, AR_MARKS, "")).otherwise(s).rlike(r"(?U)\S")
+
+
 def is_arabic(language: Column) -> Column:
     """A tag of the Arabic family; null is not."""
     return F.coalesce(F.trim(language).rlike("(?i)^ar(?:$|[-_])"), F.lit(False))
 
 
 def strip_tags(text: Column) -> Column:
-    """Without the language tags a recogniser puts after utterances."""
+    """Without the language tags a recogniser puts after utterances (fixed value: the tag's form)."""
     return F.trim(F.regexp_replace(text, r"\s*<[a-z]{2}-[A-Z]{2}>\s*", " "))
 
 
@@ -146,7 +171,7 @@ def milli_seconds(us: Column, point: str = ".") -> Column:
 
 def segment_name(index: Column, s_us: Column, e_us: Column) -> Column:
     """Base name of a slice before it is verified."""
-    return F.concat(F.lit("solo_temp_verif_"), F.lpad(index.cast("string"), 4, "0"), F.lit("_"), milli_seconds(s_us, "p"), F.lit("s_to_"), milli_seconds(e_us, "p"), F.lit("s"))
+    return F.concat(F.lit("solo_temp_verif_"), F.format_string("%04d", index.cast("long")), F.lit("_"), milli_seconds(s_us, "p"), F.lit("s_to_"), milli_seconds(e_us, "p"), F.lit("s"))
 
 
 def final_name(base: Column, target: Column, score: Column | None = None) -> Column:
@@ -156,7 +181,7 @@ def final_name(base: Column, target: Column, score: Column | None = None) -> Col
 
 
 def times_of_name(name: Column) -> tuple[Column, Column]:
-    """Start and end in microseconds from a slice's name; 0 if it has none."""
+    """Start and end in microseconds from a slice's name (fixed value: its form); 0 if it has none."""
     at = lambda i: F.coalesce((F.replace(F.regexp_extract(name, r"(\d+p\d+)s_to_(\d+p\d+)s", i), F.lit("p"), F.lit(".")).try_cast("decimal(18,6)") * 1_000_000).cast("long"), F.lit(0).cast("long"))
     return at(1), at(2)
 
@@ -178,9 +203,9 @@ def size_label(n: Column) -> Column:
     return F.when(n > 1 << 30, F.concat(F.format_string("%.1f", n / float(1 << 30)), F.lit(" GB"))).when(n > 1 << 20, F.concat(F.format_string("%.1f", n / float(1 << 20)), F.lit(" MB"))).otherwise(F.concat(F.greatest(F.lit(1), F.round(n / 1024.0)).cast("long").cast("string"), F.lit(" KB")))
 
 
-def log_class(line: Column) -> Column:
-    """Kind of a log line: banner before error before warning."""
-    return F.when(line.contains("== STAGE") | line.contains("Initializing"), "banner").when(line.rlike("(?i)traceback|error|critical|failed"), "err").when(line.rlike("(?i)warn"), "warn").otherwise("plain")
+def log_class(line: Column, start: str = "Initializing pipeline") -> Column:
+    """Kind of a log line: banner before error before warning; `start` is what a run's first line says."""
+    return F.when(line.contains("== STAGE") | line.contains(start), "banner").when(line.rlike("(?i)traceback|error|critical|failed"), "err").when(line.rlike("(?i)warn"), "warn").otherwise("plain")
 
 
 def stage_of(line: Column) -> Column:
@@ -189,9 +214,37 @@ def stage_of(line: Column) -> Column:
     return F.when(found != "", found)
 
 
+#: Names of terminal mark-up (fixed values): styles, colours, and what sets a background.
+MARKUP = ["bold", "italic", "dim", "under", "strike", "blink", "reverse", "cyan", "magenta", "green", "red", "yellow", "blue", "white", "black", "grey", "on "]
+
+
 def rich_stripped(line: Column) -> Column:
-    """Without terminal mark-up in square brackets."""
-    return F.regexp_replace(line, r"(?i)\[/?(?:bold|italic|dim|under|strike|blink|reverse|cyan|magenta|green|red|yellow|blue|white|black|grey\d*|#[0-9a-f]{6}|on\s)[^\]]*\]|\[/\]", "")
+    """Without terminal mark-up: tags in square brackets that begin with a style, a colour name or ``#rrggbb``, and the bare end tag.
+
+    The names are matched by their beginning, as the tags carry numbers or more words.
+    """
+    tag = "|".join(name.replace(" ", r"\s") for name in MARKUP)
+    return F.regexp_replace(line, rf"(?i)\[(?:/|/?(?:{tag}|#[0-9a-f]{{6}})[^\]]*)\]", "")
+
+
+def clip_file_name(index: Column, s_us: Column, e_us: Column) -> Column:
+    """Name of a reference clip: number and bounds in seconds with one place."""
+    tenth = lambda us: F.format_string("%.1f", us / 1_000_000)
+    return F.concat(F.lit("ref_"), F.format_string("%03d", index.cast("long")), F.lit("_"), tenth(s_us), F.lit("s-"), tenth(e_us), F.lit("s.wav"))
+
+
+def length_label(seconds: Column) -> Column:
+    """m:ss, or hours and minutes from an hour on; seconds are rounded by themselves, so 59.6 is 0:60."""
+    minutes, rest = F.floor(seconds / 60), F.floor(seconds % 60 + 0.5)
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.when(minutes >= 60, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h "), two(minutes % 60), F.lit("m"))).otherwise(F.concat(minutes.cast("string"), F.lit(":"), two(rest)))
+
+
+def clock_label(ms: Column) -> Column:
+    """mm:ss with hours before it where there are any."""
+    s = F.floor(ms / 1000)
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.concat(F.when(s >= 3600, F.concat(F.floor(s / 3600).cast("string"), F.lit(":"))).otherwise(""), two(F.floor(s / 60) % 60), F.lit(":"), two(s % 60))
 
 
 def words(text: Column) -> Column:

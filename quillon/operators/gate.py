@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,15 +29,25 @@ class Thresholds:
 
 def normalized(transcript: Column, language: Column) -> Column:
     """The transcript as it is read aloud, by language."""
-    return F.when(tx.is_arabic(language), tx.normalize_ar(transcript, compose=False)).otherwise(tx.normalize_en(transcript))
+    arabic = tx.is_arabic(language)
+    return F.when(arabic, tx.normalize_ar(transcript, arabic)).otherwise(tx.normalize_en(transcript))
 
 
-def reasons(columns: list[str], limits: Thresholds = Thresholds(), text: Column | None = None) -> Column:
+@dataclass(frozen=True)
+class Check:
+    """A check of a user's own: the clips it rejects, and the value that is reported."""
+
+    reason: str
+    rejects: Column
+    value: Column | None = None
+
+
+def reasons(columns: list[str], limits: Thresholds = Thresholds(), more: Sequence[Check] = ()) -> Column:
     """Map from reason to value (1 where there is no figure); empty if the clip passes.
 
     Checks that need a column the table does not have are left out: ``peak``,
     ``true_peak_db``, ``n_samples``, ``align_score``, ``quality_score``, ``has_audio``.
-    `text` is the normalised transcript, where it is already a column.
+    `more` are checks beside the built-in ones; a null verdict passes.
     """
     found: list[tuple[str, Column, Column]] = []
 
@@ -46,8 +57,8 @@ def reasons(columns: list[str], limits: Thresholds = Thresholds(), text: Column
 
     seconds = F.round(F.col("dur_us") / 1_000_000, 3)
     has = lambda c: c in columns
-    spoken = text if text is not None else normalized(F.col("transcript"), F.col("language"))
-    check("empty_transcript", limits.need_transcript, (spoken == "") | (F.trim(F.coalesce("transcript", F.lit(""))) == ""))
+    # blank after normalising, without normalising
+    check("empty_transcript", limits.need_transcript, tx.is_blank(F.col("transcript"), tx.is_arabic(F.col("language"))))
     check("duration_too_short", True, F.col("dur_us") < limits.min_us, seconds)
     check("duration_too_long", True, F.col("dur_us") > limits.max_us, seconds)
     check("not_silence_validated", limits.need_validated, ~F.coalesce("silence_validated", F.lit(False)))
@@ -64,6 +75,8 @@ def reasons(columns: list[str], limits: Thresholds = Thresholds(), text: Column
         check("align_score_low", limits.min_align > 0, F.col("align_score") < limits.min_align, F.round("align_score", 4))
     if has("quality_score") and limits.min_quality is not None:
         check("dnsmos_below", True, F.col("quality_score") < limits.min_quality, F.round("quality_score", 3))
+    for own in more:
+        check(own.reason, True, own.rejects, own.value)
     entries = [F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(name).alias("key"), value.cast("double").alias("value"))) for name, when, value in found]
     every = F.map_from_entries(F.array_compact(F.array(*entries)))
     if not has("has_audio"):
@@ -71,11 +84,17 @@ def reasons(columns: list[str], limits: Thresholds = Thresholds(), text: Column
     return F.when(F.col("has_audio"), every).otherwise(F.create_map(F.lit("no_audio"), F.lit(1.0)))
 
 
-def gate(clips: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
-    """Adds ``normalized``, ``reasons`` and ``accepted``."""
-    spoken = clips.withColumn("normalized", normalized(F.col("transcript"), F.col("language")))
-    judged = spoken.withColumn("reasons", reasons(clips.columns, limits, F.col("normalized")))
-    return judged.withColumn("accepted", F.size("reasons") == 0)
+def judged(clips: DataFrame, limits: Thresholds = Thresholds(), more: Sequence[Check] = ()) -> DataFrame:
+    """Adds ``reasons`` and ``accepted``."""
+    return clips.withColumn("reasons", reasons(clips.columns, limits, more)).withColumn("accepted", F.size("reasons") == 0)
+
+
+def gate(clips: DataFrame, limits: Thresholds = Thresholds(), more: Sequence[Check] = ()) -> DataFrame:
+    """Adds ``reasons``, ``accepted`` and ``normalized``.
+
+    No check reads the normalised text, so a filter on ``accepted`` comes before it is made.
+    """
+    return judged(clips, limits, more).withColumn("normalized", normalized(F.col("transcript"), F.col("language")))
 
 
 def reason_counts(gated: DataFrame) -> DataFrame:

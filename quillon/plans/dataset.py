@@ -7,12 +7,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as tx
+from quillon.operators.gate import normalized
 from quillon.plans.shared import materialised
 
 
-def rows(gated: DataFrame) -> DataFrame:
-    """``clip_id, transcript, normalized`` of accepted clips, on one line each."""
-    return gated.filter("accepted").select("clip_id", tx.one_line(F.col("transcript")).alias("transcript"), "normalized", "speaker", "language", "dur_us")
+def rows(judged: DataFrame, in_order: bool = False) -> DataFrame:
+    """``clip_id, transcript, normalized, speaker, language, dur_us`` of accepted clips, on one line each; by id if asked.
+
+    Clips are sorted before their texts are normalised: sorting draws a sample,
+    which would else normalise them twice.
+    """
+    kept = judged.filter("accepted").select("clip_id", "transcript", "speaker", "language", "dur_us")
+    kept = kept.orderBy("clip_id") if in_order else kept
+    return kept.select("clip_id", tx.one_line(F.col("transcript")).alias("transcript"), normalized(F.col("transcript"), F.col("language")).alias("normalized"), "speaker", "language", "dur_us")
 
 
 def csv_line() -> Column:
@@ -20,18 +27,23 @@ def csv_line() -> Column:
     return F.concat_ws("|", *[tx.csv_field(F.col(c)) for c in ("clip_id", "transcript", "normalized")])
 
 
+def _json(value: Column) -> Column:
+    """A value as JSON: null, a number, or a quoted string."""
+    listed = F.to_json(F.array(value))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 def json_line() -> Column:
-    """A manifest line as JSON."""
-    return F.to_json(
-        F.struct(
-            F.concat(F.lit("wavs/"), F.col("speaker"), F.lit("/"), F.col("clip_id"), F.lit(".wav")).alias("audio_filepath"),
-            F.col("transcript").alias("text"),
-            F.col("normalized").alias("normalized_text"),
-            "speaker",
-            "language",
-            F.round(F.col("dur_us") / 1_000_000, 4).alias("duration"),
-        )
-    )
+    """A manifest line as JSON, with a space after each comma and colon; nulls are written."""
+    fields = {
+        "audio_filepath": F.concat(F.lit("wavs/"), F.col("speaker"), F.lit("/"), F.col("clip_id"), F.lit(".wav")),
+        "text": F.col("transcript"),
+        "normalized_text": F.col("normalized"),
+        "speaker": F.col("speaker"),
+        "language": F.col("language"),
+        "duration": F.round(F.col("dur_us") / 1_000_000, 4),
+    }
+    return F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{k}": '), _json(v)) for k, v in fields.items()]), F.lit("}"))
 
 
 def split_by_hash(dataset: DataFrame, fraction: float, seed: int = 1234) -> DataFrame:

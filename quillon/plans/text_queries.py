@@ -70,7 +70,7 @@ def txt_format_duration(spark, d):
 
 
 def txt_log_class(spark, d):
-    marked = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("== STAGE 6.5a: "), "text")).when(F.col("doc_id") % 7 == 0, F.concat(F.lit("WARNing "), "text")).when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" Failed"))).otherwise(F.col("text"))
+    marked = F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("Initializing pipeline "), "text")).when(F.col("doc_id") % 11 == 0, F.concat(F.lit("== STAGE 6.5a: "), "text")).when(F.col("doc_id") % 17 == 0, F.concat(F.lit("Initializing model failed "), "text")).when(F.col("doc_id") % 7 == 0, F.concat(F.lit("WARNing "), "text")).when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" Failed"))).otherwise(F.col("text"))
     return _docs(spark, d).select("doc_id", tx.log_class(marked).alias("kind"), tx.stage_of(marked).alias("stage"))
 
 
@@ -82,21 +82,21 @@ def txt_word_counts(spark, d):
     return _docs(spark, d).select("doc_id", F.size(tx.words(F.col("text"))).alias("n_words"))
 
 
-def _gated(spark, d):
-    return ga.gate(clips(spark, d))
+def _judged(spark, d):
+    return ga.judged(clips(spark, d))
 
 
-def _dataset(spark, d):
-    return ds.rows(_gated(spark, d))
+def _dataset(spark, d, in_order=False):
+    return ds.rows(_judged(spark, d), in_order)
 
 
 def dataset_metadata(spark, d):
     """Flagship: accepted clips with transcript and normalised transcript, by id."""
-    return _dataset(spark, d).select("clip_id", "transcript", "normalized").orderBy("clip_id")
+    return _dataset(spark, d, in_order=True).select("clip_id", "transcript", "normalized")
 
 
 def ds_csv(spark, d):
-    return _dataset(spark, d).select("clip_id", ds.csv_line().alias("value")).orderBy("clip_id")
+    return _dataset(spark, d, in_order=True).select("clip_id", ds.csv_line().alias("value"))
 
 
 def ds_jsonl(spark, d):
@@ -120,15 +120,15 @@ def ds_eval_seeded(spark, d):
 
 
 def gate_reasons(spark, d):
-    return _gated(spark, d).select("clip_id", "accepted", F.array_join(F.array_sort(F.map_keys("reasons")), ",").alias("why"))
+    return _judged(spark, d).select("clip_id", "accepted", F.array_join(F.array_sort(F.map_keys("reasons")), ",").alias("why"))
 
 
 def gate_counts(spark, d):
-    return ga.reason_counts(_gated(spark, d))
+    return ga.reason_counts(_judged(spark, d))
 
 
 def gate_summary(spark, d):
-    return ds.summary(_gated(spark, d), _split(spark, d))
+    return ds.summary(_judged(spark, d), _split(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (dataset_metadata, txt_normalize_en, txt_normalize_ar, txt_spelled_ids, txt_newline_safe, txt_strip_tag, txt_locale, txt_safe_filename, txt_basename, txt_parse_times, txt_csv_quote, txt_format_duration, txt_log_class, txt_size_label, txt_word_counts, gate_reasons, gate_counts, gate_summary, ds_csv, ds_jsonl, ds_train, ds_eval, ds_eval_seeded)}
@@ -176,9 +176,9 @@ judged AS (SELECT c.*, n.normalized, list_filter([
 dataset AS (SELECT clip_id, {_line("coalesce(transcript, '')")} AS transcript, normalized, speaker, language, dur_us FROM judged WHERE len(reasons) = 0),
 split AS (SELECT *, row_number() OVER (ORDER BY sha1(clip_id || '1234'), clip_id) <= round_even(count(*) OVER () * 0.1, 0) AS is_eval FROM dataset)"""
 _BASE = f"""{TURNS_SQL}, named AS (SELECT turn_id, (s_us + 500) // 1000 AS a, (e_us + 500) // 1000 AS b,
-  printf('solo_temp_verif_%s_%dp%03ds_to_%dp%03ds', lpad(CAST(turn_id % 100000 AS VARCHAR), 4, '0'), (s_us + 500) // 1000 // 1000, (s_us + 500) // 1000 % 1000, (e_us + 500) // 1000 // 1000, (e_us + 500) // 1000 % 1000) AS base FROM turns)"""
+  printf('solo_temp_verif_%04d_%dp%03ds_to_%dp%03ds', turn_id % 100000, (s_us + 500) // 1000 // 1000, (s_us + 500) // 1000 % 1000, (e_us + 500) // 1000 // 1000, (e_us + 500) // 1000 % 1000) AS base FROM turns)"""
 _CLOCK = "printf('%02d:%02d:%02d.%03d', {t} // 3600000000, {t} // 60000000 % 60, {t} // 1000000 % 60, {t} // 1000 % 1000)"
-_MARKED = "m AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '== STAGE 6.5a: ' || text WHEN doc_id % 7 = 0 THEN 'WARNing ' || text WHEN doc_id % 5 = 0 THEN text || ' Failed' ELSE text END AS line FROM documents)"
+_MARKED = "m AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'Initializing pipeline ' || text WHEN doc_id % 11 = 0 THEN '== STAGE 6.5a: ' || text WHEN doc_id % 17 = 0 THEN 'Initializing model failed ' || text WHEN doc_id % 7 = 0 THEN 'WARNing ' || text WHEN doc_id % 5 = 0 THEN text || ' Failed' ELSE text END AS line FROM documents)"
 _QUOTED = """CASE WHEN regexp_matches({c}, '[|"\\r\\n]') THEN '"' || replace({c}, '"', '""') || '"' ELSE {c} END"""
 
 ORACLE_SQL = {
@@ -194,13 +194,14 @@ ORACLE_SQL = {
     "txt_parse_times": f"WITH {_BASE} SELECT turn_id, a * 1000 AS s_us, b * 1000 AS e_us FROM named",
     "txt_csv_quote": f"SELECT doc_id, {_QUOTED.format(c='text')} AS field FROM documents",
     "txt_format_duration": f"WITH {TURNS_SQL} SELECT turn_id, {_CLOCK.format(t='s_us')} AS starts, {_CLOCK.format(t='(s_us * 100)')} AS long_form FROM turns",
-    "txt_log_class": rf"WITH {_MARKED} SELECT doc_id, CASE WHEN contains(line, '== STAGE') OR contains(line, 'Initializing') THEN 'banner' WHEN regexp_matches(line, '(?i)traceback|error|critical|failed') THEN 'err' WHEN regexp_matches(line, '(?i)warn') THEN 'warn' ELSE 'plain' END AS kind, nullif(regexp_extract(line, '== STAGE (\d+(?:\.\d+)?)[ab]?:', 1), '') AS stage FROM m",
+    "txt_log_class": rf"WITH {_MARKED} SELECT doc_id, CASE WHEN contains(line, '== STAGE') OR contains(line, 'Initializing pipeline') THEN 'banner' WHEN regexp_matches(line, '(?i)traceback|error|critical|failed') THEN 'err' WHEN regexp_matches(line, '(?i)warn') THEN 'warn' ELSE 'plain' END AS kind, nullif(regexp_extract(line, '== STAGE (\d+(?:\.\d+)?)[ab]?:', 1), '') AS stage FROM m",
     "txt_size_label": "WITH b AS (SELECT doc_id, CAST(strlen(text) AS BIGINT) * 997 AS n FROM documents) SELECT doc_id, CASE WHEN n > 1073741824 THEN printf('%.1f GB', n / 1073741824.0) WHEN n > 1048576 THEN printf('%.1f MB', n / 1048576.0) ELSE CAST(CAST(greatest(1, round(n / 1024.0)) AS BIGINT) AS VARCHAR) || ' KB' END AS label FROM b",
     "txt_word_counts": r"SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')) AS n_words FROM documents",
     "gate_reasons": f"WITH {_GATED} SELECT clip_id, len(reasons) = 0 AS accepted, array_to_string(list_sort(reasons), ',') AS why FROM judged",
     "gate_counts": f"WITH {_GATED} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM judged) GROUP BY reason",
     "gate_summary": f"WITH {_GATED} SELECT (SELECT count(*) FROM judged) AS n_candidates, (SELECT count(*) FROM judged WHERE len(reasons) > 0) AS n_rejected, count(*) AS n_clips, count(*) FILTER (WHERE NOT is_eval) AS n_train, count(*) FILTER (WHERE is_eval) AS n_eval FROM split",
     "ds_csv": f"WITH {_GATED} SELECT clip_id, {_QUOTED.format(c='clip_id')} || '|' || {_QUOTED.format(c='transcript')} || '|' || {_QUOTED.format(c='normalized')} AS value FROM dataset",
+    "ds_jsonl": f"""WITH {_GATED} SELECT clip_id, '{{"audio_filepath": ' || to_json('wavs/' || speaker || '/' || clip_id || '.wav') || ', "text": ' || to_json(transcript) || ', "normalized_text": ' || to_json(normalized) || ', "speaker": ' || to_json(speaker) || ', "language": ' || to_json(language) || ', "duration": ' || to_json(round(dur_us / 1000000, 4)) || '}}' AS value FROM dataset""",
     "ds_train": f"WITH {_GATED} SELECT clip_id, normalized FROM split WHERE NOT is_eval",
     "ds_eval": f"WITH {_GATED} SELECT clip_id, normalized FROM split WHERE is_eval",
 }

@@ -59,3 +59,11 @@ def test_job_key_ignores_case_and_order(spark):
 
     row = spark.range(1).select(tx.job_key(F.lit("/A/b.WAV"), F.array(F.lit("Y"), F.lit("x")), F.lit(" T ")).alias("a"), tx.job_key(F.lit("/a/B.wav"), F.array(F.lit("x"), F.lit("y")), F.lit("t")).alias("b")).first()
     assert row.a == row.b == hashlib.sha1("/a/b.wav\0x|y\0t".encode()).hexdigest()[:16]
+
+
+def test_markup_and_labels(spark):
+    assert one(spark, tx.rich_stripped, "[bold]a[/bold] [link]b[/] [GREY42]c [#12ab3f]d[on red]", "[1] plain [x]") == ["a [link]b c d", "[1] plain [x]"]
+    assert one(spark, lambda c: tx.length_label(c.cast("double")), "59.6", "61", "3600", "5430") == ["0:60", "1:01", "1h 00m", "1h 30m"]
+    assert one(spark, lambda c: tx.clock_label(c.cast("long")), "999", "61000", "3723000") == ["00:00", "01:01", "1:02:03"]
+    assert one(spark, tx.log_class, "Initializing model failed", "Initializing pipeline failed") == ["err", "banner"]
+    assert one(spark, lambda c: tx.clip_file_name(c.cast("int"), F.lit(3_249_000), F.lit(7_751_000)), "4", "1234") == ["ref_004_3.2s-7.8s.wav", "ref_1234_3.2s-7.8s.wav"]
