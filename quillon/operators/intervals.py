@@ -98,40 +98,94 @@ def padded(spans: DataFrame, pad_us: int, end_us: int) -> DataFrame:
     return clamp(spans.withColumns({"s_us": F.col("s_us") - pad_us, "e_us": F.col("e_us") + pad_us}), end_us)
 
 
-def complement(spans: DataFrame, keys: list[str], end_us: int) -> DataFrame:
-    """What no span covers in [0, end), for keys that have a span: ``keys, s_us, e_us``."""
+def complement(spans: DataFrame, keys: list[str], end_us: int, recordings: DataFrame | None = None) -> DataFrame:
+    """What no span covers in [0, end): ``keys, s_us, e_us``.
+
+    Keys are those of `recordings`, so that one without any span is free from end to
+    end; without it, those of the spans.
+    """
     held = union(clamp(spans, end_us), keys)
     along = Window.partitionBy(*keys).orderBy("s_us")
     heads = held.select(*keys, F.coalesce(F.lag("e_us").over(along), F.lit(0).cast("long")).alias("from_us"), F.col("s_us").alias("to_us"))
-    tails = held.groupBy(*keys).agg(F.max("e_us").alias("from_us")).select(*keys, "from_us", F.lit(end_us).cast("long").alias("to_us"))
+    ends = held.groupBy(*keys).agg(F.max("e_us").alias("from_us"))
+    if recordings is not None:
+        ends = recordings.select(*keys).distinct().join(ends, keys, "left").na.fill(0, ["from_us"])
+    tails = ends.select(*keys, "from_us", F.lit(end_us).cast("long").alias("to_us"))
     return heads.unionByName(tails).filter("to_us > from_us").select(*keys, F.col("from_us").alias("s_us"), F.col("to_us").alias("e_us"))
 
 
-def clip_to_regions(spans: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
+#: Length of the time buckets that spans are dealt into where they are joined by overlap.
+BUCKET_US = 300_000_000
+
+
+def _bucket(us: Column, bucket_us: int) -> Column:
+    return F.floor(us / bucket_us).cast("long")
+
+
+def _dealt(spans: DataFrame, side: str, bucket_us: int, grown_us: int = 0) -> DataFrame:
+    """Spans with their columns named by side, once for each time bucket they touch when grown on both sides."""
+    named = spans.select(*[F.col(c).alias(f"{side}_{c}") for c in spans.columns])
+    first, last = _bucket(F.col(f"{side}_s_us") - grown_us, bucket_us), _bucket(F.col(f"{side}_e_us") + grown_us - 1, bucket_us)
+    return named.withColumn(f"{side}_bucket", F.explode(F.sequence(first, F.greatest(first, last))))
+
+
+def _same(keys: list[str]) -> list[Column]:
+    """Equal keys and time bucket: a busy recording is spread over its buckets."""
+    return [*[F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys], F.col("l_bucket") == F.col("r_bucket")]
+
+
+def _once(bucket_us: int) -> Column:
+    """A pair that meets in several buckets counts where the later one starts."""
+    return _bucket(F.greatest("l_s_us", "r_s_us"), bucket_us) == F.col("l_bucket")
+
+
+def range_join(left: DataFrame, right: DataFrame, key: str | list[str], bucket_us: int = BUCKET_US, how: str = "inner") -> DataFrame:
+    """Pairs of spans (columns ``l_*`` and ``r_*``) with equal keys that overlap.
+
+    Both sides are dealt into time buckets, so the join is an equi join on keys and
+    bucket.  With ``how="left"`` a left span has a row with nulls in each of its
+    buckets where no pair counts.
+    """
+    keys = [key] if isinstance(key, str) else key
+    overlapping = [F.col("l_s_us") < F.col("r_e_us"), F.col("r_s_us") < F.col("l_e_us"), _once(bucket_us)]
+    return _dealt(left, "l", bucket_us).join(_dealt(right, "r", bucket_us), [*_same(keys), *overlapping], how).drop("l_bucket", "r_bucket")
+
+
+def clip_to_regions(spans: DataFrame, regions: DataFrame, keys: list[str], bucket_us: int = BUCKET_US) -> DataFrame:
     """Spans cut to each region they touch and counted from its start: ``keys, region_id, s_us, e_us``."""
-    s, r = spans.alias("s"), regions.alias("r")
-    met = s.join(r, [F.col(f"s.{k}") == F.col(f"r.{k}") for k in keys] + [F.col("s.s_us") < F.col("r.e_us"), F.col("r.s_us") < F.col("s.e_us")])
-    return met.select(*[F.col(f"s.{k}") for k in keys], "r.region_id", (F.greatest("s.s_us", "r.s_us") - F.col("r.s_us")).alias("s_us"), (F.least("s.e_us", "r.e_us") - F.col("r.s_us")).alias("e_us"))
+    met = range_join(spans.select(*keys, "s_us", "e_us"), regions.select(*keys, "region_id", "s_us", "e_us"), keys, bucket_us)
+    return met.select(*[F.col(f"l_{k}").alias(k) for k in keys], F.col("r_region_id").alias("region_id"), (F.greatest("l_s_us", "r_s_us") - F.col("r_s_us")).alias("s_us"), (F.least("l_e_us", "r_e_us") - F.col("r_s_us")).alias("e_us"))
+
+
+def snap_outward(regions: DataFrame, spans: DataFrame, keys: list[str], end_us: int, eps_us: int = 1000, bucket_us: int = BUCKET_US) -> DataFrame:
+    """Move region edges that fall into a span out to the span's edge: ``keys, region_id, s_us, e_us``.
+
+    Each edge looks up the spans of its own time bucket.
+    """
+    edge = F.explode(F.array(F.struct(F.col("s_us").alias("t_us"), F.lit(True).alias("is_start")), F.struct(F.col("e_us").alias("t_us"), F.lit(False).alias("is_start"))))
+    points = regions.select(*keys, "region_id", "s_us", "e_us", edge.alias("edge")).select(*keys, "region_id", "s_us", "e_us", "edge.*")
+    left = points.select(*[F.col(c).alias(f"l_{c}") for c in points.columns], _bucket(F.col("t_us"), bucket_us).alias("l_bucket"))
+    inside = [F.col("r_s_us") - eps_us < F.col("l_t_us"), F.col("l_t_us") < F.col("r_e_us") + eps_us]
+    met = left.join(_dealt(spans.select(*keys, "s_us", "e_us"), "r", bucket_us, eps_us), [*_same(keys), *inside], "left")
+    low, high = F.min(F.when(F.col("l_is_start"), F.col("r_s_us"))), F.max(F.when(~F.col("l_is_start"), F.col("r_e_us")))
+    snapped = met.groupBy(*[F.col(f"l_{k}").alias(k) for k in keys], F.col("l_region_id").alias("region_id"), F.col("l_s_us").alias("s0"), F.col("l_e_us").alias("e0")).agg(low.alias("low"), high.alias("high"))
+    return clamp(snapped.select(*keys, "region_id", F.least("s0", "low").alias("s_us"), F.greatest("e0", "high").alias("e_us")), end_us)
 
 
-def snap_outward(regions: DataFrame, spans: DataFrame, keys: list[str], end_us: int, eps_us: int = 1000) -> DataFrame:
-    """Move region edges that fall into a span out to the span's edge: ``keys, region_id, s_us, e_us``."""
-    on = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in keys]
-    inside = lambda edge: (F.col("p.s_us") - eps_us < edge) & (edge < F.col("p.e_us") + eps_us)
-    r, p = regions.alias("r"), spans.alias("p")
-    met = r.join(p, [*on, inside(F.col("r.s_us")) | inside(F.col("r.e_us"))], "left")
-    low = F.min(F.when(inside(F.col("r.s_us")), F.col("p.s_us")))
-    high = F.max(F.when(inside(F.col("r.e_us")), F.col("p.e_us")))
-    snapped = met.groupBy(*[F.col(f"r.{k}") for k in keys], "r.region_id", F.col("r.s_us").alias("s0"), F.col("r.e_us").alias("e0")).agg(low.alias("low"), high.alias("high"))
-    moved = snapped.select(*keys, "region_id", F.least("s0", "low").alias("s_us"), F.greatest("e0", "high").alias("e_us"))
-    return clamp(moved, end_us)
+def points_inside(points: DataFrame, spans: DataFrame, keys: list[str], eps_us: int = 10_000, bucket_us: int = BUCKET_US) -> DataFrame:
+    """Points (``keys, t_us``) strictly inside some span, `eps_us` away from its edges; other columns stay."""
+    named = {c: f"l_{c}" for c in points.columns}
+    left = points.withColumnsRenamed(named).withColumn("l_bucket", _bucket(F.col("l_t_us"), bucket_us))
+    inside = [F.col("r_s_us") + eps_us < F.col("l_t_us"), F.col("l_t_us") < F.col("r_e_us") - eps_us]
+    met = left.join(_dealt(spans.select(*keys, "s_us", "e_us"), "r", bucket_us), [*_same(keys), *inside], "left_semi")
+    return met.select(*[F.col(n).alias(c) for c, n in named.items()])
 
 
-def points_inside(points: DataFrame, spans: DataFrame, keys: list[str], eps_us: int = 10_000) -> DataFrame:
-    """Points (``keys, t_us``) strictly inside some span, `eps_us` away from its edges."""
-    p, s = points.alias("p"), spans.alias("s")
-    on = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in keys]
-    return p.join(s, [*on, F.col("s.s_us") + eps_us < F.col("p.t_us"), F.col("p.t_us") < F.col("s.e_us") - eps_us], "left_semi")
+def frame_ranges(spans: DataFrame, n: Column | str, rate: int = 100) -> DataFrame:
+    """Spans as frame ranges ``first, past`` (past at most `n`): halves of a frame round to even, the last frame is taken in."""
+    n = F.col(n) if isinstance(n, str) else n
+    at = lambda c: F.bround(F.col(c) * rate / 1_000_000, 0).cast("long")
+    return spans.withColumns({"first": at("s_us"), "past": F.least(n.cast("long"), at("e_us") + 1)})
 
 
 def speech_ratio(spans: DataFrame, keys: list[str], total_us: int) -> DataFrame:
@@ -171,30 +225,34 @@ def tiles(spans: DataFrame, keys: list[str], most_us: int, least_us: int) -> Dat
     return room.select(*keys, "e_us", starts).select(*keys, "tile", F.col("t_us").alias("s_us"), F.least(F.col("t_us") + most_us, F.col("e_us")).alias("e_us"))
 
 
-def range_join(left: DataFrame, right: DataFrame, key: str, bucket_us: int) -> DataFrame:
-    """Pairs of spans (columns ``l_*`` and ``r_*``) with equal key that overlap.
-
-    Both sides are dealt into time buckets, so the join is an equi join on key and
-    bucket and a busy key is spread; a pair counts in the bucket where the later one starts.
-    """
-    def dealt(df: DataFrame, side: str) -> DataFrame:
-        named = df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
-        first, last = F.floor(F.col(f"{side}_s_us") / bucket_us), F.floor((F.col(f"{side}_e_us") - 1) / bucket_us)
-        return named.withColumn(f"{side}_bucket", F.explode(F.sequence(first, last)))
-
-    met = dealt(left, "l").join(dealt(right, "r"), [F.col(f"l_{key}") == F.col(f"r_{key}"), F.col("l_bucket") == F.col("r_bucket"), F.col("l_s_us") < F.col("r_e_us"), F.col("r_s_us") < F.col("l_e_us")])
-    return met.filter(F.floor(F.greatest("l_s_us", "r_s_us") / bucket_us) == F.col("l_bucket")).drop("l_bucket", "r_bucket")
-
-
 def offset_merge(parts: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
     """Turns found in chunks, moved to the time of the recording: joins on keys and ``chunk_no``."""
     begins = chunks.select(*keys, "chunk_no", F.col("s_us").alias("chunk_us"))
     return parts.join(begins, [*keys, "chunk_no"]).withColumns({"s_us": F.col("s_us") + F.col("chunk_us"), "e_us": F.col("e_us") + F.col("chunk_us")}).drop("chunk_us")
 
 
-def overlap_of_windows(windows: DataFrame, spans: DataFrame, keys: list[str], name: str = "voiced_us") -> DataFrame:
+def overlap_of_windows(windows: DataFrame, spans: DataFrame, keys: list[str], name: str = "voiced_us", bucket_us: int = BUCKET_US) -> DataFrame:
     """Each window with the summed overlap of the spans (overlapping spans count twice)."""
-    w, s = windows.alias("w"), spans.select(*keys, F.col("s_us").alias("p_s"), F.col("e_us").alias("p_e")).alias("s")
-    met = w.join(s, [F.col(f"w.{k}") == F.col(f"s.{k}") for k in keys] + [F.col("s.p_s") < F.col("w.e_us"), F.col("w.s_us") < F.col("s.p_e")], "left")
-    cols = [F.col(f"w.{c}") for c in windows.columns]
-    return met.groupBy(*cols).agg(F.coalesce(F.sum(F.least("s.p_e", "w.e_us") - F.greatest("s.p_s", "w.s_us")), F.lit(0).cast("long")).alias(name))
+    met = range_join(windows, spans.select(*keys, "s_us", "e_us"), keys, bucket_us, "left")
+    both = F.least("r_e_us", "l_e_us") - F.greatest("r_s_us", "l_s_us")
+    covered = F.sum(F.when(F.col("r_s_us").isNotNull(), both))
+    return met.groupBy(*[F.col(f"l_{c}").alias(c) for c in windows.columns]).agg(F.coalesce(covered, F.lit(0).cast("long")).alias(name))
+
+
+def halved(chunks: DataFrame, keys: list[str], fits: Column, floor_us: int = 15_000_000, most_rounds: int = 40) -> DataFrame:
+    """Chunks that fit, after halving those that do not, again and again: ``keys, s_us, e_us, skipped``.
+
+    `fits` is a predicate on ``s_us`` and ``e_us``.  A chunk that does not fit and is
+    no longer than two floors is skipped (its text is empty).  The first half is a
+    millisecond longer.
+    """
+    length = F.col("e_us") - F.col("s_us")
+    rows = chunks.select(*keys, "s_us", "e_us")
+    longest = rows.agg(F.max(length)).first()[0] or 0
+    rounds = 0
+    while longest > 2 * floor_us and rounds < most_rounds:
+        middle = F.col("s_us") + F.floor(length / 2).cast("long") + 1000
+        pieces = F.when(fits | (length <= 2 * floor_us), F.array(F.struct("s_us", "e_us"))).otherwise(F.array(F.struct("s_us", middle.alias("e_us")), F.struct(middle.alias("s_us"), "e_us")))
+        rows = rows.select(*keys, F.explode(pieces).alias("piece")).select(*keys, "piece.*")
+        longest, rounds = longest / 2 + 1000, rounds + 1
+    return rows.withColumn("skipped", ~fits)

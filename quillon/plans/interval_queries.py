@@ -174,6 +174,6 @@ y AS (SELECT doc_id, CAST(part AS INT) AS part, CAST(round(dur * part / parts /
 SELECT * FROM y WHERE e_us - s_us >= 4000000""",
     "int_tiles": f"WITH {_LENGTHS}, t AS (SELECT doc_id, dur, unnest(range(0, dur - 4000000 + 1, 12000000)) AS s_us FROM lengths WHERE dur >= 4000000) SELECT doc_id, CAST(s_us // 12000000 AS INT) AS tile, s_us, least(s_us + 12000000, dur) AS e_us FROM t",
     "int_pair_overlap_join": f"WITH {TURNS_SQL}, {islands('turns', 'u', 'rec, spk')} SELECT l.rec, l.spk AS l_spk, r.spk AS r_spk, l.s_us AS l_s_us, r.s_us AS r_s_us, least(l.e_us, r.e_us) - greatest(l.s_us, r.s_us) AS both_us FROM u l JOIN u r ON l.rec = r.rec AND l.spk < r.spk AND l.s_us < r.e_us AND r.s_us < l.e_us",
-    "int_voiced_overlap": f"WITH {TURNS_SQL}, {_HOURS} SELECT h.rec, region_id, h.s_us, h.e_us, CAST(coalesce(sum(least(t.e_us, h.e_us) - greatest(t.s_us, h.s_us)), 0) AS BIGINT) AS voiced_us FROM hours h LEFT JOIN turns t ON h.rec = t.rec AND t.s_us < h.e_us AND h.s_us < t.e_us GROUP BY ALL",
+    "int_voiced_overlap": f"WITH {TURNS_SQL}, {_HOURS} SELECT h.rec, region_id, h.s_us, h.e_us, CAST(coalesce(sum(least(t.e_us, h.e_us) - greatest(t.s_us, h.s_us)) FILTER (WHERE t.s_us IS NOT NULL), 0) AS BIGINT) AS voiced_us FROM hours h LEFT JOIN turns t ON h.rec = t.rec AND t.s_us < h.e_us AND h.s_us < t.e_us GROUP BY ALL",
     "int_offset_merge": f"WITH {TURNS_SQL} SELECT rec, spk, turn_id, s_us, e_us FROM turns",
 }

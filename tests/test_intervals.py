@@ -1,6 +1,7 @@
 """Interval vectors: boundary equality, unsorted input, containment, empties."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.operators import intervals as iv
 
@@ -85,3 +86,74 @@ def test_results_do_not_depend_on_partitions(spark, partitions):
         assert len(got(iv.overlap(rows))) == 28  # "a" speaks until 35.3 s
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def random_spans(rng, n, most=4000):
+    rows = []
+    for i in range(n):
+        a = rng.randrange(most)
+        rows.append((rng.choice("ab"), i, a, a + rng.choice([0, 1, 7, 60, 900])))
+    return rows
+
+
+def test_joins_by_overlap_equal_brute_force(spark):
+    """Spans and windows met by key and time bucket: buckets shorter and longer than the spans give the same rows."""
+    import random
+
+    rng = random.Random(1)
+    spans, regions = random_spans(rng, 120), random_spans(rng, 40)
+    s = spark.createDataFrame([(k, a, b) for k, _, a, b in spans], "rec string, s_us long, e_us long")
+    r = spark.createDataFrame(regions + [("c", 99, 5, 50)], "rec string, region_id long, s_us long, e_us long")
+    regions = regions + [("c", 99, 5, 50)]
+    for bucket in (13, 300, 10**7):
+        met = iv.clip_to_regions(s, r, ["rec"], bucket)
+        want = sorted((k, i, max(a, c) - a, min(b, d) - a) for k, i, a, b in regions for q, _, c, d in spans if q == k and c < b and a < d)
+        assert sorted(map(tuple, met.collect())) == want
+        heard = iv.overlap_of_windows(r.filter("e_us > s_us"), s, ["rec"], bucket_us=bucket)
+        want = {i: sum(max(0, min(b, d) - max(a, c)) for q, _, c, d in spans if q == k) for k, i, a, b in regions if b > a}
+        assert {x.region_id: x.voiced_us for x in heard.collect()} == want and want[99] == 0
+        points = r.select("rec", "region_id", F.col("s_us").alias("t_us"))
+        inside = iv.points_inside(points, s, ["rec"], 2, bucket)
+        assert sorted(x.region_id for x in inside.collect()) == sorted(i for k, i, a, _ in regions if any(q == k and c + 2 < a < d - 2 for q, _, c, d in spans))
+        snapped = iv.snap_outward(r.filter("e_us > s_us"), s.filter("e_us > s_us"), ["rec"], 10**6, 3, bucket)
+        real = [x for x in spans if x[3] > x[2]]
+        want = {}
+        for k, i, a, b in regions:
+            if b > a:
+                low = [c for q, _, c, d in real if q == k and c - 3 < a < d + 3]
+                high = [d for q, _, c, d in real if q == k and c - 3 < b < d + 3]
+                want[i] = (max(0, min([a, *low])), max([b, *high]))
+        assert {x.region_id: (x.s_us, x.e_us) for x in snapped.collect()} == want
+
+
+def test_overlap_joins_are_equi_joins_on_key_and_bucket(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        s = spark.createDataFrame([("a", 1, 5)], "rec string, s_us long, e_us long")
+        r = s.withColumn("region_id", F.lit(1))
+        p = r.withColumnRenamed("s_us", "t_us")
+        for df in (iv.clip_to_regions(s, r, ["rec"]), iv.overlap_of_windows(r, s, ["rec"]), iv.snap_outward(r, s, ["rec"], 9), iv.points_inside(p, s, ["rec"])):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            joins = [x for x in plan.splitlines() if "SortMergeJoin" in x]
+            assert joins and all("bucket" in x.split("], [")[0] and "rec" in x.split("], [")[0] for x in joins)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_recordings_without_spans_are_free(spark):
+    held = spark.createDataFrame([("a", 2, 5)], "rec string, s_us long, e_us long")
+    recs = spark.createDataFrame([("a",), ("b",)], "rec string")
+    assert sorted(map(tuple, iv.complement(held, ["rec"], 9, recs).collect())) == [("a", 0, 2), ("a", 5, 9), ("b", 0, 9)]
+
+
+def test_chunks_are_halved_down_to_the_floor(spark):
+    second = 1_000_000
+    chunks = spark.createDataFrame([(1, 0, 100 * second), (2, 0, 20 * second), (3, 0, 70 * second)], "k int, s_us long, e_us long")
+    fits = (F.col("e_us") - F.col("s_us") <= 40 * second) & (F.col("k") != 3)
+    got = sorted(map(tuple, iv.halved(chunks, ["k"], fits).collect()))
+    assert [g for g in got if g[0] == 2] == [(2, 0, 20 * second, False)]
+    one = [g for g in got if g[0] == 1]
+    assert [g[1:3] for g in one[:2]] == [(0, 25_001_500), (25_001_500, 50_001_000)] and len(one) == 4 and not any(g[3] for g in one)
+    assert one[-1][2] == 100 * second and all(a[2] == b[1] for a, b in zip(one, one[1:], strict=False))
+    three = [g for g in got if g[0] == 3]
+    assert all(g[3] and g[2] - g[1] <= 30 * second for g in three) and three[-1][2] == 70 * second
