@@ -42,3 +42,9 @@ def split_clean(rows: DataFrame, score: str, bound: float) -> DataFrame:
 def acceptance_counts(rows: DataFrame) -> DataFrame:
     """One row: how many are accepted and rejected."""
     return rows.agg(F.count_if("accepted").alias("n_accepted"), F.count_if(~F.col("accepted")).alias("n_rejected"))
+
+
+def recombined(split: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """Clips that were clean from the start, and the cleaned versions of the others, with ``origin``; columns are those of `cleaned`."""
+    first = split.filter("clean").select(*cleaned.columns).withColumn("origin", F.lit("as_is"))
+    return first.unionByName(cleaned.withColumn("origin", F.lit("cleaned")))

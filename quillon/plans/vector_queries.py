@@ -24,8 +24,7 @@ def vec_cosine_cross(spark, d):
 
 def vec_identify(spark, d):
     cents = ve.centroid(vectors(spark, d), ["label"]).select(F.col("label").alias("proto"), "centroid")
-    best = ve.identify(ve.similarities(vectors(spark, d), cents), ["vec_id", "label"], "proto")
-    return best.select("vec_id", "label", "proto", F.round("similarity", 6).alias("similarity"))
+    return ve.nearest(vectors(spark, d), cents, "proto").select("vec_id", "label", "proto", F.round("similarity", 6).alias("similarity"))
 
 
 def vec_prefix20(spark, d):
@@ -71,6 +70,13 @@ def fuse_clean_split(spark, d):
     return fu.split_clean(_scores(spark, d).select("vec_id", F.round("a", 6).alias("clean_score")), "clean_score", 0.1)
 
 
+def fuse_recombined(spark, d):
+    """Clean clips as they are, and the others after cleaning lifted their score; those that stay unclean are dropped."""
+    split = fuse_clean_split(spark, d)
+    cleaned = split.filter("not clean").select("vec_id", F.round(F.coalesce("clean_score", F.lit(0.0)) + 0.2, 6).alias("clean_score")).filter("clean_score >= 0.1")
+    return fu.recombined(split, cleaned)
+
+
 def _levels(spark, d):
     return fr.frame_levels(samples(spark, d), "vec_id", HOP)
 
@@ -125,7 +131,7 @@ def frm_run_levels(spark, d):
     return rows.groupBy("label").agg(F.max("rms_db").alias("loudest_db"), F.round(F.percentile("rms_db", 0.5), 6).alias("middle_db"), F.count_if(F.col("rms_db") <= -20).alias("n_quiet"))
 
 
-QUERIES = {f.__name__: f for f in (vec_centroid, vec_cosine_cross, vec_identify, vec_prefix20, fuse_weighted, fuse_positive_mean, fuse_accept_split, fuse_counts, fuse_clean_split, frm_rms_db, frm_overall_db, frm_peak_clip, frm_envelope, frm_speech_mask, frm_zones, frm_silence_runs, frm_quietest, frm_run_levels)}
+QUERIES = {f.__name__: f for f in (vec_centroid, vec_cosine_cross, vec_identify, vec_prefix20, fuse_weighted, fuse_positive_mean, fuse_accept_split, fuse_counts, fuse_clean_split, fuse_recombined, frm_rms_db, frm_overall_db, frm_peak_clip, frm_envelope, frm_speech_mask, frm_zones, frm_silence_runs, frm_quietest, frm_run_levels)}
 
 _UNITS = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 u AS (SELECT label, generate_subscripts(v, 1) - 1 AS pos, unnest(list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))) AS x FROM v),
@@ -167,6 +173,7 @@ ORACLE_SQL = {
     "fuse_accept_split": f"WITH {_SCORED} SELECT vec_id, score, score >= 0.2 AS accepted FROM fused",
     "fuse_counts": f"WITH {_SCORED} SELECT count(*) FILTER (WHERE score >= 0.2) AS n_accepted, count(*) FILTER (WHERE score < 0.2) AS n_rejected FROM fused",
     "fuse_clean_split": f"WITH {_SCORED} SELECT vec_id, round(a, 6) AS clean_score, coalesce(round(a, 6), 0) >= 0.1 AS clean FROM scores",
+    "fuse_recombined": f"WITH {_SCORED}, c AS (SELECT vec_id, coalesce(round(a, 6), 0) AS s FROM scores) SELECT vec_id, s AS clean_score, 'as_is' AS origin FROM c WHERE s >= 0.1 UNION ALL SELECT vec_id, round(s + 0.2, 6), 'cleaned' FROM c WHERE s < 0.1 AND round(s + 0.2, 6) >= 0.1",
     "frm_rms_db": f"WITH {_LEVELS} SELECT * FROM levels",
     "frm_overall_db": f"WITH {SAMPLES_SQL} SELECT vec_id, round(CASE WHEN sqrt(avg(x * x)) > 1e-9 THEN 20 * log10(sqrt(avg(x * x))) ELSE -120 END, 6) AS level_db FROM samples GROUP BY vec_id",
     "frm_peak_clip": f"WITH {SAMPLES_SQL} SELECT vec_id, round(20 * log10(max(abs(x)) + 1e-10), 6) AS peak_db, max(abs(x)) >= 0.999969 AS clipping FROM samples GROUP BY vec_id",
