@@ -13,10 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import frames as fr
+from quillon.operators import intervals as iv
+from quillon.plans.shared import materialised
+
 FRAME_MS = 10
+FRAME_US = FRAME_MS * 1000
+#: Clips of a recording, at most.
+MOST_CLIPS = 100_000
 
 
 @dataclass(frozen=True)
@@ -148,6 +155,63 @@ def region_rows(frames: DataFrame, zones: DataFrame, key: str) -> DataFrame:
     return tracks.join(zones.groupBy(key).agg(sorted_.alias("zones")), key, "left")
 
 
+def regions_of(segments: DataFrame, spans: DataFrame, totals: DataFrame, rec: str = "rec") -> DataFrame:
+    """``rec, region_id, region, s_us, e_us``: segments by their start, cut to the recording, edges inside speech moved out.
+
+    ``totals`` has ``total_us`` of each recording.
+    """
+    order = Window.partitionBy(rec).orderBy("s_us", "e_us")
+    ends = totals.select(rec, "total_us")
+    within = lambda rows: iv.clamp(rows.join(ends, rec), F.col("total_us")).drop("total_us")
+    numbered = within(iv.positive(segments).select(rec, "s_us", "e_us")).withColumn("region_id", F.row_number().over(order) - 1)
+    snapped = within(iv.snap_outward(numbered, spans, [rec], 1 << 62))
+    return snapped.withColumn("region", F.concat(F.col(rec).cast("string"), F.lit("#"), F.col("region_id").cast("string")))
+
+
+def tracks_of(regions: DataFrame, spans: DataFrame, samples: DataFrame, rate: int, rec: str = "rec") -> DataFrame:
+    """``region, frame, rms_db, speech`` of every frame of every region; ``samples`` has ``rec, pos, x``.
+
+    Samples and regions meet by recording and block of ten seconds.
+    """
+    hop, block = rate * FRAME_MS // 1000, rate * 10
+    sample = lambda c: F.bround(F.col(c) * rate / 1_000_000, 0).cast("long")
+    cut = regions.select(F.col(rec).alias("in_rec"), "region", sample("s_us").alias("first"), sample("e_us").alias("past")).filter("past > first")
+    dealt = cut.withColumn("in_block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("past") - 1) / block))))
+    inside = [F.col(rec) == F.col("in_rec"), F.floor(F.col("pos") / block) == F.col("in_block"), F.col("pos") >= F.col("first"), F.col("pos") < F.col("past")]
+    own = samples.select(rec, "pos", "x").join(dealt, inside).select("region", (F.col("pos") - F.col("first")).alias("pos"), "x")
+    levels = fr.frame_levels(own, "region", hop)
+    lengths = levels.groupBy("region").agg((F.max("frame") + 1).alias("n"))
+    heard = iv.clip_to_regions(spans, regions, [rec]).join(regions.select(rec, "region_id", "region"), [rec, "region_id"])
+    ranges = iv.frame_ranges(heard.join(lengths, "region"), "n", 1000 // FRAME_MS).select("region", "first", "past")
+    return fr.speech_mask(ranges, lengths, "region").join(levels, ["region", "frame"])
+
+
+def cut_recordings(segments: DataFrame, spans: DataFrame, samples: DataFrame, totals: DataFrame, rate: int, limits: Limits = Limits(), least_us: int = 0, most_clips: int = MOST_CLIPS, rec: str = "rec") -> DataFrame:
+    """Word-safe clips of segments: ``rec, region_id, clip, s_us, e_us, validated, first_db, past_db``.
+
+    ``segments`` and ``spans`` (speech, by a detector) have ``rec, s_us, e_us``,
+    ``samples`` has ``rec, pos, x`` at `rate`, ``totals`` has ``total_us``.  A
+    recording without any span was not heard by the detector: its clips are cut by
+    level alone and none is validated.  Clips under `least_us` go; the first
+    `most_clips` of a recording, region by region, are kept.
+    """
+    # regions and tracks are read several times
+    spans = iv.positive(spans).select(rec, "s_us", "e_us")
+    regions = materialised(regions_of(segments, spans, totals, rec))
+    tracks = materialised(tracks_of(regions, spans, samples, rate, rec))
+    rows = region_rows(tracks, fr.zones(tracks, "region", limits.frames()[0]), "region")
+    eps = max(FRAME_US, 1_000_000 // rate)
+    cuts_word = lambda c: iv.points_inside(regions.select(rec, "region", F.col(c).alias("t_us")), spans, [rec], eps).select("region", F.lit(True).alias(f"{c}_cuts"))
+    heard = spans.select(rec).distinct().withColumn("vad", F.lit(True))
+    flags = regions.join(heard, rec, "left").join(cuts_word("s_us"), "region", "left").join(cuts_word("e_us"), "region", "left")
+    safe = lambda c: F.coalesce("vad", F.lit(False)) & F.col(f"{c}_cuts").isNull()
+    flags = flags.select("region", F.coalesce("vad", F.lit(False)).alias("vad"), safe("s_us").alias("start_safe"), safe("e_us").alias("end_safe"))
+    clips = segment(rows.join(flags, "region"), "region", limits)
+    timed = clips.join(regions, "region").select(rec, "region_id", "clip", (F.col("s_us") + F.col("first") * FRAME_US).alias("s_us"), (F.col("s_us") + F.col("past") * FRAME_US).alias("e_us"), "validated", "first_db", "past_db")
+    order = Window.partitionBy(rec).orderBy("region_id", "clip")
+    return iv.at_least(timed, least_us).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most_clips).drop("nth")
+
+
 def violations(clips: DataFrame, frames: DataFrame, key: str) -> DataFrame:
     """Validated clips that start in speech; there should be none."""
     return clips.filter("validated and clip > 0").join(frames.filter("speech").select(key, F.col("frame").alias("first")), [key, "first"], "left_semi")

@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A fresh path in ``spark.checkpoint.dir``; in a folder of our own only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillon-")
+    """A fresh path in ``spark.checkpoint.dir``, or in the context's checkpoint folder; on one machine in a folder of our own where neither is set."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = given.get() if given.isDefined() else None
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="quillon-")
     return f"{where}/quillon/{kind}/{uuid.uuid4().hex}"
 
 

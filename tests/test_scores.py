@@ -111,3 +111,81 @@ def test_walk_cuts_in_silence_and_flags_forced_cuts():
     assert len(forced) > 2 and not any(ok for *_, ok in forced[:-1])
     assert not any(ok for *_, ok in sg.walk(sg.Region(levels, speech, [], False, False, False), limits))
     assert sg.walk(sg.Region(np.zeros(0), np.zeros(0, bool), [], True, True, True), limits) == []
+
+
+def test_identify_takes_names_and_signs(spark):
+    rows = spark.createDataFrame([(1, "bob", 0.5), (1, "ann", 0.5), (2, "ann", 0.0), (2, "bob", -0.4), (3, "ann", 0.0), (3, "bob", 0.0)], "k int, label string, similarity double")
+    assert {r.k: (r.label, r.similarity) for r in ve.identify(rows, ["k"], "label").collect()} == {1: ("ann", 0.5), 2: ("ann", 0.0), 3: (None, 0.0)}
+
+
+def test_nearest_equals_identify_in_blocks_too(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(40)] + [(99, [0.0] * 4)], "k int, v array<double>")
+    protos = spark.createDataFrame([(f"p{i % 9}", rng.normal(size=4).tolist()) for i in range(9)], "name string, centroid array<double>")
+    want = {r.k: (r.name, r.similarity) for r in ve.identify(ve.similarities(vectors, protos), ["k"], "name").collect()}
+    assert want[99] == (None, 0.0)
+    for block in (4096, 4):
+        monkeypatch.setattr(ve, "BLOCK_PROTOTYPES", block)
+        assert {r.k: (r.name, r.similarity) for r in ve.nearest(vectors, protos, "name").collect()} == want
+        assert ve.similarities(vectors, protos).count() == 41 * 9
+
+
+def test_gate_takes_checks_of_its_own(spark):
+    from pyspark.sql import functions as F
+
+    mine = [ga.Check("too_loud", F.length("transcript") > 3, F.length("transcript")), ga.Check("odd", F.lit(None).cast("boolean"))]
+    row = ga.gate(clip(spark), more=mine).first()
+    assert row.reasons == {"too_loud": 5.0} and not row.accepted
+
+
+def test_gate_composes_arabic_letters(spark):
+    decomposed = "\u0627\u0653 \u0648\u0654 5"
+    row = ga.gate(clip(spark, transcript=decomposed, language="ar")).first()
+    assert row.normalized == "\u0622 \u0624 \u062e\u0645\u0633\u0629" and row.accepted
+    marks = ga.gate(clip(spark, transcript="\u064e \u0651", language="ar-SA")).first()
+    assert marks.normalized == "" and marks.reasons == {"empty_transcript": 1.0}
+
+
+def test_recordings_are_cut_word_safe(spark):
+    """Speech with pauses: clips of the wanted length, edges out of speech, validated ones never start in a word."""
+    from quillon.operators import frames as fr
+
+    rate, rng = 800, np.random.default_rng(5)
+    spans, samples = [], []
+    for rec, seconds in (("a", 60), ("b", 45)):
+        at = 0.0
+        quiet = np.ones(seconds * rate, bool)
+        while at < seconds - 3:
+            talk = float(rng.uniform(1.0, 4.0))
+            spans.append((rec, int(at * 1e6), int((at + talk) * 1e6)))
+            quiet[int(at * rate) : int((at + talk) * rate)] = False
+            at += talk + float(rng.uniform(0.1, 0.8))
+        wave = np.where(quiet, 0.001, 0.3) * rng.normal(size=seconds * rate)
+        samples += [(rec, i, float(x)) for i, x in enumerate(wave)]
+    speech = spark.createDataFrame(spans, "rec string, s_us long, e_us long")
+    sound = spark.createDataFrame(samples, "rec string, pos long, x double")
+    totals = spark.createDataFrame([("a", 60_000_000), ("b", 45_000_000), ("c", 5_000_000)], "rec string, total_us long")
+    segments = spark.createDataFrame([("a", 500_000, 31_000_000), ("a", 33_000_000, 70_000_000), ("b", 0, 44_000_000), ("b", 7, 7)], "rec string, s_us long, e_us long")
+    found = sg.cut_recordings(segments, speech, sound, totals, rate).collect()
+    assert {r.rec for r in found} == {"a", "b"} and len(found) >= 7
+    inside = lambda r, t: any(k == r and s + 10_000 < t < e - 10_000 for k, s, e in spans)
+    assert all(0 <= r.s_us < r.e_us and r.e_us - r.s_us <= 23_000_000 for r in found)
+    assert sum(r.validated for r in found) >= len(found) // 2
+    assert not [r for r in found if r.validated and inside(r.rec, r.s_us)]
+    assert len(sg.cut_recordings(segments, speech, sound, totals, rate, least_us=3_000_000, most_clips=2).collect()) == 4
+    deaf = sg.cut_recordings(segments, speech.filter("rec = 'b'"), sound, totals, rate).filter("rec = 'a'").collect()
+    assert deaf and not any(r.validated for r in deaf)
+    regions = sg.regions_of(segments, speech, totals)
+    tracks = sg.tracks_of(regions, speech, sound, rate)
+    rows = sg.region_rows(tracks, fr.zones(tracks, "region", 30), "region").selectExpr("*", "true AS vad", "true AS start_safe", "true AS end_safe")
+    clips = sg.segment(rows, "region")
+    assert clips.count() > 3 and sg.violations(clips, tracks, "region").count() == 0
+
+
+def test_extraction_gives_a_dataset(spark):
+    from quillon.plans import extraction as ex
+
+    rows = ex.extract_end_to_end(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) > 10 and len({r.clip_id for r in rows}) == len(rows)
+    assert all(50_000 <= r.dur_us <= 450_000 and r.normalized and r.speaker == ex.TARGET for r in rows)
+    assert sum(r.is_eval for r in rows) == round(len(rows) * 0.1)
