@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,10 @@ def names(family: str) -> list[str]:
 
 
 def cosine_scorer():
-    """A pandas UDF that scores two embeddings; a pair it cannot score is null."""
+    """A pandas UDF that scores two embeddings; a pair it cannot score is null.
+
+    It shows what a plugged-in scorer looks like; for cosines alone use `operators.vectors.cosine`.
+    """
 
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -72,17 +76,49 @@ def install(spark: SparkSession) -> None:
     spark.udf.register("voice_score", create("scorer", "cosine"))
 
 
-def map_model(rows: DataFrame, loader: Callable, apply: Callable, schema: str) -> DataFrame:
-    """Run a model over batches: loaded once in each task, `apply(model, batch)` gives a batch."""
+def map_model(rows: DataFrame, loader: Callable, apply: Callable, schema: str, or_none: bool = False) -> DataFrame:
+    """Run a model over batches: loaded once in each task, `apply(model, batch)` gives a batch.
+
+    With `or_none` a model that cannot be loaded is None, and `apply` says what that means.
+    Turns of a diarizer and spans of a detector come out this way too: a batch of
+    recordings in, a batch of rows out.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = loader()
+        try:
+            model = loader()
+        except Exception:
+            if not or_none:
+                raise
+            model = None
         for batch in batches:
             yield apply(model, batch)
 
     return rows.mapInPandas(run, schema)
 
 
+@dataclass(frozen=True)
+class Stage:
+    """A named step over a table: `run(rows, settings)`; it is skipped unless `on(settings)`."""
+
+    name: str
+    run: Callable[[DataFrame, dict], DataFrame]
+    needs: tuple[str, ...] = ()
+    on: Callable[[dict], bool] = lambda settings: True
+
+
+def run_stages(rows: DataFrame, stages: list[Stage], settings: dict) -> DataFrame:
+    """The stages one after another as one plan; a setting that a stage needs and does not find is an error."""
+    for stage in stages:
+        if not stage.on(settings):
+            continue
+        lacking = [n for n in stage.needs if n not in settings]
+        if lacking:
+            raise KeyError(f"stage {stage.name!r} needs {', '.join(lacking)}")
+        rows = stage.run(rows, settings)
+    return rows
+
+
 def unavailable(what: str) -> Callable:
     """A factory for a model that is not part of this library."""
 

@@ -65,3 +65,50 @@ def vocal_stem(paths: Column) -> Column:
 def out_of_memory(kind: Column, message: Column) -> Column:
     """An error that smaller chunks may cure."""
     return F.coalesce((kind == "runtime") & F.contains(F.lower(message), F.lit("out of memory")), F.lit(False))
+
+
+def precision(asked: Column, major: Column) -> Column:
+    """Number format of recognition by what is asked for and the device's major capability (null: unknown)."""
+    wanted = F.lower(F.when(F.coalesce(asked, F.lit("")) == "", "fp32").otherwise(asked))
+    best = F.when(major >= 8, "bf16").when(major < 8, "fp16")
+    return F.when(wanted == "auto", F.coalesce(best, F.lit("fp32"))).when(wanted == "bf16", F.coalesce(best, F.lit("bf16"))).when(wanted == "fp16", "fp16").otherwise("fp32")
+
+
+def detected(policy: Column, first: Column, first_us: Column, second: Column, second_us: Column) -> Column:
+    """Spans, duration and used detector (``spans, dur_us, used``) under a policy ``first``, ``second`` or ``auto``.
+
+    Spans that are null come from a detector that failed, empty ones from one that
+    heard nothing; ``auto`` (null too) goes on to the second after either.
+    """
+    way = F.lower(F.coalesce(policy, F.lit("auto")))
+    none = F.slice(F.coalesce(first, second), 1, 0)
+    total = F.when(first.isNotNull(), F.coalesce(first_us, F.lit(0))).otherwise(0).cast("long")
+    heard = lambda spans: F.coalesce(F.size(spans) > 0, F.lit(False))
+    second_total = F.when(second.isNotNull(), F.coalesce(second_us, F.lit(0))).cast("long")
+    out = lambda spans, us, used: F.struct(spans.alias("spans"), us.cast("long").alias("dur_us"), F.lit(used).alias("used"))
+    return (
+        F.when((way == "second") & heard(second), out(second, second_total, "second"))
+        .when(way == "second", out(F.coalesce(second, none), F.coalesce(second_total, F.lit(0)), "none"))
+        .when(heard(first), out(first, total, "first"))
+        .when(way == "first", out(F.coalesce(first, none), total, "none"))
+        .when(heard(second), out(second, F.when(second_total > 0, second_total).otherwise(total), "second"))
+        .otherwise(out(none, F.coalesce(second_total, total), "none"))
+    )
+
+
+def setting(default: Column, *names: Column) -> Column:
+    """A setting under its name or an older one: the first that is given, else the default."""
+    return F.coalesce(*names, default)
+
+
+def missing(python: Column, decoder_known: Column, decoder: Column, decoder_ready: Column, folder: Column) -> Column:
+    """What a run still needs, first things first: ``python``, ``decoder``, ``folder``; empty if nothing."""
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    no_decoder = F.coalesce(decoder_known, F.lit(False)) & ~F.coalesce(decoder, F.lit(False)) & ~F.coalesce(decoder_ready, F.lit(False))
+    return F.when(blank(python), "python").when(no_decoder, "decoder").when(blank(folder), "folder").otherwise("")
+
+
+def runnable(source: Column, n_references: Column, name: Column, lacking: Column, phase: Column) -> Column:
+    """Whether a run can start: inputs are given, nothing is lacking, and none is under way."""
+    given = (F.coalesce(source, F.lit("")) != "") & (F.coalesce(n_references, F.lit(0)) > 0) & (F.trim(F.coalesce(name, F.lit(""))) != "")
+    return given & (lacking == "") & ~F.coalesce(phase, F.lit("")).isin("running", "fetching")

@@ -84,3 +84,26 @@ def reel(clips: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     nth = F.row_number().over(order) - 1
     return clips.filter("dur_us > 0").withColumns({"nth": nth, "offset_us": F.coalesce(F.sum("dur_us").over(before), F.lit(0)) + nth * gap_us})
+
+
+#: Fixed value: the peak (dB) of a clip without samples.
+EMPTY_PEAK_DB = -200.0
+
+
+def peak_db(clips: DataFrame, samples: DataFrame, key: str) -> DataFrame:
+    """``key, true_peak_db`` of every clip: the sample peak, which stands in where no oversampler measures the true one."""
+    top = samples.groupBy(key).agg(F.max(F.abs("x")).alias("peak"))
+    return clips.select(key).join(top, key, "left").select(key, F.coalesce(F.log10(F.col("peak") + 1e-10) * 20, F.lit(EMPTY_PEAK_DB)).alias("true_peak_db"))
+
+
+def exported(samples: DataFrame, meters: DataFrame, key: str, source_rate: int, rate: int, target: float = -23.0) -> DataFrame:
+    """``key, pos, pcm``: clips as they are written: resampled, brought to the target loudness last, cut to [-1, 1], in 16 bits.
+
+    ``meters`` has ``lufs`` and ``true_peak_db`` of each clip (a loudness of null keeps its level).
+    """
+    at_rate = resampled(samples, key, source_rate, rate)
+    lengths = at_rate.groupBy(key).agg((F.count("*") * 1_000_000 / rate).alias("dur_us"))
+    gain = gain_db(F.col("lufs"), F.col("dur_us"), target)
+    scales = lengths.join(meters, key, "left").select(key, limited_scale(gain, F.col("true_peak_db")).alias("scale"))
+    level = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("x") * F.col("scale")))
+    return at_rate.join(scales, key).select(key, "pos", F.bround(level * 32767, 0).cast("int").alias("pcm"))

@@ -77,3 +77,8 @@ def silence_runs(frames: DataFrame, key: str, below_db: float, least_frames: int
 def quietest(frames: DataFrame, key: str) -> DataFrame:
     """``key, frame, rms_db`` of the quietest frame, the first of equals."""
     return frames.groupBy(key).agg(F.min(F.struct("rms_db", "frame")).alias("m")).select(key, "m.frame", "m.rms_db")
+
+
+def loudest(frames: DataFrame, key: str) -> DataFrame:
+    """``key, level_db``: the loudest frame."""
+    return frames.groupBy(key).agg(F.max("rms_db").alias("level_db"))

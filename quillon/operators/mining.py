@@ -30,7 +30,7 @@ def longest_first(spans: DataFrame, keys: list[str], limit: int = 0) -> DataFram
 
 def spread_us(duration_us: int, limit: int) -> int:
     """How far apart picks should be: 20 s, or half an even share of the recording."""
-    return max(20_000_000, duration_us // (2 * limit))
+    return max(20_000_000, round(duration_us / (2 * limit)))
 
 
 def diverse(found: DataFrame, keys: list[str], limit: int, apart_us: int) -> DataFrame:
@@ -51,7 +51,7 @@ def diverse(found: DataFrame, keys: list[str], limit: int, apart_us: int) -> Dat
 
 
 def silence_rows(log: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, s_us, e_us`` from a detector's log; the last silence may be open (null end)."""
+    """``key, s_us, e_us`` from a detector's log (fixed value: its words); the last silence may be open (null end)."""
     seconds = lambda word: F.regexp_extract_all(text, F.lit(rf"{word}:\s*(-?\d+(?:\.\d+)?)"), F.lit(1))
     pairs = F.arrays_zip(seconds("silence_start").alias("s"), seconds("silence_end").alias("e"))
     us = lambda c: (F.col(c).try_cast("decimal(18,6)") * 1_000_000).cast("long")
@@ -59,6 +59,6 @@ def silence_rows(log: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def duration_us(text: Column) -> Column:
-    """Length from a ``Duration: H:M:S`` line; null if there is none."""
+    """Length from a ``Duration: H:M:S`` line (fixed value: a probe's form); null if there is none, or if it is n/a."""
     part = lambda i: F.regexp_extract(text, r"Duration:\s*(\d+):(\d+):(\d+(?:\.\d+)?)", i).try_cast("decimal(18,6)")
     return ((part(1) * 3600 + part(2) * 60 + part(3)) * 1_000_000).cast("long")

@@ -79,7 +79,14 @@ _SEC = "printf('%d.%03d', ({t} + 500) // 1000 // 1000, ({t} + 500) // 1000 % 100
 _CLOCK = "printf('%02d:%02d:%02d.%03d', {t} // 3600000000, {t} // 60000000 % 60, {t} // 1000000 % 60, {t} // 1000 % 1000)"
 _NAMED = TEXT_SQL["txt_basename"].split(" SELECT turn_id, base")[0]
 
+#: The transform of 32 padded samples every 8, as sums of cosines and sines.
+_BANDWIDTH = """framed AS (SELECT e.vec_id, f, n, coalesce(CASE WHEN f * 8 + n - 16 BETWEEN 0 AND 63 THEN CAST(embedding[f * 8 + n - 15] AS DOUBLE) END, 0) * (0.5 - 0.5 * cos(2 * pi() * n / 32)) AS x FROM embeddings e, range(9) AS a(f), range(32) AS b(n)),
+bins AS (SELECT vec_id, f, k, sqrt(pow(sum(x * cos(2 * pi() * k * n / 32)), 2) + pow(sum(x * sin(2 * pi() * k * n / 32)), 2)) AS p FROM framed, range(17) AS c(k) GROUP BY vec_id, f, k),
+grown AS (SELECT vec_id, f, k, sum(p) OVER (PARTITION BY vec_id, f ORDER BY k) AS upto, sum(p) OVER (PARTITION BY vec_id, f) AS total FROM bins),
+rolled AS (SELECT vec_id, f, min(k) AS k FROM grown WHERE upto >= 0.99 * total GROUP BY vec_id, f)"""
+
 ORACLE_SQL = {
+    "aud_bandwidth": f"WITH {_BANDWIDTH}, m AS (SELECT vec_id, quantile_cont(k, 0.5) * 16000 / 32 AS rolloff_hz FROM rolled GROUP BY vec_id) SELECT vec_id, rolloff_hz, rolloff_hz < 6000 AS limited FROM m",
     "aud_gain": """WITH g AS (SELECT c_custkey, c_custkey % 30 - 25.0 AS tp, CASE WHEN c_custkey % 9 <> 0 AND c_custkey % 50 * 20000 >= 400000 THEN least(12.0, greatest(-12.0, -23.0 - c_acctbal / -250)) ELSE 0.0 END AS gain FROM customer)
 SELECT c_custkey, round(gain, 6) AS gain_db, round(pow(10.0, (gain - CASE WHEN gain = 0 THEN 0 ELSE greatest(0, tp + gain + 1) END) / 20), 6) AS scale FROM g""",
     "aud_resample": f"""WITH {SAMPLES_SQL}, o AS (SELECT vec_id, unnest(range(88)) AS pos FROM embeddings),

@@ -16,6 +16,7 @@ from quillon.operators import segmenter as sg
 from quillon.plans.domain import DAY_US, TURNS_SQL, table, turns
 from quillon.plans.interval_queries import islands
 from quillon.plans.vector_queries import _masked, fuse_weighted
+from quillon.plans.vector_queries import _LEVELS, _MASK
 from quillon.plans.vector_queries import ORACLE_SQL as VECTOR_SQL
 
 MOST_US, LEAST_US, GAP_US = 60_000_000, 10_000_000, 5_000_000
@@ -202,7 +203,7 @@ _WINDOWS = f"""{TURNS_SQL},
 windows AS (SELECT rec, e_us - s_us AS region_us, unnest(range(s_us, e_us - {LEAST_US} + 1, {MOST_US})) AS s_us, e_us AS stop FROM regions WHERE e_us - s_us >= {LEAST_US}),
 tiles AS (SELECT rec, region_us, s_us, least(s_us + {MOST_US}, stop) AS e_us FROM windows)"""
 _SCORED = f"""{_WINDOWS},
-voiced AS (SELECT w.rec, w.s_us, w.e_us, region_us, CAST(coalesce(sum(least(t.e_us, w.e_us) - greatest(t.s_us, w.s_us)), 0) AS BIGINT) AS voiced_us
+voiced AS (SELECT w.rec, w.s_us, w.e_us, region_us, CAST(coalesce(sum(least(t.e_us, w.e_us) - greatest(t.s_us, w.s_us)) FILTER (WHERE t.s_us IS NOT NULL), 0) AS BIGINT) AS voiced_us
   FROM tiles w LEFT JOIN turns t ON w.rec = t.rec AND t.s_us < w.e_us AND w.s_us < t.e_us GROUP BY ALL)"""
 _FUSED = VECTOR_SQL["fuse_weighted"].removeprefix("WITH ").removesuffix(" SELECT * FROM fused") + ", run AS (SELECT f.vec_id, score, label FROM fused f JOIN embeddings USING (vec_id))"
 _JACCARD = f"""{_FUSED}, met AS (SELECT label, vec_id % 13 <> 0 AS a, vec_id % 17 <> 0 AS b FROM run WHERE score >= 0.2),
@@ -210,7 +211,61 @@ jac AS (SELECT label, count(*) FILTER (WHERE a AND b) AS n_both, count(*) FILTER
 _JOBS = """jobs AS (SELECT doc_id, source, left(sha1('/in/' || lower(source) || '/' || doc_id || chr(0) || array_to_string(list_sort([lower(source), lower(lang)]), '|') || chr(0) || lower(lang)), 16) AS job_key FROM documents),
 manifest AS (SELECT job_key, CASE WHEN doc_id % 4 = 0 THEN 'in_progress' ELSE 'done' END AS status FROM jobs WHERE doc_id % 3 = 0)"""
 
+#: Edit distance of word lists, a row of the table a step; a row's left neighbour comes in as the least of what lies before, counted up.
+_WER = r"""pairs AS (SELECT row_number() OVER () AS id, conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') AS r,
+  list_filter(regexp_split_to_array(coalesce(regexp_replace(replace(text, ' the ', ' '), '\bof\b', 'off', 'g'), ''), '\s+'), lambda w: w <> '') AS h FROM conversations),
+steps(id, i, line) AS (SELECT id, CAST(0 AS BIGINT), range(0, len(h) + 1) FROM pairs UNION ALL
+  SELECT id, i + 1, list_transform(range(0, len(t)), lambda j: j + list_min(t[1 : j + 1])) FROM (
+    SELECT s.id, i, list_transform(range(0, len(h) + 1), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE least(line[j + 1] + 1, line[j] + CASE WHEN r[i + 1] = h[j] THEN 0 ELSE 1 END) END - j) AS t
+    FROM steps s JOIN pairs p ON s.id = p.id WHERE i < len(r))),
+wers AS (SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN CASE WHEN len(h) = 0 THEN 0.0 ELSE 1.0 END ELSE line[-1] / len(r) END AS wer FROM steps s JOIN pairs p ON s.id = p.id AND i = len(r))"""
+_APART_US = mi.spread_us(DAY_US, 5)
+#: The walk as a fold: a state for each region holds the cursor; a step emits one clip, or lengthens the last.
+_MIN_SILENCE, _PAD, _SNAP, _LEAST, _MOST, _HARD = SHORT.frames()
+_WALK = f"""{_LEVELS}, {_MASK},
+placed AS (SELECT vec_id, label, vec_id // {REGION_IDS} AS block, row_number() OVER (PARTITION BY label, vec_id // {REGION_IDS} ORDER BY vec_id) - 1 AS nth FROM embeddings),
+track AS (SELECT label, block, nth * 8 + frame AS frame, rms_db, speech FROM placed JOIN mask USING (vec_id) JOIN levels USING (vec_id, frame)),
+zone AS (SELECT label, block, min(frame) AS first, max(frame) AS last, arg_min(frame, (rms_db, frame)) AS q FROM (
+  SELECT *, frame - row_number() OVER (PARTITION BY label, block ORDER BY frame) AS g FROM track WHERE NOT speech) GROUP BY label, block, g),
+zones AS (SELECT label, block, list({{'q': q, 'last': last, 'long': last - first + 1 >= {_MIN_SILENCE}}} ORDER BY first) AS zones FROM zone GROUP BY label, block),
+tracks AS (SELECT label, block, list(rms_db ORDER BY frame) AS levels, list(speech ORDER BY frame) AS speech, count(*) AS n FROM track GROUP BY label, block),
+region AS (SELECT t.*, coalesce(zones, []) AS zones, list_min(list_filter(range(1, n), lambda f: speech[f] AND NOT speech[f + 1])) AS fall FROM tracks t LEFT JOIN zones z ON t.label = z.label AND t.block = z.block),
+edged AS (SELECT *, CASE WHEN label % 2 = 0 OR NOT speech[1] THEN 0 ELSE coalesce(list_min(list_transform(list_filter(zones, lambda z: z.q <= {_SNAP}), lambda z: z.q)), CASE WHEN fall < n - 1 THEN fall END, 0) END AS start FROM region),
+walk(label, block, cursor, clip, first, past, validated, longer, done) AS (
+  SELECT label, block, CAST(start AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN), false, false FROM edged
+  UNION ALL
+  SELECT label, block, CAST(CASE WHEN NOT ends AND zone IS NOT NULL AND zone.q > cursor THEN zone.q ELSE cut END AS BIGINT), CASE WHEN ends AND left_ < {_LEAST} AND clip > 0 THEN clip ELSE clip + 1 END,
+    CAST(cursor AS BIGINT), CAST(cut AS BIGINT), CASE WHEN ends OR zone IS NOT NULL THEN good ELSE good AND cut < n AND NOT speech[cut + 1] END, ends AND left_ < {_LEAST} AND clip > 0, ends
+  FROM (
+    SELECT *, CASE WHEN ends THEN n WHEN zone IS NOT NULL THEN greatest(least(zone.last + 1, zone.q + {_PAD}, n), cursor + 1)
+      WHEN quietest > cursor THEN quietest ELSE least(cursor + {_MOST}, n) END AS cut
+    FROM (
+      SELECT w.label, w.block, w.cursor, w.clip, e.n, e.speech, n - cursor AS left_, n - cursor <= {_HARD} AS ends,
+        CASE WHEN cursor = start THEN (start = 0 AND w.label % 2 = 0) OR NOT speech[start + 1] ELSE NOT speech[cursor + 1] END AS good,
+        list_sort(list_transform(list_filter(zones, lambda z: z.q >= cursor + {_LEAST} AND z.q <= least(cursor + {_HARD}, n)), lambda z: {{'p': CASE WHEN z.q <= cursor + {_MOST} THEN CASE WHEN z.long THEN 0 ELSE 1 END WHEN z.long THEN 2 ELSE 3 END,
+          'd': CASE WHEN z.q <= cursor + {_MOST} THEN z.q ELSE z.q - (cursor + {_MOST}) END, 'q': z.q, 'last': z.last}}))[1] AS zone,
+        least(cursor + {_MOST}, n - 1) + list_position(levels[least(cursor + {_MOST}, n - 1) + 1 : least(cursor + {_HARD}, n)], list_min(levels[least(cursor + {_MOST}, n - 1) + 1 : least(cursor + {_HARD}, n)])) - 1 AS quietest
+      FROM walk w JOIN edged e ON w.label = e.label AND w.block = e.block WHERE NOT done AND cursor < n))),
+clips AS (SELECT label, block, clip - 1 AS clip, min(first) FILTER (WHERE NOT longer) AS first, max(past) AS past, bool_or(validated) FILTER (WHERE NOT longer) AS validated FROM walk WHERE first IS NOT NULL GROUP BY label, block, clip),
+walked AS (SELECT c.label, c.block, CAST(clip AS INT) AS clip, CAST(first AS INT) AS first, CAST(past AS INT) AS past, validated, levels[least(first, n - 1) + 1] AS first_db, levels[least(past, n - 1) + 1] AS past_db FROM clips c JOIN edged e ON c.label = e.label AND c.block = e.block)"""
+
 ORACLE_SQL = {
+    "cmp_wer": f"WITH RECURSIVE {_WER} SELECT conv_id, turn, round(wer, 6) AS wer FROM wers",
+    "cmp_verdict": f"""WITH RECURSIVE {_WER}, {_JACCARD},
+j AS (SELECT label, round(n_both / n_any, 6) AS jaccard FROM jac),
+d AS (SELECT label, round(max(CASE WHEN label = 4 AND vec_id % 13 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE abs(score - (score + CASE WHEN vec_id % 3 = 0 THEN 0.01 ELSE 0 END)) END), 6) AS delta FROM run GROUP BY label),
+e AS (SELECT CAST(conv_id % 10 AS INT) AS label, max(wer) AS wer FROM wers GROUP BY conv_id % 10),
+m AS (SELECT label, coalesce(jaccard, 1.0) AS jaccard, coalesce(delta, 0.0) AS delta, coalesce(wer, 0.0) AS wer FROM j FULL JOIN d USING (label) FULL JOIN e USING (label))
+SELECT label, jaccard, delta, round(wer, 6) AS wer, jaccard = 1 AND delta = 0 AND wer = 0 AS identical FROM m""",
+    "seg_walk": f"WITH RECURSIVE {_WALK} SELECT * FROM walked",
+    "seg_validated_only": f"WITH RECURSIVE {_WALK} SELECT label, count(*) AS n, CAST(sum(past - first) AS BIGINT) AS frames FROM walked WHERE validated GROUP BY label",
+    "mine_diverse": f"""WITH RECURSIVE {_SCORED}, s AS (SELECT rec, s_us, e_us, least(region_us / 1000000, 60) + (voiced_us / (e_us - s_us)) * 25 AS score FROM voiced WHERE voiced_us / (e_us - s_us) >= 0.9),
+w AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY score DESC, s_us, e_us) AS nth FROM s),
+fold(rec, nth, picks) AS (SELECT rec, nth, [{{'n': nth, 'c': s_us + e_us}}] FROM w WHERE nth = 1 UNION ALL
+  SELECT w.rec, w.nth, CASE WHEN len(picks) < 5 AND len(list_filter(picks, lambda p: abs(p.c - (s_us + e_us)) < {2 * _APART_US})) = 0 THEN list_append(picks, {{'n': w.nth, 'c': s_us + e_us}}) ELSE picks END FROM fold f JOIN w ON w.rec = f.rec AND w.nth = f.nth + 1),
+chosen AS (SELECT rec, arg_max(list_transform(picks, lambda p: p.n), nth) AS picks FROM fold GROUP BY rec),
+ordered AS (SELECT w.rec, s_us, e_us, score, row_number() OVER (PARTITION BY w.rec ORDER BY NOT list_contains(picks, nth), nth) - 1 AS pick FROM w JOIN chosen c ON w.rec = c.rec)
+SELECT rec, CAST(pick AS INT) AS pick, s_us, e_us, score FROM ordered WHERE pick < 5""",
     "mine_windows": f"WITH {_WINDOWS} SELECT rec, region_us, s_us, e_us FROM tiles",
     "mine_scored": f"WITH {_SCORED} SELECT rec, s_us, e_us, voiced_us, voiced_us / (e_us - s_us) AS density, least(region_us / 1000000, 60) + (voiced_us / (e_us - s_us)) * 25 AS score FROM voiced WHERE voiced_us / (e_us - s_us) >= 0.9",
     "mine_longest_first": f"""WITH {TURNS_SQL}, cut AS (SELECT rec, s_us, least(e_us, {DAY_US}) AS e_us FROM turns WHERE least(e_us, {DAY_US}) > s_us), {islands("cut", "held", "rec")},

@@ -10,6 +10,7 @@ from quillon.functions import text as tx
 from quillon.operators import intervals as iv
 from quillon.operators.vectors import cosine
 from quillon.plans.domain import TURNS_SQL, table, turns
+from quillon.plans.interval_queries import islands
 from quillon.plans.shared import shared_path
 from quillon.sources import readers as rd
 from quillon.streaming import jobs as st
@@ -49,10 +50,21 @@ def stm_session_union(spark, d):
 
 
 def stm_tumbling_text(spark, d):
-    """Texts of a conversation joined in order within chunks of four turns; blank ones are skipped."""
-    rows = table(spark, d, "conversations").filter(F.trim("text") != "")
-    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return rows.groupBy("conv_id", F.floor(F.col("turn") / 4).alias("chunk")).agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
+    """Texts of a conversation on the stream, joined in order within chunks of four turns; blank ones are skipped."""
+    rows = st.read(spark, f"{d}/conversations.parquet").withColumn("chunk", F.floor(F.col("turn") / 4))
+    return st.complete(st.joined_text(rows, ["conv_id", "chunk"], "turn", "text"))
+
+
+def stm_sliding(spark, d):
+    """Events of a type in windows of ten minutes, one every five."""
+    return st.latest(st.sliding(_events(spark, d), 2 * WINDOW_S, WINDOW_S, ["event_type"]), ["event_type", "starts"], "n")
+
+
+def stm_line_order(spark, d):
+    """Lines of a run before its end: the end is given out after the last line, whatever came first."""
+    rows = _events(spark, d).select("user_id", "event_id", (F.col("event_id") % 10 == 0).alias("ends"))
+    found = st.complete(rows.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ends", "event_id"))).alias("lines")))
+    return found.select("user_id", F.posexplode("lines").alias("nth", "x")).select("user_id", "nth", "x.event_id", "x.ends")
 
 
 def udtf_chunks(spark, d):
@@ -69,6 +81,27 @@ def udf_scorer(spark, d):
     return rows.join(first, "label").select("vec_id", F.round(score("v", "p"), 6).alias("score"), F.round(cosine(F.col("v"), F.col("p")), 6).alias("builtin"))
 
 
+def udf_stages(spark, d):
+    """A chain of stages by settings: clips are trimmed, short ones dropped, and the stage that is switched off is left out."""
+    stages = [
+        rg.Stage("trim", lambda rows, _: rows.withColumn("text", F.trim("text"))),
+        rg.Stage("long_enough", lambda rows, given: rows.filter(F.length("text") >= given["least"]), needs=("least",)),
+        rg.Stage("none", lambda rows, _: rows.limit(0), on=lambda given: given.get("none", False)),
+    ]
+    return rg.run_stages(table(spark, d, "documents").select("doc_id", "text"), stages, {"least": 500}).select("doc_id", F.length("text").alias("n"))
+
+
+def udf_fallback(spark, d):
+    """A model that cannot be loaded gives nulls in place of an error."""
+
+    def broken():
+        raise RuntimeError("no weights here")
+
+    rows = table(spark, d, "documents").select("doc_id", "lang")
+    score = lambda model, batch: batch.assign(score=None if model is None else 1.0)[["doc_id", "score"]]
+    return rg.map_model(rows, broken, score, "doc_id long, score double", or_none=True)
+
+
 def udf_registry(spark, d):
     """What a mapped model sees: how many transcripts of each language a task's batches hold in all."""
     rows = rg.map_model(table(spark, d, "documents").select("lang", "text"), dict, lambda model, batch: batch.assign(n=batch["text"].str.len())[["lang", "n"]], "lang string, n long")
@@ -101,9 +134,14 @@ def src_settings(spark, d):
     return rd.settings(rows, "text", {"device": "cuda", "precision": "fp32"}).select("c_custkey", "device", "precision")
 
 
-QUERIES = {f.__name__: f for f in (stm_tumbling, stm_stage_state, stm_incremental, stm_session_union, stm_tumbling_text, udtf_chunks, udf_scorer, udf_registry, rule_policies, rule_verdicts, rule_timeouts, src_turn_lines, src_settings)}
+QUERIES = {f.__name__: f for f in (stm_tumbling, stm_stage_state, stm_incremental, stm_session_union, stm_tumbling_text, stm_sliding, stm_line_order, udtf_chunks, udf_scorer, udf_stages, udf_fallback, udf_registry, rule_policies, rule_verdicts, rule_timeouts, src_turn_lines, src_settings)}
 
 ORACLE_SQL = {
+    "stm_session_union": f"WITH spoken AS (SELECT event_type AS spk, epoch_us(ts) AS s_us, epoch_us(ts) + CAST(round(value * 1e6) AS BIGINT) AS e_us FROM events WHERE CAST(round(value * 1e6) AS BIGINT) > 0), {islands('spoken', 'u', 'spk', iv.GAP_US)} SELECT spk, s_us, e_us, n FROM u",
+    "stm_sliding": f"SELECT event_type, (epoch_us(ts) // {WINDOW_S * 1_000_000} - b) * {WINDOW_S} AS starts, count(*) AS n, max(event_id) AS last_id FROM events, (VALUES (0), (1)) AS x(b) GROUP BY ALL",
+    "stm_line_order": "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id % 10 = 0, event_id) - 1 AS INT) AS nth, event_id, event_id % 10 = 0 AS ends FROM events",
+    "udf_stages": "SELECT doc_id, length(trim(text, ' ')) AS n FROM documents WHERE length(trim(text, ' ')) >= 500",
+    "udf_fallback": "SELECT doc_id, CAST(NULL AS DOUBLE) AS score FROM documents",
     "stm_tumbling": f"SELECT event_type, epoch_us(ts) // {WINDOW_S * 1_000_000} * {WINDOW_S} AS starts, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY ALL",
     "stm_stage_state": "SELECT user_id, max(event_id % 7) AS reached, count(*) AS n FROM events GROUP BY user_id",
     "stm_incremental": "SELECT DISTINCT user_id FROM events",

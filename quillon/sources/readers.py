@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def _riff(data: bytes) -> tuple[int, int, int, int, int] | None:
@@ -80,20 +82,100 @@ def turn_lines(lines: DataFrame, key: str, text: str) -> DataFrame:
     return rows.filter(F.size("p") >= 3).select(key, "track", F.col("p")[2].alias("spk"), us(0).alias("s_us"), us(1).alias("e_us")).filter("e_us > s_us")
 
 
+def turn_structs(rows: DataFrame, key: str, turns: str) -> DataFrame:
+    """The same from an array of structs ``start, end, speaker`` (seconds); nested arrays, one a channel, are laid end to end."""
+    kind = rows.schema[turns].dataType.elementType
+    flat = F.flatten(turns) if isinstance(kind, ArrayType) else F.col(turns)
+    us = lambda c: (F.col(f"t.{c}").cast("decimal(18,6)") * 1_000_000).cast("long")
+    found = rows.select(key, F.posexplode(flat).alias("track", "t")).select(key, "track", F.col("t.speaker").cast("string").alias("spk"), us("start").alias("s_us"), us("end").alias("e_us"))
+    return found.filter("e_us > s_us")
+
+
+def _or_empty(read: Callable[[], DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    """What `read` gives; an empty table if its path does not exist."""
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _in_file_order(rows: DataFrame) -> DataFrame:
+    """Adds ``nth``, which sorts rows as their files have them: by file, block and row."""
+    return rows.withColumn("nth", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+
+
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """``filename, transcript`` of a transcript table with a header; the last row of a file name counts."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("nth", F.monotonically_increasing_id())
-    return rows.filter("filename is not null and transcript is not null").groupBy("filename").agg(F.max_by("transcript", "nth").alias("transcript"))
+    """``filename, transcript`` of a transcript table with a header.
+
+    Columns are found by name, whatever their case, else they are the fourth and
+    the fifth.  Rows too short for both are dropped, the last row of a file name
+    counts, and a path that does not exist gives an empty table.
+    """
+    kind = "filename string, transcript string"
+
+    def read() -> DataFrame:
+        rows = _in_file_order(spark.read.csv(path, header=True, multiLine=True, escape='"', nullValue="\u0000", emptyValue=""))
+        names = [c.strip().lower() for c in rows.columns[:-1]]
+        at = [names.index(n) if n in names else i for n, i in (("filename", 3), ("transcript", 4))]
+        if max(at) >= len(names):
+            return spark.createDataFrame([], kind)
+        rows = rows.toDF(*[f"c{i}" for i in range(len(names))], "nth").select(F.col(f"c{at[0]}").alias("filename"), F.col(f"c{at[1]}").alias("transcript"), "nth")
+        return rows.dropna(subset=["filename", "transcript"]).groupBy("filename").agg(F.max_by("transcript", "nth").alias("transcript"))
+
+    return _or_empty(read, spark, kind)
 
 
 def results_log(spark: SparkSession, path: str) -> DataFrame:
     """``path, text`` of a log of JSON lines; torn lines are dropped, the last line of a path counts."""
-    rows = spark.read.schema("path string, text string").option("mode", "DROPMALFORMED").json(path).withColumn("nth", F.monotonically_increasing_id())
+    rows = _in_file_order(spark.read.schema("path string, text string").option("mode", "DROPMALFORMED").json(path))
     return rows.filter("path is not null").groupBy("path").agg(F.max_by(F.coalesce("text", F.lit("")), "nth").alias("text"))
 
 
-def settings(rows: DataFrame, text: str, defaults: dict[str, str]) -> DataFrame:
-    """JSON settings over defaults: unknown keys go, junk gives the defaults."""
+def candidate_rows(fields: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates from the first four fields of manifest lines (``c0`` to ``c3``): ``keys, name, s_us, dur_us``.
+
+    Lines with fewer fields, or without numbers as start and length, are dropped.
+    """
+    us = lambda c: F.round(F.col(c).try_cast("double") * 1_000_000).cast("long")
+    rows = fields.select(*keys, F.trim("c3").alias("name"), us("c0").alias("s_us"), us("c2").alias("dur_us"))
+    return rows.dropna(subset=["name", "s_us", "dur_us"])
+
+
+def candidates(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
+    """Candidates of reference manifests, those whose clip is in the listing (``name``)."""
+    fields = spark.read.schema("c0 string, c1 string, c2 string, c3 string").csv(path, header=True, quote="")
+    return candidate_rows(fields, []).join(files.select("name"), "name", "left_semi")
+
+
+def metadata_rows(lines: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """``keys, id, text`` of metadata lines ``id|text|...``; lines without two fields or with a blank id are dropped."""
+    parts = F.split(value, "[|]", 3)
+    return lines.select(*keys, parts.alias("p")).filter((F.size("p") >= 2) & (F.trim(F.col("p")[0]) != "")).select(*keys, F.col("p")[0].alias("id"), F.trim(F.col("p")[1]).alias("text"))
+
+
+def completed(spark: SparkSession, path: str) -> DataFrame:
+    """``job_key, status`` of a manifest in JSON; one that is torn or is not there starts afresh, as an empty table."""
+
+    def read() -> DataFrame:
+        whole = spark.read.text(path, wholetext=True)
+        return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("job_key", "status"))
+
+    return _or_empty(read, spark, "job_key string, status string")
+
+
+def files_below(spark: SparkSession, path: str) -> DataFrame:
+    """A listing: ``path, modified_us, modified_ms, length`` of all files below a folder; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select("path", F.unix_micros("modificationTime").alias("modified_us"), F.unix_millis("modificationTime").alias("modified_ms"), "length")
+
+
+def settings(rows: DataFrame, text: str, defaults: dict[str, str], keep: str | None = None) -> DataFrame:
+    """JSON settings over defaults: junk gives the defaults; unknown keys go, or stay together as a map named `keep`."""
+    if keep:
+        known = F.array(*[F.lit(k) for k in defaults])
+        rows = rows.withColumn(keep, F.map_filter(F.from_json(text, "map<string,string>"), lambda k, v: ~F.array_contains(known, k)))
     kinds = ", ".join(f"`{k}` string" for k in defaults)
     given = F.from_json(text, kinds)
     return rows.select("*", *[F.coalesce(given[k], F.lit(v)).alias(k) for k, v in defaults.items()])

@@ -28,6 +28,21 @@ def layout(base: Column, target: Column, accepted: Column, score: Column) -> Col
     return F.when(accepted, F.concat(F.lit("verified/"), tx.final_name(base, target), F.lit(".wav"))).otherwise(F.concat(F.lit("rejected/"), tx.final_name(base, target, F.round(score, 3)), F.lit(".wav")))
 
 
+def reference_rows(segments: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """Lines of a reference manifest: ``keys, nth, start_s, end_s, duration_s, filename``, numbered in the order of export.
+
+    Planning writes these rows and no clips; exporting writes the clips under ``filename`` too.
+    """
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    rows = segments.withColumn("nth", nth)
+    return rows.select(*keys, "nth", tx.milli_seconds(F.col("s_us")).alias("start_s"), tx.milli_seconds(F.col("e_us")).alias("end_s"), tx.milli_seconds(F.col("e_us") - F.col("s_us")).alias("duration_s"), tx.clip_file_name(F.col("nth"), F.col("s_us"), F.col("e_us")).alias("filename"))
+
+
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """A reference manifest with its header, in one file, as its reader wants it."""
+    rows.orderBy("nth").select("start_s", "end_s", "duration_s", "filename").coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
 def free_names(rows: DataFrame, folder: str, stem: str, order: str) -> DataFrame:
     """Adds ``name``: the stem, with ``_n`` from the second file of a stem in a folder on."""
     nth = F.row_number().over(Window.partitionBy(folder, stem).orderBy(order)) - 1

@@ -76,6 +76,19 @@ def tumbling(events: DataFrame, seconds: int, keys: list[str]) -> DataFrame:
     return found.select(*keys, F.unix_seconds("w.start").alias("starts"), "n", "last_id")
 
 
+def sliding(events: DataFrame, seconds: int, every: int, keys: list[str]) -> DataFrame:
+    """Counts in windows of `seconds` that begin every so many seconds of ``ts``: ``keys, starts, n, last_id``."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
+    found = timed.groupBy(F.window("ts", f"{seconds} seconds", f"{every} seconds").alias("w"), *keys).agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
+    return found.select(*keys, F.unix_seconds("w.start").alias("starts"), "n", "last_id")
+
+
+def joined_text(rows: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """Texts of each key joined in order, with blank ones left out; works on streams too."""
+    parts = F.array_sort(F.collect_list(F.struct(order, text)))
+    return rows.filter(F.trim(text) != "").groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p[text]), " ").alias(text))
+
+
 def rank_stages(key: str, stage: str) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     """State of a run: the greatest stage reached; earlier stages count as done."""
 

@@ -117,3 +117,61 @@ def test_regions_of_the_segmenter_are_bounded(spark, tmp_path):
     assert sum(sizes) == 8 * n and max(sizes) <= 8 * cq.REGION_IDS < 8 * n
     clips = cq.seg_walk(spark, str(tmp_path)).groupBy("label", "block").agg(F.min("first").alias("a"), F.max("past").alias("b")).collect()
     assert {r.label for r in clips} == {3} and len(clips) == len(sizes)
+
+
+def test_readers_start_afresh_and_follow_the_files(spark, tmp_path):
+    gone = str(tmp_path / "none")
+    assert rd.transcripts(spark, gone).collect() == [] and rd.completed(spark, gone).collect() == []
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "1.csv").write_text("a,b,c,d,e\n1,2,3,x.wav,one\n1,2,3\n1,2,3,y.wav,two\n" + "".join(f"1,2,3,z{i}.wav,t\n" for i in range(2000)))
+    (tmp_path / "t" / "2.csv").write_text("a,b,c,d,e\n1,2,3,x.wav,later\n")
+    got = {r.filename: r.transcript for r in rd.transcripts(spark, str(tmp_path / "t")).collect()}
+    assert got["x.wav"] == "later" and got["y.wav"] == "two" and len(got) == 2002
+    (tmp_path / "n.csv").write_text("Transcript ,x, FileName\nhello,1,a.wav\n")
+    assert [tuple(r) for r in rd.transcripts(spark, str(tmp_path / "n.csv")).collect()] == [("a.wav", "hello")]
+    (tmp_path / "short.csv").write_text("p,q\n1,2\n")
+    assert rd.transcripts(spark, str(tmp_path / "short.csv")).collect() == []
+    (tmp_path / "done.json").write_text('{"k1": "done", "k2": "failed"}')
+    assert {tuple(r) for r in rd.completed(spark, str(tmp_path / "done.json")).collect()} == {("k1", "done"), ("k2", "failed")}
+    (tmp_path / "torn.json").write_text('{"k1": "do')
+    assert rd.completed(spark, str(tmp_path / "torn.json")).collect() == []
+
+
+def test_candidates_need_their_clip(spark, tmp_path):
+    from quillon.sources import sinks as si
+
+    segments = spark.createDataFrame([("r", 3_200_000, 7_849_999), ("r", 0, 1_500_000), ("r", 9_000_000, 9_900_000)], "rec string, s_us long, e_us long")
+    rows = si.reference_rows(segments, ["rec"], ["s_us"])
+    si.write_manifest(rows, str(tmp_path / "m"))
+    names = [r.filename for r in rows.orderBy("nth").collect()]
+    assert names == ["ref_000_0.0s-1.5s.wav", "ref_001_3.2s-7.8s.wav", "ref_002_9.0s-9.9s.wav"]
+    (tmp_path / "w").mkdir()
+    for n in names[:2]:
+        (tmp_path / "w" / n).write_bytes(b"x")
+    listed = rd.files_below(spark, str(tmp_path / "w"))
+    assert listed.filter("modified_ms > 0 and length = 1").count() == 2
+    got = rd.candidates(spark, str(tmp_path / "m"), listed.select(F.substring_index("path", "/", -1).alias("name")))
+    assert {(r.name, r.s_us, r.dur_us) for r in got.collect()} == {(names[0], 0, 1_500_000), (names[1], 3_200_000, 4_650_000)}
+
+
+def test_unknown_settings_can_stay(spark):
+    rows = spark.createDataFrame([('{"a":"1","zz":"2"}',), ("junk",)], "t string")
+    got = rd.settings(rows, "t", {"a": "0"}, keep="rest").collect()
+    assert [(r.a, r.rest) for r in got] == [("1", {"zz": "2"}), ("0", None)]
+
+
+def test_session_stream_equals_its_batch_twin(spark):
+    from quillon.operators import intervals as iv
+    from quillon.plans import stream_queries as sq
+
+    ts = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = spark.read.parquet(f"{SF}/events.parquet").select(F.col("event_type").alias("spk"), ts.alias("s_us"), (ts + F.round(F.col("value") * 1e6).cast("long")).alias("e_us"))
+    batch = iv.session_union(rows, ["spk"], iv.GAP_US)
+    assert sorted(map(str, sq.stm_session_union(spark, SF).collect())) == sorted(map(str, batch.collect()))
+
+
+def test_stages_need_their_settings():
+    stage = rg.Stage("x", lambda rows, _: rows, needs=("a", "b"))
+    with pytest.raises(KeyError, match="needs b"):
+        rg.run_stages(None, [stage], {"a": 1})
+    assert rg.run_stages("rows", [rg.Stage("off", lambda rows, _: None, on=lambda given: False)], {}) == "rows"
