@@ -438,17 +438,17 @@ def group_size(size: int) -> int:
 def repeated_windows(docs: DataFrame, spec: Spec, decide: Callable[[pa.Table], pa.Table], finish: Callable[[tuple, pa.Table, pa.Table], pa.Table], schema: str, group_bytes: int | None = None) -> DataFrame:
     """Run the five steps; `decide` is a bucket's work, `finish` makes a group's result rows.
 
-    Every exchange has as many partitions as there are groups or buckets.  Rows
-    without an id are dealt by a hash of their text.
+    Each bucket is a partition of its own, so that no task gets several by chance.
+    Rows without an id are dealt by a hash of their text.
     """
     size = total_bytes(docs)
     each = group_bytes or group_size(size)
     groups, buckets = parts_for(size, each), parts_for(size, min(each * GROUPS_A_BUCKET, MOST_BUCKET))
     dealt_by = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.col("doc_id").cast("long")))
     dealt = docs.select(F.pmod(dealt_by, F.lit(groups)).cast("int").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    by_group = dealt.repartition(groups, "grp").groupBy("grp")
+    by_group = dealt.groupBy("grp")
     anchors = by_group.applyInArrow(anchor_sender(spec, buckets), ANCHORS)
-    shared = anchors.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(anchor_counter(spec), SHARED)
-    segments = by_group.cogroup(shared.repartition(groups, "grp").groupBy("grp")).applyInArrow(segment_sender(spec, buckets), SEGMENTS)
-    covered = segments.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(decide, COVERED)
-    return by_group.cogroup(covered.repartition(groups, "grp").groupBy("grp")).applyInArrow(finish, schema)
+    shared = anchors.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(anchor_counter(spec), SHARED)
+    segments = by_group.cogroup(shared.groupBy("grp")).applyInArrow(segment_sender(spec, buckets), SEGMENTS)
+    covered = segments.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(decide, COVERED)
+    return by_group.cogroup(covered.groupBy("grp")).applyInArrow(finish, schema)
