@@ -16,6 +16,8 @@ from quillon.operators import segmenter as sg
 from quillon.plans.domain import DAY_US, TURNS_SQL, table, turns
 from quillon.plans.interval_queries import islands
 from quillon.plans.vector_queries import _masked, fuse_weighted
+from quillon.plans.text_queries import ORACLE_SQL as TEXT_SQL
+from quillon.plans.text_queries import _dataset, ds_eval, ds_train
 from quillon.plans.vector_queries import _LEVELS, _MASK
 from quillon.plans.vector_queries import ORACLE_SQL as VECTOR_SQL
 
@@ -76,8 +78,6 @@ def cmp_verdict(spark, d):
 
 def cmp_split_disjoint(spark, d):
     """How many clips stand in both parts of the split, or in neither: zeros."""
-    from quillon.plans.text_queries import _dataset, ds_eval, ds_train
-
     train, held = ds_train(spark, d).select("clip_id"), ds_eval(spark, d).select("clip_id")
     every = _dataset(spark, d).select("clip_id")
     return train.intersect(held).agg(F.count("*").alias("n_both")).crossJoin(every.exceptAll(train.union(held)).agg(F.count("*").alias("n_neither")))
@@ -273,7 +273,8 @@ free AS (SELECT rec, coalesce(lag(e_us) OVER (PARTITION BY rec ORDER BY s_us), 0
 ranked AS (SELECT rec, s_us, e_us, row_number() OVER (PARTITION BY rec ORDER BY e_us - s_us DESC, s_us) AS place FROM free WHERE e_us > s_us) SELECT * FROM ranked WHERE place <= 20""",
     "cmp_jaccard": f"WITH {_JACCARD} SELECT label, n_both, n_any, round(n_both / n_any, 6) AS jaccard FROM jac",
     "cmp_score_delta": f"WITH {_FUSED} SELECT label, round(max(CASE WHEN label = 4 AND vec_id % 13 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE abs(score - (score + CASE WHEN vec_id % 3 = 0 THEN 0.01 ELSE 0 END)) END), 6) AS delta FROM run GROUP BY label",
-    "cmp_split_disjoint": "SELECT CAST(0 AS BIGINT) AS n_both, CAST(0 AS BIGINT) AS n_neither FROM (SELECT count(*) FROM documents)",
+    "cmp_split_disjoint": f"""SELECT (SELECT count(*) FROM (SELECT clip_id FROM ({TEXT_SQL['ds_train']}) INTERSECT SELECT clip_id FROM ({TEXT_SQL['ds_eval']}))) AS n_both,
+  (SELECT count(*) FROM (SELECT clip_id FROM ({TEXT_SQL['dataset_metadata']}) EXCEPT ALL (SELECT clip_id FROM ({TEXT_SQL['ds_train']}) UNION ALL SELECT clip_id FROM ({TEXT_SQL['ds_eval']})))) AS n_neither""",
     "mft_key": f"WITH {_JOBS} SELECT * FROM jobs",
     "mft_pending": f"WITH {_JOBS} SELECT * FROM jobs WHERE job_key NOT IN (SELECT job_key FROM manifest WHERE status = 'done')",
     "mft_poison_skip": f"WITH {_JOBS}, left_over AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM jobs WHERE job_key NOT IN (SELECT job_key FROM manifest WHERE status = 'done')) SELECT doc_id, source, job_key FROM left_over WHERE nth > 1",

@@ -113,6 +113,10 @@ def summary(gated: DataFrame, split: DataFrame) -> DataFrame:
     return judged.crossJoin(parts)
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Sorted text lines; ``lines`` has ``clip_id`` and ``value``. One file when the consumer wants one."""
-    lines.orderBy("clip_id").select("value").coalesce(1).write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, path: str, one_file: bool = True) -> None:
+    """Sorted text lines; ``lines`` has ``clip_id`` and ``value``.
+
+    One file is what a trainer reads, and one task writes it; else files follow one another by name.
+    """
+    ordered = lines.orderBy("clip_id").select("value")
+    (ordered.coalesce(1) if one_file else ordered).write.mode("overwrite").text(path)
