@@ -11,13 +11,15 @@ from quillon.llm.frames import cut, discard, with_totals
 def _stars(edges: DataFrame) -> DataFrame:
     """One round: neighbours above a node move to its least neighbour, then those below.
 
-    The neighbours of a star's centre are split over several tasks.
+    The neighbours of a star's centre are split over several tasks.  Below a node
+    are only the centres that it was next to.
     """
     both = edges.union(edges.select(F.col("low").alias("high"), F.col("high").alias("low"))).toDF("node", "other")
     rooted = with_totals(both, ["node"], ["other"], F.least(F.min("other"), F.first("node")).alias("root"))
     large = rooted.filter("other > node").select(F.col("other").alias("high"), F.col("root").alias("low")).filter("high <> low").distinct()
-    joined = with_totals(large, ["high"], ["low"], F.min("low").alias("root"))
-    small = joined.select(F.col("low").alias("high"), F.col("root").alias("low")).union(joined.select("high", F.col("root").alias("low")))
+    least = large.groupBy("high").agg(F.min("low").alias("root"))
+    joined = large.join(least, "high")
+    small = joined.select(F.col("low").alias("high"), F.col("root").alias("low")).union(least.select("high", F.col("root").alias("low")))
     return small.filter("high <> low").distinct()
 
 

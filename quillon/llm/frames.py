@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterable
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,41 +89,52 @@ def hidden(docs: DataFrame, needed: Iterable[str]) -> tuple[DataFrame, list[Colu
     return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
 
 
-#: The rows of one key are split over so many tasks where keys can be hot.
+#: A key with so many rows is hot, and so many hot keys there are at most: where there are more rows, a hot key has more of them.
+HOT_ROWS, MOST_HOT = 2048, 100_000
+#: The rows of a hot key are split over so many tasks, at most.
 SALTS = 64
 
 
-def _salt(by: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+def _hot(counts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """The hot keys of ``keys, rows_`` and over how many tasks each is split (``width_``); no more than `MOST_HOT`, so they are broadcast."""
+    least = max(HOT_ROWS, -(-total // MOST_HOT))
+    width = F.least(F.lit(SALTS), F.ceil(F.col("rows_") * 4 / least)).cast("int")
+    return F.broadcast(counts.filter(F.col("rows_") >= least).select(*keys, width.alias("width_")))
 
 
-def _salts_used() -> Column:
-    """The salts of a group as the bits of a long."""
-    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt_"))).alias("salts_")
+def _salted(rows: DataFrame, keys: list[str], by: list[str], hot: DataFrame) -> DataFrame:
+    """Adds ``salt_``: a hash of `by` for the rows of a hot key (and of none), else 0."""
+    nothing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    width = F.coalesce("width_", F.when(nothing, F.lit(SALTS)).otherwise(1))
+    return rows.join(hot, keys, "left").withColumn("salt_", F.pmod(F.xxhash64(*by), width).cast("int")).drop("width_")
 
 
-def _one_row_a_salt(totals: DataFrame) -> DataFrame:
-    used = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(F.col("salts_"), i) == 1)
-    return totals.withColumn("salt_", F.explode(used)).drop("salts_")
+def _spread(lookup: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """The rows of a lookup, those of a hot key once for each salt."""
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("width_", F.lit(1)) - 1))
+    return lookup.join(hot, keys, "left").withColumn("salt_", salts).drop("width_")
 
 
 def with_totals(rows: DataFrame, keys: list[str], by: list[str], *totals: Column, having: str | None = None) -> DataFrame:
     """`rows` with the aggregates of their keys; keys that `having` refuses go.
 
-    Aggregates are combined before the shuffle, and the rows of a key are dealt by
-    a hash of `by` over `SALTS` tasks, so a key with a third of all rows is no one
-    task's work.
+    Aggregates are combined before the shuffle and written, and the rows of a hot
+    key are dealt by a hash of `by` over up to `SALTS` tasks, so a key with a third
+    of all rows is no one task's work.
     """
-    salted = rows.withColumn("salt_", _salt(by))
-    summed = salted.groupBy(*keys).agg(*totals, _salts_used())
-    return salted.join(_one_row_a_salt(summed.filter(having) if having else summed), [*keys, "salt_"]).drop("salt_")
+    summed = rows.groupBy(*keys).agg(*totals, F.count("*").alias("rows_"))
+    kept = cut(summed.filter(having) if having else summed)
+    hot = _hot(kept.select(*keys, "rows_"), keys, kept.agg(F.sum("rows_")).first()[0] or 0)
+    return _salted(rows, keys, by, hot).join(_spread(kept.drop("rows_"), keys, hot), [*keys, "salt_"]).drop("salt_")
 
 
-def attached(rows: DataFrame, lookup: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+def attached(rows: DataFrame, lookup: DataFrame, keys: list[str], by: list[str], how: str = "inner", base: DataFrame | None = None) -> DataFrame:
     """`rows` with the columns of `lookup`, which has one row a key; rows whose key it lacks go, or have nulls with ``how="left"``.
 
-    The rows of a key are dealt by a hash of `by` over `SALTS` tasks; each of them gets the key's lookup row.
+    The rows of a hot key are dealt by a hash of `by` over up to `SALTS` tasks, and
+    the key's lookup row goes to each.  Keys are counted in `base`, which is `rows`
+    or a written table with the same keys.
     """
-    salted = rows.withColumn("salt_", _salt(by))
-    used = salted.groupBy(*keys).agg(_salts_used())
-    return salted.join(_one_row_a_salt(used.join(lookup, keys, how)), [*keys, "salt_"]).drop("salt_")
+    base = rows if base is None else base
+    hot = _hot(base.groupBy(*keys).agg(F.count("*").alias("rows_")), keys, base.count())
+    return _salted(rows, keys, by, hot).join(_spread(lookup, keys, hot), [*keys, "salt_"], how).drop("salt_")

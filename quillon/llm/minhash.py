@@ -121,15 +121,15 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
-    joined = attached(attached(pairs, left, ["a"], ["b"]), right, ["b"], ["a"]).select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
+    joined = attached(attached(pairs, left, ["a"], ["b"]), right, ["b"], ["a"], base=pairs).select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
     return joined.filter(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * percent).select("a", "b").distinct()
 
 
-def _open(entries: DataFrame) -> DataFrame:
-    """Entries (``key, node, n_shingles, root, nth``) of keys with several components, with the key's main one and its size."""
+def _open(entries: DataFrame, base: DataFrame) -> DataFrame:
+    """Entries (``key, node, n_shingles, root, nth``) of keys with several components, with the key's main one and its size; `base` has their keys and nodes."""
     counts = entries.groupBy("key", "root").agg(F.count("*").alias("n"))
     mains = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("members"))
-    return attached(entries, mains.filter("roots > 1").drop("roots"), ["key"], ["node"])
+    return attached(entries, mains.filter("roots > 1").drop("roots"), ["key"], ["node"], base=base)
 
 
 def _crossing(opened: DataFrame, percent: int) -> DataFrame:
@@ -244,14 +244,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
 
     # links between components that share a bucket
     placed = members.join(roots, "node", "left").select("key", "node", "n_shingles", F.coalesce("root", "node").alias("root"), F.lit(1).alias("nth"))
-    opened = cut(_open(placed))
+    opened = cut(_open(placed, members))
     crowded = opened.filter(F.col("members") > SMALL).select("node", "n_shingles", "root").distinct()
-    rare = _open(_rarest(crowded, sets, percent))
+    rarest = cut(_rarest(crowded, sets, percent))
+    rare = _open(rarest, rarest)
     crossing = _crossing(opened.filter(F.col("members") <= SMALL), percent).union(_crossing(rare, percent)).distinct()
-    more = cut(_linked(crossing.join(tried, ["a", "b"], "left_anti"), sets, percent))
+    fresh = cut(crossing.join(tried, ["a", "b"], "left_anti"))
+    more = cut(_linked(fresh, sets, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
-    for done in (members, sets, tried, links, opened, more):
+    for done in (members, sets, tried, links, opened, rarest, fresh, more):
         discard(done)
 
     named = classes.join(roots, "node", "left").select(*digest, F.coalesce("root", "node").alias("root"))

@@ -464,16 +464,23 @@ def test_sql_of_op2_op4_and_op8_on_awkward_tables(spark):
     same_rows(got, mixing.OP8_SQL, documents=mixed)
 
 
-def test_hot_keys_are_split(spark):
+def test_hot_keys_are_split(spark, monkeypatch):
     """One key with most rows: its rows are dealt over many tasks, and nothing is lost."""
-    rows = spark.range(5000).select((F.col("id") % 10 == 0).cast("int").alias("k"), "id")
-    got = frames.with_totals(rows, ["k"], ["id"], F.count("*").alias("n"), F.min("id").alias("least"))
-    assert {(r.k, r.n, r.least) for r in got.select("k", "n", "least").distinct().collect()} == {(0, 4500, 1), (1, 500, 0)} and got.count() == 5000
-    lookup = spark.createDataFrame([(0, "zero")], "k int, name string")
-    assert frames.attached(rows, lookup, ["k"], ["id"]).count() == 4500
+    monkeypatch.setattr(frames, "HOT_ROWS", 100)
+    key = F.when(F.col("id") % 10 == 0, F.when(F.col("id") % 100 == 0, F.lit(None)).otherwise(F.col("id"))).otherwise(0)
+    rows = frames.cut(spark.range(5000).select(key.cast("int").alias("k"), "id"))
+    hot = frames._hot(rows.groupBy("k").agg(F.count("*").alias("rows_")), ["k"], 5000)
+    assert [tuple(r) for r in hot.collect()] == [(0, frames.SALTS)]
+    salts = frames._salted(rows, ["k"], ["id"], hot).groupBy("k").agg(F.count_distinct("salt_").alias("n")).collect()
+    assert {r.n for r in salts if r.k == 0} == {frames.SALTS} and {r.n for r in salts if r.k} == {1} and {r.n > 30 for r in salts if r.k is None} == {True}
+    got = frames.with_totals(rows, ["k"], ["id"], F.count("*").alias("n"), F.min("id").alias("least"), having="n > 1")
+    assert {(r.k, r.n, r.least) for r in got.select("k", "n", "least").distinct().collect()} == {(0, 4500, 1)} and got.count() == 4500
+    lookup = spark.createDataFrame([(0, "zero"), (10, "ten")], "k int, name string")
+    assert frames.attached(rows, lookup, ["k"], ["id"]).count() == 4501
     left = frames.attached(rows, lookup, ["k"], ["id"], how="left")
-    assert left.count() == 5000 and left.filter("name is null").count() == 500
-    assert frames._one_row_a_salt(rows.withColumn("salt_", frames._salt(["id"])).groupBy("k").agg(frames._salts_used())).count() == 2 * frames.SALTS
+    assert left.count() == 5000 and left.filter("name is null").count() == 499
+    monkeypatch.setattr(frames, "MOST_HOT", 1)
+    assert frames._hot(rows.groupBy("k").agg(F.count("*").alias("rows_")), ["k"], 5000).count() == 0
 
 
 def test_repeated_windows_exchange_grows_in_proportion():
