@@ -88,6 +88,17 @@ def equal_suffixes(data: np.ndarray, begin: np.ndarray, length: np.ndarray, offs
     return np.concatenate(strings), np.concatenate(columns)
 
 
+def span_names(b: an.Bucket, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hash of `size` bytes from `offset` on of each string; some strings at a time, as hashing takes many bytes a byte."""
+    names = np.empty(len(b.begin), np.uint64)
+    ends = np.append(b.begin, len(b.data))
+    for i, j in tn.chunks(ends):
+        values = tn.byte_values(b.data[ends[i] : ends[j]])
+        at = b.begin[i:j] - ends[i] + offset[i:j]
+        names[i:j] = tn.value_span_hashes(values, at, at + size[i:j])
+    return names
+
+
 def decide(spec: an.Spec):
     """A bucket's strings, column by column; the covered windows of every occurrence."""
 
@@ -99,7 +110,7 @@ def decide(spec: an.Spec):
         alone = b.offset < 0
         offset = np.where(alone, 0, b.offset)
         size = np.where(alone, spec.window, spec.gram)
-        anchor = tn.value_span_hashes(tn.byte_values(b.data), b.begin + offset, b.begin + offset + size)
+        anchor = span_names(b, offset, size)
         group = np.unique(anchor, return_inverse=True)[1].ravel()
         # a group of one string, or of one document, has nothing to compare
         least = np.full(int(group.max()) + 1 if len(group) else 0, an.NO_ID)
