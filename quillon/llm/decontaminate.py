@@ -40,6 +40,8 @@ RADIUS = sum(REACH) + len(REACH) - 1
 _BY_BITS = np.argsort(np.bitwise_count(np.arange(1 << 16, dtype=np.uint32)), kind="stable").astype(np.uint32)
 #: How many values have at most 0, 1, 2, 3 bits.
 _WITHIN = np.cumsum([1, 16, 120, 560])
+#: Keys of one look-up, in all blocks.
+LOOKUP_KEYS = int(sum(_WITHIN[reach - 1] for reach in REACH))
 #: Bytes of the index that is broadcast at once; the benchmark is read in blocks of so much.
 BLOCK_BYTES = 32 << 20
 #: Bytes of the index for an item, and for a byte of its text, at most.
@@ -83,7 +85,9 @@ class Lookup:
         return np.unique(self.listed[tn.ranges(begin, end - begin)])
 
     def within(self, fingerprint: np.uint64) -> np.ndarray:
-        """Places of the items within the radius."""
+        """Places of the items within the radius; a list shorter than the keys of a look-up is gone through instead."""
+        if len(self.items) <= LOOKUP_KEYS:
+            return np.flatnonzero(np.bitwise_count(self.fingerprints ^ fingerprint) <= RADIUS)
         at = self.candidates(fingerprint)
         return at[np.bitwise_count(self.fingerprints[at] ^ fingerprint) <= RADIUS]
 
