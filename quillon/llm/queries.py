@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillon.llm.chat import OP4_SQL, op4_chat_format
 from quillon.llm.clustering import OP11_SQL, op11_centroid_clustering
 from quillon.llm.decontaminate import op7_decontaminate
+from quillon.llm.licenses import OP12_SQL, op12_license_scan
 from quillon.llm.line_dedup import OP2_SQL, op2_line_dedup, op2_line_dedup_words
 from quillon.llm.media import op5_media_columns, page_sequences
 from quillon.llm.minhash import op10_minhash_near_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_license_scan": op12_license_scan,
 }
 
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op4_chat_format": OP4_SQL, "op8_mixing": OP8_SQL, "op11_centroid_clustering": OP11_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op4_chat_format": OP4_SQL, "op8_mixing": OP8_SQL, "op11_centroid_clustering": OP11_SQL, "op12_license_scan": OP12_SQL}
