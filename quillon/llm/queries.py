@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillon.llm.alignment import op13_tokenizer_alignment
 from quillon.llm.chat import OP4_SQL, op4_chat_format
 from quillon.llm.clustering import OP11_SQL, op11_centroid_clustering
 from quillon.llm.decontaminate import op7_decontaminate
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_license_scan": op12_license_scan,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op4_chat_format": OP4_SQL, "op8_mixing": OP8_SQL, "op11_centroid_clustering": OP11_SQL, "op12_license_scan": OP12_SQL}
