@@ -122,7 +122,7 @@ NOTICES: list[tuple[int, str, str, str]] = [
     (1, "apache", "apache", "licensed to the apache software foundation asf under one or more contributor license agreements"),
     (1, "apache-2", "apache", "(?:www )?apache org licenses license 2 0"),
     (0, "mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    (1, "mpl-2", "mozilla", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    (1, "mpl-2", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
     (0, "epl-2", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
     (0, "epl-1", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
     (0, "cddl", "common  development", "the contents of this file are subject to the terms of the common development and distribution license"),

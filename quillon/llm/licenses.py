@@ -39,6 +39,11 @@ def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
     return F.aggregate(spans, values, joined)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, even where `use` reads it for every element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words_text(text: str = "text") -> Column:
     """The words of a text in lower case (A-Z only), each with a space before and behind; null and empty texts have none."""
     lower = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
@@ -59,11 +64,14 @@ def _rule_array(chosen: list[Rule]) -> Column:
 def _intervals(said: Column, rule: Column) -> Column:
     """All places of a rule: ``start`` and ``stop`` (exclusive) in words; `shorter` sorts longer ones first."""
     between = F.transform(F.split(said, rule["pattern"]), lambda s: count_words(s).cast("int"))
-    inside = F.transform(F.regexp_extract_all(said, rule["pattern"], F.lit(0)), lambda s: count_words(s).cast("int"))
-    ends = running(F.zip_with(F.slice(between, 1, F.size(inside)), inside, lambda a, b: a + b), lambda a, b: a + b)
-    return F.zip_with(
-        ends, inside, lambda e, n: F.struct((e - n).alias("start"), (-e).alias("shorter"), rule["level"].alias("level"), rule["rule"].alias("rule"), e.alias("stop"), rule["label"].alias("label"), rule["base"].alias("base"))
-    )
+
+    def placed(inside: Column) -> Column:
+        ends = running(F.zip_with(F.slice(between, 1, F.size(inside)), inside, lambda a, b: a + b), lambda a, b: a + b)
+        return F.zip_with(
+            ends, inside, lambda e, n: F.struct((e - n).alias("start"), (-e).alias("shorter"), rule["level"].alias("level"), rule["rule"].alias("rule"), e.alias("stop"), rule["label"].alias("label"), rule["base"].alias("base"))
+        )
+
+    return bound(F.transform(F.regexp_extract_all(said, rule["pattern"], F.lit(0)), lambda s: count_words(s).cast("int")), placed)
 
 
 def _reach(found: Column, levels: int) -> Column:
@@ -103,12 +111,15 @@ def detect(docs: DataFrame, chosen: list[Rule] | None = None) -> DataFrame:
     keyed = worded.withColumn("keywords_", F.filter(keywords, lambda k: F.contains(said, k)))
     tried = keyed.withColumn("tried_", F.when(F.size("keywords_") > 0, F.filter(every, lambda r: F.array_contains("keywords_", r["keyword"]) & F.rlike(said, r["pattern"]))))
     found = tried.withColumn("found_", F.array_sort(F.flatten(F.transform(F.coalesce("tried_", F.slice(every, 1, 0)), lambda r: _intervals(said, r)))))
-    reach = found.withColumn("reach_", _reach(F.col("found_"), levels))
-    suppressed = lambda d, i: (i > 0) & (F.get(F.get("reach_", d["level"]), i - 1) >= d["stop"])
-    shown = F.transform(
-        "found_", lambda d, i: F.struct(d["start"].alias("start"), d["stop"].alias("stop"), d["level"].alias("level"), d["rule"].alias("rule"), d["label"].alias("label"), d["base"].alias("base"), (~suppressed(d, i)).alias("kept"))
-    )
-    return reach.select(*back, count_words(said).cast("long").alias("n_words"), shown.alias("detections"))
+
+    def judged(reach: Column) -> Column:
+        suppressed = lambda d, i: (i > 0) & (F.get(F.get(reach, d["level"]), i - 1) >= d["stop"])
+        return F.transform(
+            "found_", lambda d, i: F.struct(d["start"].alias("start"), d["stop"].alias("stop"), d["level"].alias("level"), d["rule"].alias("rule"), d["label"].alias("label"), d["base"].alias("base"), (~suppressed(d, i)).alias("kept"))
+        )
+
+    shown = bound(_reach(F.col("found_"), levels), judged)
+    return found.select(*back, count_words(said).cast("long").alias("n_words"), shown.alias("detections"))
 
 
 def labels_of(detections: Column) -> Column:

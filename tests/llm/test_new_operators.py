@@ -112,8 +112,8 @@ def brute_detections(text, chosen):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     said = "".join(f" {w} " for w in words)
     found = []
-    for n, r in enumerate(chosen):
-        for m in re.finditer(license_rules.spaced(r.pattern), said):
+    for n, (r, pattern) in enumerate(chosen):
+        for m in pattern.finditer(said):
             start = said[: m.start()].count(" ") // 2
             found.append((start, start + m.group().count(" ") // 2, r.level, n, r.label, r.base))
     found.sort(key=lambda d: (d[0], -d[1], d[2], d[3]))
@@ -123,7 +123,7 @@ def brute_detections(text, chosen):
 
 def test_op12_equals_all_rules_and_all_pairs(spark):
     rows = [r for r in license_rows() if r[0] != 303]
-    chosen = license_rules.rules()
+    chosen = [(r, re.compile(license_rules.spaced(r.pattern))) for r in license_rules.rules()]
     got = licenses.detect(docs_of(spark, rows)).collect()
     want = sorted(str((i, *brute_detections(t, chosen))) for i, t in rows)
     assert sorted(str((r.doc_id, r.n_words, [tuple(d) for d in r.detections])) for r in got) == want
