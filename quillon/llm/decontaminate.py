@@ -5,8 +5,8 @@ their counts.  A document is read in windows as long as each item.  Fingerprints
 are cut into four blocks of 16 bits.  Two fingerprints within `RADIUS` bits are,
 in some block, within the bits that `REACH` says (one more in every block would
 make `RADIUS` + 1), so the index lists each item under the block values within
-one bit of its own, a window looks up those within the rest of the reach, and
-every item within the radius is met.  A random item is met by about a tenth of
+one bit of its own and its length, windows look up those within the rest of the
+reach, many windows at a time, and every item within the radius is met.  A random item is met by about a tenth of
 the windows; candidates within the radius are verified by their exact weighted
 Jaccard similarity.
 
@@ -42,10 +42,12 @@ _BY_BITS = np.argsort(np.bitwise_count(np.arange(1 << 16, dtype=np.uint32)), kin
 _WITHIN = np.cumsum([1, 16, 120, 560])
 #: Keys of one look-up, in all blocks.
 LOOKUP_KEYS = int(sum(_WITHIN[reach - 1] for reach in REACH))
+#: Windows that are looked up at a time.
+LOOKUP_ROWS = 512
 #: Bytes of the index that is broadcast at once; the benchmark is read in blocks of so much.
 BLOCK_BYTES = 32 << 20
 #: Bytes of the index for an item, and for a byte of its text, at most.
-ITEM_BYTES, TEXT_BYTES = 1200, 12
+ITEM_BYTES, TEXT_BYTES = 1900, 12
 _FILTER_BITS = 22
 
 
@@ -61,46 +63,71 @@ def _keys(fingerprints: np.ndarray, block: int, bits: int) -> np.ndarray:
     return (np.uint32(block) << np.uint32(16)) | (value[:, None] ^ _BY_BITS[: _WITHIN[bits]])
 
 
+def _place(keys: np.ndarray, lengths: np.ndarray, bits: int) -> np.ndarray:
+    """Where a block value is listed for items of a length."""
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(lengths).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
 @dataclass
 class Lookup:
-    """The items of one length: fingerprints, and item numbers by block value."""
+    """Multi-index of all items: fingerprints and lengths, and item numbers by a hash of block value and length.
+
+    ``first`` says where the items of each of ``2 ** bits`` hash values begin in
+    ``listed``; ``keys`` are the block values they are listed under, by which those
+    that meet by chance only are told apart.
+    """
 
-    items: np.ndarray
     fingerprints: np.ndarray
-    keys: np.ndarray
+    lengths: np.ndarray
+    first: np.ndarray
     listed: np.ndarray
+    keys: np.ndarray
 
     @classmethod
-    def of(cls, items: np.ndarray, fingerprints: np.ndarray) -> Lookup:
+    def of(cls, fingerprints: np.ndarray, lengths: np.ndarray) -> Lookup:
         keys = np.concatenate([_keys(fingerprints, b, 1) for b in range(len(REACH))], axis=1)
-        listed = np.repeat(np.arange(len(items), dtype=np.int32), keys.shape[1])
-        order = np.argsort(keys.ravel(), kind="stable")
-        return cls(items, fingerprints, keys.ravel()[order], listed[order])
-
-    def candidates(self, fingerprint: np.uint64) -> np.ndarray:
-        """Places of the items that share a block value nearly enough."""
-        one = np.array([fingerprint], np.uint64)
-        asked = np.concatenate([_keys(one, b, reach - 1)[0] for b, reach in enumerate(REACH)])
-        begin, end = np.searchsorted(self.keys, asked, "left"), np.searchsorted(self.keys, asked, "right")
-        return np.unique(self.listed[tn.ranges(begin, end - begin)])
-
-    def within(self, fingerprint: np.uint64) -> np.ndarray:
-        """Places of the items within the radius; a list shorter than the keys of a look-up is gone through instead."""
-        if len(self.items) <= LOOKUP_KEYS:
-            return np.flatnonzero(np.bitwise_count(self.fingerprints ^ fingerprint) <= RADIUS)
-        at = self.candidates(fingerprint)
-        return at[np.bitwise_count(self.fingerprints[at] ^ fingerprint) <= RADIUS]
+        bits = max(8, int(keys.size).bit_length() + 1)
+        places = _place(keys, lengths[:, None], bits).ravel()
+        order = np.argsort(places, kind="stable")
+        first = np.append(0, np.cumsum(np.bincount(places, minlength=1 << bits))).astype(np.int32)
+        return cls(fingerprints, lengths, first, np.repeat(np.arange(len(fingerprints), dtype=np.int32), keys.shape[1])[order], keys.ravel()[order])
+
+    def candidates(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Items of the length that share a block value nearly enough with a fingerprint: fingerprint numbers and item numbers, each pair once."""
+        asked = np.concatenate([_keys(prints, b, reach - 1) for b, reach in enumerate(REACH)], axis=1)
+        places = _place(asked, np.int64(length), (len(self.first) - 1).bit_length() - 1)
+        begin, many = self.first[places], self.first[places + 1] - self.first[places]
+        row, at = np.nonzero(many)
+        many = many[row, at]
+        where = tn.ranges(begin[row, at].astype(np.int64), many.astype(np.int64))
+        item = self.listed[where].astype(np.int64)
+        fits = (self.keys[where] == np.repeat(asked[row, at], many)) & (self.lengths[item] == length)
+        pair = np.unique(np.repeat(row, many)[fits] * len(self.fingerprints) + item[fits])
+        return pair // max(len(self.fingerprints), 1), pair % max(len(self.fingerprints), 1)
+
+    def within(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates within the radius."""
+        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low in range(0, len(prints), LOOKUP_ROWS):
+            some = prints[low : low + LOOKUP_ROWS]
+            row, item = self.candidates(some, length)
+            near = np.bitwise_count(self.fingerprints[item] ^ some[row]) <= RADIUS
+            found[0].append(row[near] + low)
+            found[1].append(item[near])
+        return np.concatenate(found[0]), np.concatenate(found[1])
 
 
 @dataclass
 class Index:
-    """Items: ids, distinct shingles with counts (laid end to end), look-ups by length; and which shingles occur at all."""
+    """Items: ids, distinct shingles with counts (laid end to end), the multi-index, lengths that occur; and which shingles occur at all."""
 
     item_ids: np.ndarray
     start: np.ndarray
     shingles: np.ndarray
     times: np.ndarray
-    lookups: dict[int, Lookup]
+    lookup: Lookup
+    lengths: list[int]
     known: dict[int, np.ndarray]
     sieve: dict[int, np.ndarray]
 
@@ -125,34 +152,38 @@ def build_index(rows: list[tuple[int, str]], shingle: int) -> Index:
         shingles.append(own)
         times.append(counts.astype(np.int32))
     length, prints = np.array(sizes, np.int64), np.array(prints, np.uint64)
-    lookups = {n: Lookup.of(np.flatnonzero(length == n), prints[length == n]) for n in sorted(set(sizes))}
     known = {k: np.unique(np.concatenate(parts)) for k, parts in grams_by_k.items()}
     sieve = {k: np.zeros(1 << _FILTER_BITS, bool) for k in known}
     for k, values in known.items():
         sieve[k][(values >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
     start = np.append(0, np.cumsum([len(x) for x in shingles])).astype(np.int64)
-    return Index(np.array(ids, np.int64), start, np.concatenate(shingles or [np.zeros(0, np.uint64)]), np.concatenate(times or [np.zeros(0, np.int32)]), lookups, known, sieve)
+    return Index(np.array(ids, np.int64), start, np.concatenate(shingles or [np.zeros(0, np.uint64)]), np.concatenate(times or [np.zeros(0, np.int32)]), Lookup.of(prints, length), sorted(set(sizes)), known, sieve)
 
 
-def matches(index: Index, fingerprint: np.uint64, length: int, grams: np.ndarray, percent: int) -> list[tuple[int, float]]:
-    """Items of the window's length within the radius that the window resembles.
+def similar(index: Index, item: int, own: np.ndarray, counts: np.ndarray, percent: int) -> float | None:
+    """The weighted Jaccard similarity of a window's shingles and an item's, or None below the bound.
 
-    The similarity is the weighted Jaccard one: summed least counts over summed greatest counts.
+    Summed least counts over summed greatest counts.
     """
-    lookup = index.lookups[length]
-    near = lookup.items[lookup.within(fingerprint)].tolist()
-    if not near:
-        return []
-    own, counts = np.unique(grams, return_counts=True)
-    found = []
-    for i in near:
-        a, z = index.start[i], index.start[i + 1]
-        _, mine, theirs = np.intersect1d(own, index.shingles[a:z], assume_unique=True, return_indices=True)
-        both = int(np.minimum(counts[mine], index.times[a:z][theirs]).sum())
-        every = len(grams) + int(index.times[a:z].sum()) - both
-        if both * 100 >= percent * every:
-            found.append((i, both / every))
-    return found
+    a, z = index.start[item], index.start[item + 1]
+    _, mine, theirs = np.intersect1d(own, index.shingles[a:z], assume_unique=True, return_indices=True)
+    both = int(np.minimum(counts[mine], index.times[a:z][theirs]).sum())
+    every = int(counts.sum()) + int(index.times[a:z].sum()) - both
+    return both / every if both * 100 >= percent * every else None
+
+
+def matches(index: Index, windows: np.ndarray, length: int, percent: int) -> list[list[tuple[int, float]]]:
+    """For each window (a row of shingle hashes): items of the length within the radius that it resembles, and how much."""
+    out: list[list[tuple[int, float]]] = [[] for _ in windows]
+    rows, items = index.lookup.within(simhash(windows), length)
+    grams: dict[int, tuple] = {}
+    for row, item in zip(rows.tolist(), items.tolist(), strict=True):
+        if row not in grams:
+            grams[row] = np.unique(windows[row], return_counts=True)
+        s = similar(index, item, *grams[row], percent)
+        if s is not None:
+            out[row].append((item, s))
+    return out
 
 
 def _known(index: Index, k: int, grams: np.ndarray) -> np.ndarray:
@@ -180,7 +211,7 @@ def scan(index: Index, data: np.ndarray, offsets: np.ndarray, shingle: int, perc
         for d in np.unique(doc[inside]).tolist():
             a, z = int(start[d]), int(start[d + 1])
             own, sums = grams[a : z - k + 1], np.append(0, np.cumsum(hit[a : z - k + 1]))
-            for length in index.lookups:
+            for length in index.lengths:
                 if min(shingle, length) != k:
                     continue
                 size = min(length, z - a) - k + 1
@@ -194,8 +225,8 @@ def scan(index: Index, data: np.ndarray, offsets: np.ndarray, shingle: int, perc
                 names = tn.mix(windows + np.arange(size, dtype=np.uint64)).sum(axis=1).tolist()
                 fresh = [i for i, name in enumerate(names) if (length, size, name) not in memo]
                 if fresh:
-                    for i, fingerprint in zip(fresh, simhash(windows[fresh]), strict=True):
-                        memo[length, size, names[i]] = matches(index, fingerprint, length, windows[i], percent)
+                    for i, found_here in zip(fresh, matches(index, windows[fresh], length, percent), strict=True):
+                        memo[length, size, names[i]] = found_here
                 for name in names:
                     for i, s in memo[length, size, name]:
                         found[d][i] = max(s, found[d].get(i, 0.0))
