@@ -1,7 +1,8 @@
 """Operator 6: sharding through fixed virtual slots.
 
 Records are hashed by id and text into `SLOTS` slots, so that missing or repeated
-ids spread too.  Bytes are summed per slot, and a slot-to-shard map, stored with
+ids spread too; a slot that repeated rows make too heavy is dealt out over all slots
+by a number of the row.  Bytes are summed per slot, and a slot-to-shard map, stored with
 a version, places the slots.  Rebalancing edits the map: only the slots that move
 change, so only their records move.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.frames import hidden, new_path, table, text_bytes
+from quillon.llm.frames import cut, hidden, new_path, table, text_bytes
 
 SLOTS = 4096
 SHARDS = 24
@@ -83,7 +84,7 @@ def assign(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     """
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     begins = slot_map.select("virtual_slot", "shard", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("slot_begin"))
-    within = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")
+    within = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32", *(["row_number_"] if "row_number_" in records.columns else []))
     numbered = records.withColumn("in_slot", F.row_number().over(within) - 1).join(F.broadcast(begins), "virtual_slot")
     return numbered.withColumn("slot", F.col("slot_begin") + F.col("in_slot")).drop("slot_begin", "in_slot")
 
@@ -91,14 +92,30 @@ def assign(records: DataFrame, slot_map: DataFrame) -> DataFrame:
 NEW = ["size", "text_crc32", "virtual_slot", "map_version", "shard", "slot", "next_shard"]
 
 
+#: A slot with more than so many records, and more than so many times the mean of bytes or records, holds copies of a row; its rows are dealt out.
+COPIES, TIMES = 16, 4
+
+
 def _records(docs: DataFrame, slots: int) -> DataFrame:
-    return docs.withColumns({"size": text_bytes() + 8, "text_crc32": text_crc32(), "virtual_slot": slot_of(slots=slots)})
+    """The records of a written table with their size, checksum, virtual slot and number; no two tables have to agree in the numbers."""
+    return docs.withColumns({"size": text_bytes() + 8, "text_crc32": text_crc32(), "virtual_slot": slot_of(slots=slots), "row_number_": F.monotonically_increasing_id()})
+
 
+def dealt_out(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Records of slots that repeated rows make too heavy go to slots by their number too; `records` is a written table."""
+    loads = slot_loads(records, slots)
+    means = loads.agg((F.sum("bytes") / slots).alias("bytes_mean"), (F.sum("records") / slots).alias("records_mean"))
+    heavy = (F.col("records") > COPIES) & ((F.col("bytes") > TIMES * F.col("bytes_mean")) | (F.col("records") > TIMES * F.col("records_mean")))
+    # at most as many rows as there are slots, against one
+    full = loads.join(F.broadcast(means)).filter(heavy).select("virtual_slot", F.lit(True).alias("full_"))
+    anywhere = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text_crc32", "row_number_"), F.lit(slots)).cast("int")
+    return records.join(F.broadcast(full), "virtual_slot", "left").withColumn("virtual_slot", F.when(F.col("full_"), anywhere).otherwise(F.col("virtual_slot"))).drop("full_")
 
-def first_maps(docs: DataFrame, path: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Store version 1 of the map, made from the documents, and version 2, grown by one shard; gives version 1 back."""
-    spark = docs.sparkSession
-    store(first_map(slot_loads(_records(docs, slots).select("virtual_slot", "size"), slots), shards), path)
+
+def first_maps(records: DataFrame, path: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """Store version 1 of the map, made from ``virtual_slot, size``, and version 2, grown by one shard; gives version 1 back."""
+    spark = records.sparkSession
+    store(first_map(slot_loads(records.select("virtual_slot", "size"), slots), shards), path)
     first = stored(spark, path, 1)
     store(grow(first, shards), path)
     return first
@@ -116,22 +133,33 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str |
     data and stored in the shared folder.
 
     Null texts count as empty.  Rows without an id, or with one id, are dealt by
-    their texts too; rows that agree in both share a slot, tie, and are numbered
-    one after another.  An empty table gives an empty result.
+    their texts too.  Rows that agree in both share a slot, tie, and are numbered
+    one after another; where there are so many that the slot stands out, they are
+    dealt over all slots and which of them is where is not defined.  The records are
+    written to the shared folder first.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     plain, back = hidden(docs.drop(*NEW), ["doc_id", "text"])
+    records = dealt_out(cut(_records(plain, slots)), slots)
+    return _placed(records, shards, slots, path, version).select(*back, *NEW)
+
+
+def _placed(records: DataFrame, shards: int, slots: int, path: str | None, version: int) -> DataFrame:
+    """Records with `NEW`, by the map of a path or by one made of them."""
+    spark = records.sparkSession
     if path is None:
         path = new_path(spark)
-        first_maps(plain, path, shards, slots)
+        first_maps(records, path, shards, slots)
     now, later = stored(spark, path, version), stored(spark, path, version + 1)
-    numbered = assign(_records(plain, slots), now).withColumn("map_version", F.lit(version))
+    numbered = assign(records, now).withColumn("map_version", F.lit(version))
     moved = later.select("virtual_slot", F.col("shard").alias("next_shard"))
     # one row a virtual slot
-    return numbered.join(F.broadcast(moved), "virtual_slot", "left").select(*back, *NEW)
+    return numbered.join(F.broadcast(moved), "virtual_slot", "left")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: all documents into 24 shards of nearly equal bytes, by the stored map; ``next_shard`` is the one of 25."""
-    placed = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # sizes and checksums are all that is needed of the texts
+    records = dealt_out(cut(_records(docs, SLOTS).drop("text")))
+    placed = _placed(records, SHARDS, SLOTS, None, 1)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", "next_shard")
