@@ -18,6 +18,10 @@ from quillon.llm.sharding import shard
 from quillon.llm.toxicity import score, train
 
 
+#: Words of a shingle of the near-duplicate stage.
+SHINGLE = 2
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go.
 
@@ -34,14 +38,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document with the least id stays.
 
-    Five-word shingles, similarity 0.8.  Rows with equal id and text count once,
+    Two-word shingles, similarity 0.8, as operator 10 links documents.  Rows with equal id and text count once,
     and which of them stays is not defined where other columns differ; rows
     without an id are compared with nothing and stay.  Texts without words are no
     duplicates.  All columns come through unchanged, whatever their names.  An
     empty table gives an empty result.
     """
     plain, back = hidden(docs, ["doc_id", "text"])
-    kept = near_duplicates(plain).filter("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_duplicates(plain, shingle=SHINGLE).filter("kept and doc_id is not null").select("doc_id").distinct()
     firsts = plain.join(kept, "doc_id", "left_semi").withColumn("digest", F.md5(F.col("text").cast("binary"))).dropDuplicates(["doc_id", "digest"]).drop("digest")
     return firsts.union(plain.filter("doc_id is null")).select(*back)
 
@@ -60,22 +64,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order.
 
-    The last document of a source's demand is cut after the words that are
-    still taken (joined by single spaces then; ``n_chars`` follows).  All other
-    columns come through unchanged, whatever their names.  Texts without words
+    Documents are taken whole: the last one of a source's demand is taken where at
+    least half of it is still demanded, so a source ends within half a document
+    of its target.  All columns come through unchanged, whatever their names.  Texts without words
     (null, empty) have nothing to train on and are never taken.  Equal rows and
     rows without an id are taken like all others.  An empty table gives an empty
     result.
     """
-    plain, back = hidden(docs, ["doc_id", "source", "text", "n_chars"])
-    rows = training_rows(mix(plain))
-    cut_text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("take_words").cast("int")), " ")
-    whole = F.col("take_words") == F.col("size")
-    text = F.when(whole, F.col("text")).otherwise(cut_text)
-    changed = {"text": text}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(cut_text)).cast(docs.schema["n_chars"].dataType)
-    return rows.withColumns(changed).select(*back)
+    plain, back = hidden(docs, ["doc_id", "source", "text"])
+    return training_rows(mix(plain)).filter("take_words * 2 >= size").select(*back)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pickle
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -280,22 +280,48 @@ def test_op7_finds_items_whole_and_nearly(spark):
 def test_op7_index_finds_all_fingerprints_within_the_radius_and_few_others():
     rng = np.random.default_rng(8)
     prints = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 4000, dtype=np.uint64)
-    lookup = decontaminate.Lookup.of(np.arange(4000), prints)
-    met = 0
-    for i in range(300):
-        bits = rng.choice(64, decontaminate.RADIUS, replace=False).astype(np.uint64)
-        asked = prints[i] ^ np.bitwise_or.reduce(np.uint64(1) << bits)
-        found = lookup.candidates(asked)
-        assert i in found and set(lookup.within(asked)) == set(np.flatnonzero(np.bitwise_count(prints ^ asked) <= decontaminate.RADIUS))
-        met += len(found) - 1
-    assert met / 300 / 3999 < 0.12
+    for size in (1, 40, 4000):
+        some, lengths = prints[:size], np.where(np.arange(size) % 4 == 3, 9, 7)
+        lookup = decontaminate.Lookup.of(some, lengths)
+        bits = [rng.choice(64, decontaminate.RADIUS, replace=False).astype(np.uint64) for _ in range(600)]
+        asked = some[np.arange(600) % size] ^ np.array([np.bitwise_or.reduce(np.uint64(1) << b) for b in bits])
+        row, item = lookup.candidates(asked, 7)
+        found, within = set(zip(row.tolist(), item.tolist())), lookup.within(asked, 7)
+        near = np.argwhere((np.bitwise_count(asked[:, None] ^ some) <= decontaminate.RADIUS) & (lengths == 7))
+        assert sorted(zip(*(x.tolist() for x in within))) == sorted(map(tuple, near.tolist()))
+        assert all((i, i % size) in found for i in range(600) if i % size % 4 != 3)
+        if size > 1:
+            assert (len(found) - 450) / 600 / (size * 3 / 4 - 1) < 0.12
+
+
+def test_op7_query_path_asks_the_index_at_every_size(monkeypatch):
+    """Few items or many: windows reach an item only as candidates of the index, which are few, and nearly all that resemble one are found."""
+    rng = random.Random(12)
+    for n in (3, 300):
+        items = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(30))) for i in range(n)]
+        index = decontaminate.build_index(items, 5)
+        asked, real = [], decontaminate.Lookup.candidates
+        monkeypatch.setattr(decontaminate.Lookup, "candidates", lambda self, prints, length: asked.append((len(prints), real(self, prints, length))) or asked[-1][1])
+        texts, want = [], []
+        for i, text in items * (400 // n + 1):
+            words = text.split()
+            words[rng.choice([0, 1, 28, 29])] = "changed"
+            texts.append(" ".join(["before", *words, "after"]).encode())
+            want.append(i)
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+        found = decontaminate.scan(index, data, offsets, 5, 80, {})
+        hits = sum(i in {int(index.item_ids[j]) for j in f} for i, f in zip(want, found))
+        assert hits / len(want) >= 0.9
+        windows, met = sum(a for a, _ in asked), sum(len(x[0]) for _, x in asked)
+        assert windows and met - windows < 0.12 * windows * n + windows
+        monkeypatch.undo()
 
 
 def test_op7_index_keeps_to_its_bound():
     rng = random.Random(9)
     rows = [(i, " ".join(f"w{rng.randrange(10**5)}" for _ in range(rng.choice([3, 40, 300])))) for i in range(3000)]
     index = decontaminate.build_index(rows, 5)
-    held = sum(len(pickle.dumps(x)) for x in (index.item_ids, index.start, index.shingles, index.times, index.lookups, index.known))
+    held = sum(len(pickle.dumps(x)) for x in (index.item_ids, index.start, index.shingles, index.times, index.lookup, index.known))
     assert held <= sum(len(t) * decontaminate.TEXT_BYTES + decontaminate.ITEM_BYTES for _, t in rows)
 
 
@@ -537,3 +563,49 @@ def test_op6_missing_and_repeated_ids_spread(spark):
     assert len(loads) == 8 and max(loads) - min(loads) <= 200
     moved = sharding.shard(docs, shards=8).filter("next_shard <> shard")
     assert {r.next_shard for r in moved.select("next_shard").distinct().collect()} == {8} and 0 < moved.count() < 1000
+
+
+def brute_map(loads, shards):
+    """Greedy over (bytes, slot), heaviest first, to the lightest shard; ties to the smaller shard."""
+    held, out = [0] * shards, {}
+    for size, slot in sorted(((n, s) for s, n in loads.items()), reverse=True):
+        out[slot] = held.index(min(held))
+        held[out[slot]] += size
+    return out
+
+
+def brute_grown(loads, placed, shards):
+    """Every shard gives up its lightest slots while it stays at or above the new mean."""
+    mean, out = sum(loads.values()) / (shards + 1), dict(placed)
+    for shard in range(shards):
+        own = sorted((loads[s], s) for s in placed if placed[s] == shard)
+        left = sum(n for n, _ in own)
+        for n, s in own:
+            left -= n
+            if left < mean:
+                break
+            if n:
+                out[s] = shards
+    return out
+
+
+@pytest.mark.parametrize("copies", [0, 4000])
+def test_op6_equals_a_greedy_over_slot_sums(spark, copies):
+    rng = random.Random(copies)
+    rows = [(i, "w" * rng.randint(0, 60)) for i in range(16_000)] + [(77, "again and again")] * copies
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shards=6).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    loads = {s: 0 for s in range(sharding.SLOTS)}
+    for r in got:
+        loads[r.virtual_slot] += r.size
+    now = brute_map(loads, 6)
+    later = brute_grown(loads, now, 6)
+    assert all(r.shard == now[r.virtual_slot] and r.next_shard == later[r.virtual_slot] for r in got)
+    numbered = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.virtual_slot, r.doc_id, r.size)):
+        numbered[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in numbered.values())
+    sizes = [sum(r.size for r in got if r.shard == s) for s in range(6)]
+    assert max(sizes) <= 1.1 * min(sizes)
+    if not copies:
+        assert all(numbered[s] == sorted(numbered[s]) for s in numbered)

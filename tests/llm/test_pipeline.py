@@ -31,7 +31,7 @@ def test_stages_do_what_their_operators_decide(spark):
     assert a.columns == columns and {r.doc_id for r in a.collect()} == clean and len(clean) > 100
 
     b = stage["near_dedup"](spark, a, SF).persist()
-    groups = brute_groups([(r.doc_id, r.text) for r in a.collect()], 5)
+    groups = brute_groups([(r.doc_id, r.text) for r in a.collect()], 2)
     assert b.columns == columns and {r.doc_id for r in b.collect()} == {i for i, (_, c) in groups.items() if i == c}
 
     c = stage["decontamination"](spark, b, SF).persist()
@@ -41,13 +41,15 @@ def test_stages_do_what_their_operators_decide(spark):
 
     d = stage["mixing"](spark, c, SF).persist()
     assert d.columns == columns
-    size = {r.doc_id: len(WORD.findall(r.text)) for r in c.collect()}
+    target = {r.source: r.target for r in mix(c).select("source", "target").distinct().collect()}
     took, source = defaultdict(int), {r.doc_id: r.source for r in c.collect()}
-    whole = {r.doc_id: r.text for r in c.collect()}
+    whole, largest = {r.doc_id: r.text for r in c.collect()}, defaultdict(int)
+    for r in c.collect():
+        largest[r.source] = max(largest[r.source], len(WORD.findall(r.text)))
     for r in d.collect():
         took[r.source] += len(WORD.findall(r.text))
-        assert r.text == whole[r.doc_id] or WORD.findall(whole[r.doc_id])[: len(WORD.findall(r.text))] == r.text.split(" ")
-    assert abs(sum(took.values()) - sum(size.values())) <= len(took) and max(Counter(r.doc_id for r in d.collect()).values()) <= 3
+        assert r.text == whole[r.doc_id]
+    assert all(abs(took[s] - target[s]) <= largest[s] / 2 + 1 for s in took) and max(Counter(r.doc_id for r in d.collect()).values()) <= 3
     assert set(took) <= set(source.values())
 
     e = stage["sharding"](spark, d, SF).persist()
