@@ -43,11 +43,11 @@ _WITHIN = np.cumsum([1, 16, 120, 560])
 #: Keys of one look-up, in all blocks.
 LOOKUP_KEYS = int(sum(_WITHIN[reach - 1] for reach in REACH))
 #: Windows that are looked up at a time.
-LOOKUP_ROWS = 512
+LOOKUP_ROWS = 128
 #: Bytes of the index that is broadcast at once; the benchmark is read in blocks of so much.
 BLOCK_BYTES = 32 << 20
 #: Bytes of the index for an item, and for a byte of its text, at most.
-ITEM_BYTES, TEXT_BYTES = 1900, 12
+ITEM_BYTES, TEXT_BYTES = 6500, 12
 _FILTER_BITS = 22
 
 
@@ -63,10 +63,10 @@ def _keys(fingerprints: np.ndarray, block: int, bits: int) -> np.ndarray:
     return (np.uint32(block) << np.uint32(16)) | (value[:, None] ^ _BY_BITS[: _WITHIN[bits]])
 
 
-def _place(keys: np.ndarray, lengths: np.ndarray, bits: int) -> np.ndarray:
+def _place(keys: np.ndarray, lengths: np.ndarray | int, bits: int) -> np.ndarray:
     """Where a block value is listed for items of a length."""
-    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(lengths).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+    salt = (np.asarray(lengths, np.uint64) * np.uint64(0x85EBCA77)).astype(np.uint32)
+    return (keys * np.uint32(0x9E3779B1) ^ salt) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - bits)
 
 
 @dataclass
@@ -74,12 +74,13 @@ class Lookup:
     """Multi-index of all items: fingerprints and lengths, and item numbers by a hash of block value and length.
 
     ``first`` says where the items of each of ``2 ** bits`` hash values begin in
-    ``listed``; ``keys`` are the block values they are listed under, by which those
+    ``listed``, ``taken`` whether there are any; ``keys`` are the block values they are listed under, by which those
     that meet by chance only are told apart.
     """
 
     fingerprints: np.ndarray
     lengths: np.ndarray
+    taken: np.ndarray
     first: np.ndarray
     listed: np.ndarray
     keys: np.ndarray
@@ -87,23 +88,24 @@ class Lookup:
     @classmethod
     def of(cls, fingerprints: np.ndarray, lengths: np.ndarray) -> Lookup:
         keys = np.concatenate([_keys(fingerprints, b, 1) for b in range(len(REACH))], axis=1)
-        bits = max(8, int(keys.size).bit_length() + 1)
+        bits = max(8, int(keys.size).bit_length() + 3)
         places = _place(keys, lengths[:, None], bits).ravel()
         order = np.argsort(places, kind="stable")
-        first = np.append(0, np.cumsum(np.bincount(places, minlength=1 << bits))).astype(np.int32)
-        return cls(fingerprints, lengths, first, np.repeat(np.arange(len(fingerprints), dtype=np.int32), keys.shape[1])[order], keys.ravel()[order])
+        many = np.bincount(places, minlength=1 << bits)
+        return cls(fingerprints, lengths, many > 0, np.append(0, np.cumsum(many)).astype(np.int32), np.repeat(np.arange(len(fingerprints), dtype=np.int32), keys.shape[1])[order], keys.ravel()[order])
 
     def candidates(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Items of the length that share a block value nearly enough with a fingerprint: fingerprint numbers and item numbers, each pair once."""
         asked = np.concatenate([_keys(prints, b, reach - 1) for b, reach in enumerate(REACH)], axis=1)
-        places = _place(asked, np.int64(length), (len(self.first) - 1).bit_length() - 1)
-        begin, many = self.first[places], self.first[places + 1] - self.first[places]
-        row, at = np.nonzero(many)
-        many = many[row, at]
-        where = tn.ranges(begin[row, at].astype(np.int64), many.astype(np.int64))
+        places = _place(asked, length, (len(self.first) - 1).bit_length() - 1)
+        hit = np.flatnonzero(self.taken[places])
+        places = places.ravel()[hit].astype(np.int64)
+        begin = self.first[places].astype(np.int64)
+        many = self.first[places + 1] - begin
+        where = tn.ranges(begin, many)
         item = self.listed[where].astype(np.int64)
-        fits = (self.keys[where] == np.repeat(asked[row, at], many)) & (self.lengths[item] == length)
-        pair = np.unique(np.repeat(row, many)[fits] * len(self.fingerprints) + item[fits])
+        fits = np.flatnonzero((self.keys[where] == np.repeat(asked.ravel()[hit], many)) & (self.lengths[item] == length))
+        pair = np.unique(np.repeat(hit // asked.shape[1], many)[fits] * len(self.fingerprints) + item[fits])
         return pair // max(len(self.fingerprints), 1), pair % max(len(self.fingerprints), 1)
 
     def within(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
