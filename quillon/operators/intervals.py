@@ -1,14 +1,20 @@
 """Interval algebra over rows ``(keys..., s_us, e_us)`` in integer microseconds.
 
 Spans are half-open.  Everything is windows, sweeps of +1/-1 edges and equi joins
-on the keys; no operator compares all spans with all spans.
+on the keys; no operator compares all spans with all spans, and no window runs over
+a key's whole time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.arrays import running
+from quillon.plans.shared import materialised
+
 GAP_US = 250_000
 
 
@@ -22,17 +28,63 @@ def at_least(spans: DataFrame, least_us: int) -> DataFrame:
     return spans.filter(F.col("e_us") - F.col("s_us") >= least_us)
 
 
-def union(spans: DataFrame, keys: list[str], gap_us: int = 0) -> DataFrame:
+#: Length of the time buckets that spans are dealt into where they are joined by overlap, and that scans are split into.
+BUCKET_US = 300_000_000
+
+
+def _bucket(us: Column, bucket_us: int) -> Column:
+    return F.floor(us / bucket_us).cast("long")
+
+
+def _carried(buckets: DataFrame, keys: list[str], values: list[str], carry: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """What each bucket is given by those before and after it: ``k_<key>..., k_bucket`` and the columns of `carry`.
+
+    A key's buckets stand in one array in order of time (a few numbers for five
+    minutes of a recording: 4 MB for a year); `carry` gives an array for each column.
+    """
+    line = buckets.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bucket", *values))).alias("line"))
+
+    def rows(line: Column) -> Column:
+        arrays = carry(line)
+        return F.transform(line, lambda x, i: F.struct(x["bucket"].alias("k_bucket"), *[F.get(a, i).alias(c) for c, a in arrays.items()]))
+
+    return line.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.explode(rows(F.col("line"))).alias("one")).select(*[f"k_{k}" for k in keys], "one.*")
+
+
+def _with_carry(rows: DataFrame, keys: list[str], carried: DataFrame) -> DataFrame:
+    """Rows with what their bucket is given; null keys meet each other."""
+    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
+    return rows.join(carried, [*same, F.col("bucket") == F.col("k_bucket")]).drop(*[f"k_{k}" for k in keys], "k_bucket")
+
+
+def union(spans: DataFrame, keys: list[str], gap_us: int = 0, bucket_us: int = BUCKET_US) -> DataFrame:
     """Join spans that overlap or lie at most `gap_us` apart: ``keys, s_us, e_us, n``.
 
     A span inside an earlier one is absorbed: what counts is the greatest end so far.
+    A scan in two levels: spans are joined within the time bucket they start in; the
+    furthest end and the last start are carried over a key's buckets; what reaches
+    into a bucket takes in the islands at its beginning.  So a busy key is spread over
+    its buckets.
     """
-    before = Window.partitionBy(*keys).orderBy("s_us", "e_us").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*keys).orderBy("s_us", "e_us").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.max("e_us").over(before)
-    opened = positive(spans).withColumn("opens", F.when(F.col("s_us") <= reach + gap_us, 0).otherwise(1))
-    island = opened.withColumn("island", F.sum("opens").over(upto))
-    return island.groupBy(*keys, "island").agg(F.min("s_us").alias("s_us"), F.max("e_us").alias("e_us"), F.count("*").alias("n")).drop("island")
+    within = Window.partitionBy(*keys, "bucket").orderBy("s_us", "e_us")
+    reach = F.max("e_us").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    dealt = positive(spans).select(*keys, "s_us", "e_us", _bucket(F.col("s_us"), bucket_us).alias("bucket"))
+    opened = dealt.withColumn("opens", F.when(F.col("s_us") <= reach + gap_us, 0).otherwise(1))
+    island = opened.withColumn("island", F.sum("opens").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    # read twice: for what is carried, and for the islands
+    local = materialised(island.groupBy(*keys, "bucket", "island").agg(F.min("s_us").alias("s_us"), F.max("e_us").alias("e_us"), F.count("*").alias("n")))
+    summary = local.groupBy(*keys, "bucket").agg(F.max("e_us").alias("reach"), F.max("s_us").alias("last"))
+
+    def carry(line: Column) -> dict[str, Column]:
+        before = running(F.transform(line, lambda x: x["reach"]), lambda a, b: F.greatest(a, b))
+        reached = F.concat(F.array(F.lit(None).cast("long")), before)
+        # a bucket opens an island of its own unless its last one is still reached
+        opens = F.zip_with(line, F.slice(reached, 1, F.size(line)), lambda x, r: F.when(r.isNull() | (x["last"] > r + gap_us), x["last"]))
+        return {"reach": reached, "opener": F.concat(F.array(F.lit(None).cast("long")), running(opens, lambda a, b: F.greatest(a, b)))}
+
+    seamed = _with_carry(local, keys, _carried(summary, keys, ["reach", "last"], carry))
+    owner = F.when(F.col("s_us") <= F.col("reach") + gap_us, F.col("opener")).otherwise(F.col("s_us"))
+    return seamed.groupBy(*keys, owner.alias("owner")).agg(F.min("s_us").alias("s_us"), F.max("e_us").alias("e_us"), F.sum("n").alias("n")).drop("owner")
 
 
 def session_union(spans: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
@@ -46,15 +98,30 @@ def session_union(spans: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     return timed.groupBy(*keys, F.session_window("at", gap)).agg(F.min("s_us").alias("s_us"), F.max("e_us").alias("e_us"), F.count("*").alias("n")).drop("session_window")
 
 
-def sweep(edges: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda x: x[name]
+
+
+def sweep(edges: DataFrame, keys: list[str], counts: list[str], bucket_us: int = BUCKET_US) -> DataFrame:
     """Elementary pieces between edges, with how many spans of each kind are open.
 
-    ``edges`` has ``keys, t_us`` and a change for each of `counts`.
+    ``edges`` has ``keys, t_us`` and a change for each of `counts`.  A scan in two
+    levels: changes add up within time buckets, and what is open at the end of a
+    bucket, and where the next one begins, is carried over a key's buckets.
     """
-    instants = edges.groupBy(*keys, "t_us").agg(*[F.sum(c).alias(c) for c in counts])
-    along = Window.partitionBy(*keys).orderBy("t_us")
-    open_ = {c: F.sum(c).over(along.rowsBetween(Window.unboundedPreceding, 0)) for c in counts}
-    return instants.withColumns({**open_, "e_us": F.lead("t_us").over(along)}).withColumnRenamed("t_us", "s_us").filter("e_us is not null")
+    # read twice: for what is carried, and for the pieces
+    instants = materialised(edges.groupBy(*keys, _bucket(F.col("t_us"), bucket_us).alias("bucket"), "t_us").agg(*[F.sum(c).alias(c) for c in counts]))
+    within = Window.partitionBy(*keys, "bucket").orderBy("t_us")
+    summary = instants.groupBy(*keys, "bucket").agg(F.min("t_us").alias("first"), *[F.sum(c).alias(c) for c in counts])
+
+    def carry(line: Column) -> dict[str, Column]:
+        before = {f"{c}_before": F.concat(F.array(F.lit(0).cast("long")), running(F.transform(line, _field(c)), lambda a, b: a + b)) for c in counts}
+        return before | {"next_us": F.transform(F.slice(line, 2, F.size(line)), lambda x: x["first"])}
+
+    along = instants.withColumns({**{c: F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, 0)) for c in counts}, "e_us": F.lead("t_us").over(within)})
+    seamed = _with_carry(along, keys, _carried(summary, keys, ["first", *counts], carry))
+    open_ = [(F.col(c) + F.col(f"{c}_before")).alias(c) for c in counts]
+    return seamed.select(*keys, F.col("t_us").alias("s_us"), *open_, F.coalesce("e_us", "next_us").alias("e_us")).filter("e_us is not null")
 
 
 def edges(spans: DataFrame, keys: list[str], weights: dict[str, int]) -> DataFrame:
@@ -104,22 +171,9 @@ def complement(spans: DataFrame, keys: list[str], end_us: int, recordings: DataF
     Keys are those of `recordings`, so that one without any span is free from end to
     end; without it, those of the spans.
     """
-    held = union(clamp(spans, end_us), keys)
-    along = Window.partitionBy(*keys).orderBy("s_us")
-    heads = held.select(*keys, F.coalesce(F.lag("e_us").over(along), F.lit(0).cast("long")).alias("from_us"), F.col("s_us").alias("to_us"))
-    ends = held.groupBy(*keys).agg(F.max("e_us").alias("from_us"))
-    if recordings is not None:
-        ends = recordings.select(*keys).distinct().join(ends, keys, "left").na.fill(0, ["from_us"])
-    tails = ends.select(*keys, "from_us", F.lit(end_us).cast("long").alias("to_us"))
-    return heads.unionByName(tails).filter("to_us > from_us").select(*keys, F.col("from_us").alias("s_us"), F.col("to_us").alias("e_us"))
-
-
-#: Length of the time buckets that spans are dealt into where they are joined by overlap.
-BUCKET_US = 300_000_000
-
-
-def _bucket(us: Column, bucket_us: int) -> Column:
-    return F.floor(us / bucket_us).cast("long")
+    held = clamp(spans, end_us)
+    every = (held if recordings is None else held.select(*keys).unionByName(recordings.select(*keys))).select(*keys).distinct()
+    return subtract(every.withColumns({"s_us": F.lit(0).cast("long"), "e_us": F.lit(end_us).cast("long")}), held, keys)
 
 
 def _dealt(spans: DataFrame, side: str, bucket_us: int, grown_us: int = 0) -> DataFrame:
@@ -250,7 +304,9 @@ def halved(chunks: DataFrame, keys: list[str], fits: Column, floor_us: int = 15_
     rows = chunks.select(*keys, "s_us", "e_us")
     longest = rows.agg(F.max(length)).first()[0] or 0
     rounds = 0
-    while longest > 2 * floor_us and rounds < most_rounds:
+    while longest > 2 * floor_us:
+        if rounds == most_rounds:
+            raise RuntimeError(f"chunks are still longer than two floors after {most_rounds} halvings")
         middle = F.col("s_us") + F.floor(length / 2).cast("long") + 1000
         pieces = F.when(fits | (length <= 2 * floor_us), F.array(F.struct("s_us", "e_us"))).otherwise(F.array(F.struct("s_us", middle.alias("e_us")), F.struct(middle.alias("s_us"), "e_us")))
         rows = rows.select(*keys, F.explode(pieces).alias("piece")).select(*keys, "piece.*")
