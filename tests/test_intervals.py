@@ -1,5 +1,7 @@
 """Interval vectors: boundary equality, unsorted input, containment, empties."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +159,42 @@ def test_chunks_are_halved_down_to_the_floor(spark):
     assert one[-1][2] == 100 * second and all(a[2] == b[1] for a, b in zip(one, one[1:], strict=False))
     three = [g for g in got if g[0] == 3]
     assert all(g[3] and g[2] - g[1] <= 30 * second for g in three) and three[-1][2] == 70 * second
+
+
+def brute_union(rows, gap):
+    out = []
+    for s, e in sorted(r for r in rows if r[1] > r[0]):
+        if out and s <= out[-1][1] + gap:
+            out[-1] = [out[-1][0], max(out[-1][1], e), out[-1][2] + 1]
+        else:
+            out.append([s, e, 1])
+    return [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("gap", [0, 7])
+@pytest.mark.parametrize("bucket", [5, 40, 10**9])
+def test_scans_in_two_levels_equal_one_scan(spark, gap, bucket):
+    """One recording, short buckets: spans and islands that cover many of them, and empty ones between."""
+    rng = random.Random(bucket + gap)
+    rows = []
+    for rec in ("a", None, "c"):
+        at = -60
+        for _ in range(120):
+            at += rng.choice([0, 1, 3, 9, 30, 200])
+            rows.append((rec, rng.choice(["x", "y", "z"]), at, at + rng.choice([-1, 0, 1, 4, 20, 90, 400])))
+    turns = spark.createDataFrame(rows, "rec string, spk string, s_us long, e_us long")
+    for rec in ("a", None, "c"):
+        own = [(s, e) for r, _, s, e in rows if r == rec]
+        got = iv.union(turns, ["rec"], gap, bucket).filter(F.col("rec").eqNullSafe(F.lit(rec))).collect()
+        assert sorted((r.s_us, r.e_us, r.n) for r in got) == brute_union(own, gap)
+        pieces = iv.sweep(iv.edges(iv.positive(turns), ["rec"], {"depth": 1}), ["rec"], ["depth"], bucket).filter(F.col("rec").eqNullSafe(F.lit(rec))).collect()
+        times = sorted({t for s, e in own if e > s for t in (s, e)})
+        assert sorted((r.s_us, r.e_us, r.depth) for r in pieces) == [(a, z, sum(s <= a and e >= z for s, e in own if e > s)) for a, z in zip(times, times[1:])]
+
+
+def test_no_window_runs_over_a_whole_recording(spark, monkeypatch):
+    monkeypatch.setattr(iv, "materialised", lambda df: df)
+    turns = spark.createDataFrame([("a", "x", 0, 5)], "rec string, spk string, s_us long, e_us long")
+    for df in (iv.union(turns, ["rec"]), iv.overlap(turns), iv.solo(turns, "x"), iv.complement(turns, ["rec"], 10)):
+        specs = [line.split("windowspecdefinition(")[1] for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "windowspecdefinition(" in line]
+        assert specs and all("bucket" in s for s in specs)
