@@ -214,17 +214,37 @@ def stage_of(line: Column) -> Column:
     return F.when(found != "", found)
 
 
-#: Names of terminal mark-up (fixed values): styles, colours, and what sets a background.
-MARKUP = ["bold", "italic", "dim", "under", "strike", "blink", "reverse", "cyan", "magenta", "green", "red", "yellow", "blue", "white", "black", "grey", "on "]
+#: Names of terminal styles and of terminal colours.
+STYLES = {"blink", "bold", "dim", "italic", "reverse", "strike", "under"}
+COLOURS = {"black", "blue", "cyan", "green", "grey", "magenta", "red", "white", "yellow"}
+
+
+def _opens_tag(said: Column, closes_here: Column) -> Column:
+    """Whether what stands behind a bracket makes a tag: by its first word, or as the bare end tag."""
+    name = F.lower(F.when(F.startswith(said, F.lit("/")), F.substring(said, 2, 1 << 30)).otherwise(said))
+    named = F.exists(F.array(*[F.lit(n) for n in sorted(STYLES | COLOURS)]), lambda n: F.startswith(name, n))
+    colour = F.startswith(name, F.lit("#")) & F.substring(name, 2, 6).rlike("^[0-9a-f]{6}$")
+    background = F.startswith(name, F.lit("on")) & (F.length(name) > 2) & (F.trim(F.translate(F.substring(name, 3, 1), "\t\n\r\f\v\u00a0", "      ")) == "")
+    return named | colour | background | ((said == "/") & closes_here)
 
 
 def rich_stripped(line: Column) -> Column:
-    """Without terminal mark-up: tags in square brackets that begin with a style, a colour name or ``#rrggbb``, and the bare end tag.
+    """Without terminal mark-up: tags in square brackets that begin with a style, a colour, ``#rrggbb`` or ``on``, and the bare end tag.
 
-    The names are matched by their beginning, as the tags carry numbers or more words.
+    A name may go on (a number, more letters), and an end tag has a slash before it.
+    A line is read up to each closing bracket; the first bracket before it that
+    opens a tag takes all up to it.
     """
-    tag = "|".join(name.replace(" ", r"\s") for name in MARKUP)
-    return F.regexp_replace(line, rf"(?i)\[(?:/|/?(?:{tag}|#[0-9a-f]{{6}})[^\]]*)\]", "")
+    parts = F.split(line, r"\]", -1)
+
+    def shown(part: Column, i: Column) -> Column:
+        pieces = F.split(part, r"\[", -1)
+        opens = F.transform(pieces, lambda p, k: (k > 0) & _opens_tag(p, k == F.size(pieces) - 1))
+        at = F.array_position(opens, F.lit(True)).cast("int")
+        kept = F.when(at > 0, F.array_join(F.slice(pieces, 1, at - 1), "[")).otherwise(F.concat(part, F.lit("]")))
+        return F.when(i == F.size(parts) - 1, part).otherwise(kept)
+
+    return F.array_join(F.transform(parts, shown), "")
 
 
 def clip_file_name(index: Column, s_us: Column, e_us: Column) -> Column:

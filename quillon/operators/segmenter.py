@@ -22,8 +22,6 @@ from quillon.plans.shared import materialised
 
 FRAME_MS = 10
 FRAME_US = FRAME_MS * 1000
-#: Clips of a recording, at most.
-MOST_CLIPS = 100_000
 
 
 @dataclass(frozen=True)
@@ -186,14 +184,15 @@ def tracks_of(regions: DataFrame, spans: DataFrame, samples: DataFrame, rate: in
     return fr.speech_mask(ranges, lengths, "region").join(levels, ["region", "frame"])
 
 
-def cut_recordings(segments: DataFrame, spans: DataFrame, samples: DataFrame, totals: DataFrame, rate: int, limits: Limits = Limits(), least_us: int = 0, most_clips: int = MOST_CLIPS, rec: str = "rec") -> DataFrame:
+def cut_recordings(segments: DataFrame, spans: DataFrame, samples: DataFrame, totals: DataFrame, rate: int, limits: Limits = Limits(), least_us: int = 0, most_clips: int | None = None, rec: str = "rec") -> DataFrame:
     """Word-safe clips of segments: ``rec, region_id, clip, s_us, e_us, validated, first_db, past_db``.
 
     ``segments`` and ``spans`` (speech, by a detector) have ``rec, s_us, e_us``,
     ``samples`` has ``rec, pos, x`` at `rate`, ``totals`` has ``total_us``.  A
     recording without any span was not heard by the detector: its clips are cut by
-    level alone and none is validated.  Clips under `least_us` go; the first
-    `most_clips` of a recording, region by region, are kept.
+    level alone and none is validated.  Clips under `least_us` go.  With
+    `most_clips` the first so many of a recording are kept, region by region, and
+    each row says in ``dropped`` how many of its recording's clips are not.
     """
     # regions and tracks are read several times
     spans = iv.positive(spans).select(rec, "s_us", "e_us")
@@ -208,8 +207,12 @@ def cut_recordings(segments: DataFrame, spans: DataFrame, samples: DataFrame, to
     flags = flags.select("region", F.coalesce("vad", F.lit(False)).alias("vad"), safe("s_us").alias("start_safe"), safe("e_us").alias("end_safe"))
     clips = segment(rows.join(flags, "region"), "region", limits)
     timed = clips.join(regions, "region").select(rec, "region_id", "clip", (F.col("s_us") + F.col("first") * FRAME_US).alias("s_us"), (F.col("s_us") + F.col("past") * FRAME_US).alias("e_us"), "validated", "first_db", "past_db")
-    order = Window.partitionBy(rec).orderBy("region_id", "clip")
-    return iv.at_least(timed, least_us).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most_clips).drop("nth")
+    long_enough = iv.at_least(timed, least_us)
+    if most_clips is None:
+        return long_enough
+    own = Window.partitionBy(rec)
+    counted = long_enough.withColumns({"nth": F.row_number().over(own.orderBy("region_id", "clip")), "dropped": F.greatest(F.lit(0), F.count("*").over(own) - most_clips)})
+    return counted.filter(F.col("nth") <= most_clips).drop("nth")
 
 
 def violations(clips: DataFrame, frames: DataFrame, key: str) -> DataFrame:

@@ -62,7 +62,7 @@ def test_job_key_ignores_case_and_order(spark):
 
 
 def test_markup_and_labels(spark):
-    assert one(spark, tx.rich_stripped, "[bold]a[/bold] [link]b[/] [GREY42]c [#12ab3f]d[on red]", "[1] plain [x]") == ["a [link]b c d", "[1] plain [x]"]
+    assert one(spark, tx.rich_stripped, "[bold]a[/bold] [link]b[/] [GREY42]c [#12ab3f]d[on red]", "[1] plain [x]", "[x [bold] y", "[bold [x] y", "[/] [only] [on\tx] a]b", "[/", None) == ["a [link]b c d", "[1] plain [x]", "[x  y", " y", " [only]  a]b", "[/", None]
     assert one(spark, lambda c: tx.length_label(c.cast("double")), "59.6", "61", "3600", "5430") == ["0:60", "1:01", "1h 00m", "1h 30m"]
     assert one(spark, lambda c: tx.clock_label(c.cast("long")), "999", "61000", "3723000") == ["00:00", "01:01", "1:02:03"]
     assert one(spark, tx.log_class, "Initializing model failed", "Initializing pipeline failed") == ["err", "banner"]
