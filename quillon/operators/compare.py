@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from quillon.functions import text as tx
 
@@ -23,17 +25,53 @@ def _as_characters(tokens: Column, vocabulary: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(tokens, code), "")), "UTF-16BE")
 
 
-def word_errors(rows: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+#: Different tokens of a pair that have characters of their own below the surrogates.
+CHARACTERS = 55_040
+
+
+def edits(reference: list, hypothesis: list) -> int:
+    """Edit distance of two sequences, a row of the table at a time as bits of one integer.
+
+    A bit of `up` (or `down`) says that a cell is one more (or less) than the one
+    before it in its column; adding carries matches along the row.
+    """
+    if not reference:
+        return len(hypothesis)
+    where: dict = {}
+    for i, token in enumerate(reference):
+        where[token] = where.get(token, 0) | 1 << i
+    every, top = (1 << len(reference)) - 1, 1 << (len(reference) - 1)
+    up, down, distance = every, 0, len(reference)
+    for token in hypothesis:
+        match = where.get(token, 0)
+        diagonal = (((match & up) + up) ^ up) | match | down
+        right, left = down | ~(diagonal | up) & every, up & diagonal
+        distance += (right & top > 0) - (left & top > 0)
+        right, left = (right << 1 | 1) & every, left << 1 & every
+        up, down = left | ~(diagonal | right) & every, right & diagonal
+    return distance
+
+
+@F.pandas_udf(IntegerType())
+def _edits_of_many(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """Edit distances of lists of words; null where there is none to compute."""
+    return pd.Series([None if r is None else edits(list(r), list(h)) for r, h in zip(reference, hypothesis, strict=True)], dtype="Int32")
+
+
+def word_errors(rows: DataFrame, reference: str, hypothesis: str, most: int = CHARACTERS) -> DataFrame:
     """Adds ``wer``: word edits over reference words.
 
     Tokens become characters of one string, so the built-in edit distance counts
-    words.  That holds up to 55,040 different tokens in a pair; beyond, it raises.
+    words.  Pairs with more than `most` different tokens, which there are no
+    characters for, are compared bit by bit in an Arrow function, to the same number.
     """
     pair = rows.withColumn("_r", tx.words(F.col(reference))).withColumn("_h", tx.words(F.col(hypothesis)))
     pair = pair.withColumn("_v", F.array_union("_r", "_h"))
-    fits = F.when(F.size("_v") <= 55_040, F.levenshtein(_as_characters(F.col("_r"), F.col("_v")), _as_characters(F.col("_h"), F.col("_v")))).otherwise(F.raise_error(F.lit("too many different words for one pair")).cast("int"))
-    wer = F.when(F.size("_r") == 0, F.when(F.size("_h") == 0, 0.0).otherwise(1.0)).otherwise(fits / F.size("_r"))
-    return pair.withColumn("wer", wer).drop("_r", "_h", "_v")
+    large = F.size("_v") > most
+    pair = pair.withColumn("_many", _edits_of_many(F.when(large, F.col("_r")), F.when(large, F.col("_h"))))
+    few = F.when(~large, F.levenshtein(_as_characters(F.col("_r"), F.col("_v")), _as_characters(F.col("_h"), F.col("_v"))))
+    wer = F.when(F.size("_r") == 0, F.when(F.size("_h") == 0, 0.0).otherwise(1.0)).otherwise(F.coalesce(few, "_many") / F.size("_r"))
+    return pair.withColumn("wer", wer).drop("_r", "_h", "_v", "_many")
 
 
 def score_delta(a: DataFrame, b: DataFrame, keys: list[str], item: str, score: str) -> DataFrame:
