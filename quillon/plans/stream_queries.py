@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillon.functions import registry as rg
 from quillon.functions import rules as ru
@@ -14,6 +16,7 @@ from quillon.plans.interval_queries import islands
 from quillon.plans.shared import shared_path
 from quillon.sources import readers as rd
 from quillon.streaming import jobs as st
+from quillon.streaming.logs import BatchLog
 
 WINDOW_S = 300
 
@@ -60,11 +63,55 @@ def stm_sliding(spark, d):
     return st.latest(st.sliding(_events(spark, d), 2 * WINDOW_S, WINDOW_S, ["event_type"]), ["event_type", "starts"], "n")
 
 
+def _exits_first(spark, d):
+    """A log of runs in four files: every tenth event of a user is an exit that expects all other lines, and exits come in the first file."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("line"), (F.col("event_id") % 10 == 0).alias("ends"))
+    expected = events.groupBy("run").agg(F.count_if(~F.col("ends")).alias("lines"))
+    rows = events.join(expected, "run").select("run", "line", F.when(F.col("ends"), F.col("lines")).alias("expected"))
+    part = F.when(F.col("expected").isNotNull(), 0).otherwise(F.pmod(F.hash("line"), F.lit(3)) + 1)
+    path = shared_path(spark, "runs")
+    for i in range(4):
+        logged = F.timestamp_seconds(F.lit(1_700_000_000 + 60 * i)).alias("ts")
+        rows.filter(part == i).select("*", logged).coalesce(1).write.mode("append").parquet(path)
+    return rows.withColumn("ts", F.current_timestamp()).schema, path
+
+
+def _ordered(spark, d):
+    schema, path = _exits_first(spark, d)
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("ts", "10 minutes")
+    return st.available(st.lines_then_exit(log, wait_ms=3_600_000))
+
+
 def stm_line_order(spark, d):
-    """Lines of a run before its end: the end is given out after the last line, whatever came first."""
-    rows = _events(spark, d).select("user_id", "event_id", (F.col("event_id") % 10 == 0).alias("ends"))
-    found = st.complete(rows.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ends", "event_id"))).alias("lines")))
-    return found.select("user_id", F.posexplode("lines").alias("nth", "x")).select("user_id", "nth", "x.event_id", "x.ends")
+    """Lines of a run before its end: the end is given out after the last line, whatever came first; numbered in that order."""
+    given = _ordered(spark, d)
+    order = Window.partitionBy("run").orderBy("ends", "line")
+    return given.select(F.col("run").alias("user_id"), (F.row_number().over(order) - 1).alias("nth"), F.col("line").alias("event_id"), "ends")
+
+
+def stm_exits(spark, d):
+    """Exits of a run, how many lines were given out before each, and whether all were."""
+    return _ordered(spark, d).filter("ends").select(F.col("run").alias("user_id"), F.col("line").alias("event_id"), "after", "complete")
+
+
+def stm_session_log(spark, d):
+    """Sessions of turns on the stream, every turn twice, with a watermark; the stream dies in the middle, goes on, and is flushed."""
+    ts = F.col("ts").cast("timestamp")
+    start = F.unix_micros(ts)
+    rows = table(spark, d, "events").select(F.col("event_type").alias("spk"), "event_id", ts.alias("ts"), start.alias("s_us"), (start + F.round(F.col("value") * 1e6).cast("long")).alias("e_us"))
+    source, state = shared_path(spark, "turns"), shared_path(spark, "stream-state")
+    # two files in order of time, each with its rows twice
+    middle = rows.agg(F.expr("percentile_approx(s_us, 0.5)").alias("m")).first().m or 0
+    for half in (F.col("s_us") <= middle, F.col("s_us") > middle):
+        own = rows.filter(half)
+        own.unionByName(own).coalesce(1).write.mode("append").parquet(source)
+    log = BatchLog(shared_path(spark, "streams"), StructType.fromDDL("spk string, s_us long, e_us long, n long"))
+    job = lambda most=None: st.session_job(source, rows.schema, log, state, ["spk"], iv.GAP_US, ["event_id"], most_batches=most)
+    job(1)
+    job()
+    st.flush(source, rows.schema, {"spk": "", "event_id": -1})
+    job()
+    return log.rows(spark)
 
 
 def udtf_chunks(spark, d):
@@ -134,10 +181,12 @@ def src_settings(spark, d):
     return rd.settings(rows, "text", {"device": "cuda", "precision": "fp32"}).select("c_custkey", "device", "precision")
 
 
-QUERIES = {f.__name__: f for f in (stm_tumbling, stm_stage_state, stm_incremental, stm_session_union, stm_tumbling_text, stm_sliding, stm_line_order, udtf_chunks, udf_scorer, udf_stages, udf_fallback, udf_registry, rule_policies, rule_verdicts, rule_timeouts, src_turn_lines, src_settings)}
+QUERIES = {f.__name__: f for f in (stm_tumbling, stm_stage_state, stm_incremental, stm_session_union, stm_tumbling_text, stm_sliding, stm_line_order, stm_exits, stm_session_log, udtf_chunks, udf_scorer, udf_stages, udf_fallback, udf_registry, rule_policies, rule_verdicts, rule_timeouts, src_turn_lines, src_settings)}
 
 ORACLE_SQL = {
     "stm_session_union": f"WITH spoken AS (SELECT event_type AS spk, epoch_us(ts) AS s_us, epoch_us(ts) + CAST(round(value * 1e6) AS BIGINT) AS e_us FROM events WHERE CAST(round(value * 1e6) AS BIGINT) > 0), {islands('spoken', 'u', 'spk', iv.GAP_US)} SELECT spk, s_us, e_us, n FROM u",
+    "stm_session_log": f"WITH spoken AS (SELECT event_type AS spk, epoch_us(ts) AS s_us, epoch_us(ts) + CAST(round(value * 1e6) AS BIGINT) AS e_us FROM events WHERE CAST(round(value * 1e6) AS BIGINT) > 0), {islands('spoken', 'u', 'spk', iv.GAP_US)} SELECT spk, s_us, e_us, n FROM u",
+    "stm_exits": "SELECT user_id, event_id, (SELECT count(*) FROM events o WHERE o.user_id = e.user_id AND o.event_id % 10 <> 0) AS after, true AS complete FROM events e WHERE event_id % 10 = 0",
     "stm_sliding": f"SELECT event_type, (epoch_us(ts) // {WINDOW_S * 1_000_000} - b) * {WINDOW_S} AS starts, count(*) AS n, max(event_id) AS last_id FROM events, (VALUES (0), (1)) AS x(b) GROUP BY ALL",
     "stm_line_order": "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id % 10 = 0, event_id) - 1 AS INT) AS nth, event_id, event_id % 10 = 0 AS ends FROM events",
     "udf_stages": "SELECT doc_id, length(trim(text, ' ')) AS n FROM documents WHERE length(trim(text, ' ')) >= 500",
