@@ -49,12 +49,11 @@ def udtf_recognized(spark, d):
 
 
 def cmp_wer_large(spark, d):
-    """Word errors of every text against itself without its first word, as for pairs with more words than there are characters."""
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")).alias("said"))
-    pairs = docs.withColumn("heard", F.substring_index(F.col("said"), " ", -60))
-    few = pairs.withColumn("said", F.substring_index(F.col("said"), " ", 60))
-    one, other = cp.word_errors(few, "said", "heard"), cp.word_errors(few, "said", "heard", most=0)
-    return one.select("doc_id", "wer").join(other.select("doc_id", F.col("wer").alias("wer_large")), "doc_id").select("doc_id", F.round("wer", 9).alias("wer"), F.round("wer_large", 9).alias("wer_large"))
+    """Word errors of every whole text against itself without every seventh word, compared as pairs with too many words for characters are."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    said = F.split("text", r"[\x20\x09-\x0D]+")
+    heard = docs.withColumn("heard", F.array_join(F.filter(said, lambda w, i: i % 7 != 3), " "))
+    return cp.word_errors(heard, "text", "heard", most=0).select("doc_id", F.round("wer", 9).alias("wer"))
 
 
 #: Samples a second, and how often each component stands in the recording of its label.
@@ -94,6 +93,10 @@ ORACLE_SQL = {
 heard AS (SELECT t.*, substr(d.text, CAST(t.s_us // {CHARACTER_US} AS BIGINT) + 1, CAST(ceil((t.e_us - t.s_us) / {CHARACTER_US}) AS BIGINT)) AS said FROM tried t JOIN documents d ON d.doc_id = t.doc_id),
 judged AS (SELECT *, length(regexp_replace(said, '[^ae]', '', 'g')) > 8 AS hard FROM heard)
 SELECT doc_id, s_us, e_us, CAST(attempt AS INT) AS attempt, CASE WHEN hard THEN '' ELSE md5(said) END AS text, hard AS skipped FROM judged WHERE NOT hard OR e_us - s_us <= {2 * retries.FLOOR_US}""",
+    # a text is as many edits away from a part of it in order as it has words more
+    "cmp_wer_large": r"""WITH w AS (SELECT doc_id, string_split_regex(text, '[\x20\x09-\x0D]+') AS said FROM documents),
+n AS (SELECT doc_id, len([x for x in said if x <> '']) AS n, len([x for x, i in said if (i - 1) % 7 = 3 and x <> '']) AS gone FROM w)
+SELECT doc_id, round(CASE WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE CAST(gone AS DOUBLE) / n END, 9) AS wer FROM n""",
     "udtf_turns": """WITH f AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS rec, epoch_us(ts) // 60000000 % 1440 AS frame, arg_max(event_type, event_id) AS who FROM events GROUP BY ALL),
 m AS (SELECT *, CASE WHEN lag(who) OVER w = who AND lag(frame) OVER w = frame - 1 THEN 0 ELSE 1 END AS opens FROM f WINDOW w AS (PARTITION BY rec ORDER BY frame)),
 n AS (SELECT *, sum(opens) OVER (PARTITION BY rec ORDER BY frame) AS turn FROM m)

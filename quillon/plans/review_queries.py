@@ -91,9 +91,9 @@ TAGS = [("[bold]", ""), ("[/bold]", ""), ("[link]", "[link]"), ("[GREY42]", ""),
 
 
 def txt_rich_stripped(spark, d):
-    """A log line of each document: its beginning between tags that vary by id, one of them inside another bracket."""
+    """A log line of each document: its text between tags that vary by id, one of them inside another bracket."""
     tags = F.array(*[F.lit(t) for t, _ in TAGS])
-    said = F.translate(F.left(F.coalesce("text", F.lit("")), F.lit(60)), "[]", "")
+    said = F.translate(F.coalesce("text", F.lit("")), "[]", "")
     pick = lambda step: F.get(tags, F.pmod(F.col("doc_id") * step, F.lit(len(TAGS))).cast("int"))
     line = F.concat(pick(1), said, pick(3), F.lit("[x "), pick(5), F.lit("end"))
     return table(spark, d, "documents").select("doc_id", tx.rich_stripped(line).alias("plain"))
@@ -225,7 +225,7 @@ ORACLE_SQL = {
 SELECT o_orderkey, CASE WHEN s >= 3600 THEN printf('%dh %02dm', CAST(floor(s / 3600) AS BIGINT), CAST(floor(s / 60) AS BIGINT) % 60) ELSE printf('%d:%02d', CAST(floor(s / 60) AS BIGINT), CAST(floor(s % 60 + 0.5) AS BIGINT)) END AS length,
 CASE WHEN t >= 3600 THEN printf('%d:', t // 3600) ELSE '' END || printf('%02d:%02d', t // 60 % 60, t % 60) AS clock FROM r""",
     "txt_rich_stripped": f"""WITH tag(i, shown) AS (VALUES {", ".join(f"({i}, '{shown}')" for i, (_, shown) in enumerate(TAGS))})
-SELECT doc_id, a.shown || translate(left(coalesce(text, ''), 60), '[]', '') || b.shown || '[x ' || c.shown || 'end' AS plain
+SELECT doc_id, a.shown || translate(coalesce(text, ''), '[]', '') || b.shown || '[x ' || c.shown || 'end' AS plain
 FROM documents JOIN tag a ON a.i = doc_id % {len(TAGS)} JOIN tag b ON b.i = doc_id * 3 % {len(TAGS)} JOIN tag c ON c.i = doc_id * 5 % {len(TAGS)}""",
     "txt_spoken_forms": f"""WITH n AS (SELECT o_orderkey, o_orderkey % 123 AS n, ['st', 'nd', 'rd', 'th', ''][o_orderkey % 5 + 1] AS suffix FROM orders),
 s AS (SELECT *, CASE WHEN n < 20 THEN {tx.SMALL}[n + 1] WHEN n < 100 THEN {tx.TENS}[n // 10 - 1] || CASE WHEN n % 10 > 0 THEN '-' || {tx.SMALL}[n % 10 + 1] ELSE '' END ELSE 'one hundred' || CASE WHEN n % 100 = 0 THEN '' WHEN n % 100 < 20 THEN ' ' || {tx.SMALL}[n % 100 + 1] ELSE ' ' || {tx.TENS}[n % 100 // 10 - 1] || CASE WHEN n % 10 > 0 THEN '-' || {tx.SMALL}[n % 10 + 1] ELSE '' END END END AS spelled FROM n)
