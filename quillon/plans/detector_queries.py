@@ -23,7 +23,8 @@ def _frames(spark, d):
 
 
 def _rounded(spans):
-    return spans.withColumn("mean_p", F.round("mean_p", 6))
+    # means are multiples of a small step, so halves of the last place are common: they go up on both sides
+    return spans.withColumn("mean_p", F.round(F.col("mean_p") + 1e-9, 6))
 
 
 def det_spans(spark, d):
@@ -53,7 +54,7 @@ whole as (select label, island, min(first) as first, max(past) as past, sum(tota
 grown as (select w.label, greatest(first - {s.extend}, 0) as a, least(past + {s.extend}, n) as z, mean_p from whole w join (select label, max(frame) + 1 as n from frames group by label) l using (label)),
 parts as (select *, cast(ceil((z - a) / {s.most_speech}.0) as bigint) as k from grown),
 cut as (select *, unnest(range(0, k)) as part from parts)
-select label, a + (z - a) * part // k as first, a + (z - a) * (part + 1) // k as past, cast(part as int) as part, (a + (z - a) * part // k) * {s.frame_us} as s_us, (a + (z - a) * (part + 1) // k) * {s.frame_us} as e_us, round(mean_p, 6) as mean_p
+select label, a + (z - a) * part // k as first, a + (z - a) * (part + 1) // k as past, cast(part as int) as part, (a + (z - a) * part // k) * {s.frame_us} as s_us, (a + (z - a) * (part + 1) // k) * {s.frame_us} as e_us, round(mean_p + 1e-9, 6) as mean_p
 from cut"""
 
 
