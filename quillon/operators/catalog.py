@@ -49,18 +49,23 @@ def last_lines(rows: DataFrame, key: str, order: list[Column], most: int) -> Dat
 
 
 def closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """All (node, needs) pairs reachable over ``edges``, by doubling: rounds grow as the logarithm of the depth."""
-    from quillon.plans.shared import materialised
+    """All (node, needs) pairs reachable over ``edges``, by doubling: rounds grow as the logarithm of the depth.
 
-    known = materialised(edges.select("node", "needs").distinct())
-    n = known.count()
+    Only pairs that the last round found are joined again, on either side.  A node
+    that very many others need is split (`shared.split_join`).  Edges with a null
+    end lead nowhere and go.  After `most_rounds` it raises.
+    """
+    from quillon.plans.shared import materialised, split_join
+
+    pairs = edges.select("node", "needs").dropna().distinct()
+    known = fresh = materialised(pairs)
     for _ in range(most_rounds):
-        step = known.alias("a").join(known.alias("b"), F.col("a.needs") == F.col("b.node")).select("a.node", "b.needs")
-        known = materialised(known.union(step).distinct())
-        now = known.count()
-        if now == n:
+        through = lambda upper, lower: split_join(upper.select("node", F.col("needs").alias("via")), lower.select(F.col("node").alias("via"), "needs"), "via", "node").select("node", "needs")
+        step = through(fresh, known).union(through(known, fresh)).distinct()
+        fresh = materialised(step.join(known, ["node", "needs"], "left_anti"))
+        if fresh.isEmpty():
             return known
-        n = now
+        known = materialised(known.union(fresh))
     raise RuntimeError("closure did not settle")
 
 

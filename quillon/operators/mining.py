@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators import intervals as iv
+from quillon.plans.shared import materialised
 
 
 def windows(speech: DataFrame, keys: list[str], gap_us: int, most_us: int, least_us: int) -> DataFrame:
@@ -36,18 +39,32 @@ def spread_us(duration_us: int, limit: int) -> int:
 def diverse(found: DataFrame, keys: list[str], limit: int, apart_us: int) -> DataFrame:
     """At most `limit` windows of each key, best first, with centres `apart_us` apart; then filled up with the best left.
 
-    The choice is one fold over a recording's windows in order of their score, so
-    a recording's windows meet in one row.
+    Ties go to the earlier and then the shorter window; repeated windows count once.
+    There is a round for each pick: the best window that no earlier pick is near is
+    taken by a combined aggregate, and picks meet the windows near them by key and
+    time bucket, so a busy recording is spread over its buckets.  Rounds end early
+    when no key has a pick left.
     """
+    span = max(1, 2 * apart_us)
     entry = F.struct((-F.col("score")).alias("k"), "s_us", "e_us")
-    lists = found.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("w"))
-    far = lambda acc, x: ~F.exists(acc, lambda p: F.abs((p["s_us"] + p["e_us"]) - (x["s_us"] + x["e_us"])) < 2 * apart_us)
-    none = F.slice(F.col("w"), 1, 0)
-    first = F.aggregate("w", none, lambda acc, x: F.when((F.size(acc) < limit) & far(acc, x), F.array_append(acc, x)).otherwise(acc))
-    picked = lists.withColumn("first", first)
-    rest = F.filter("w", lambda x: ~F.array_contains("first", x))
-    full = F.concat(F.col("first"), F.slice(rest, 1, F.greatest(F.lit(0), F.lit(limit) - F.size("first"))))
-    return picked.select(*keys, F.posexplode(full).alias("pick", "x")).select(*keys, "pick", "x.s_us", "x.e_us", (-F.col("x.k")).alias("score"))
+    centre = F.col("s_us") + F.col("e_us")
+    base = materialised(found.select(*keys, "s_us", "e_us", "score").distinct().select(*keys, entry.alias("w"), centre.alias("c"), F.floor(centre / span).alias("bucket")))
+    same = reduce(lambda x, y: x & y, [F.col(f"b.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]) & (F.col("b.bucket") == F.col("p.bucket"))
+    rows, left, picks = base.alias("b"), base, base.limit(0).select(*keys, "w", "c", "bucket")
+    for nth in range(limit):
+        best = left.groupBy(*keys).agg(F.min("w").alias("w")).withColumn("c", F.col("w.s_us") + F.col("w.e_us"))
+        now = materialised(best.withColumn("bucket", F.floor(F.col("c") / span)))
+        picks = picks.unionByName(now) if nth else now
+        if now.isEmpty():
+            break
+        around = picks.select(*keys, "w", "c", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket")).alias("p")
+        near = (F.abs(F.col("b.c") - F.col("p.c")) < 2 * apart_us) | (F.col("b.w") == F.col("p.w"))
+        left = rows.join(around, same & near, "left_anti")
+    others = rows.join(picks.alias("p"), same & (F.col("b.w") == F.col("p.w")), "left_anti")
+    best = others.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("w"))).filter(F.col("place") <= limit).select(*keys, "w", F.lit(1).alias("late"))
+    both = picks.select(*keys, "w", F.lit(0).alias("late")).unionByName(best)
+    full = both.withColumn("pick", F.row_number().over(Window.partitionBy(*keys).orderBy("late", "w")) - 1).filter(F.col("pick") < limit)
+    return full.select(*keys, "pick", "w.s_us", "w.e_us", (-F.col("w.k")).alias("score"))
 
 
 def silence_rows(log: DataFrame, key: str, text: str) -> DataFrame:

@@ -113,10 +113,11 @@ def summary(gated: DataFrame, split: DataFrame) -> DataFrame:
     return judged.crossJoin(parts)
 
 
-def write_lines(lines: DataFrame, path: str, one_file: bool = True) -> None:
+def write_lines(lines: DataFrame, path: str, one_file: bool = False) -> None:
     """Sorted text lines; ``lines`` has ``clip_id`` and ``value``.
 
-    One file is what a trainer reads, and one task writes it; else files follow one another by name.
+    Files follow one another by name, each a range of ids.  `one_file` gives a
+    trainer that reads a single file just that; then one task writes it.
     """
     ordered = lines.orderBy("clip_id").select("value")
     (ordered.coalesce(1) if one_file else ordered).write.mode("overwrite").text(path)

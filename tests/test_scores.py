@@ -95,6 +95,31 @@ def test_diverse_picks_keep_apart_then_fill_up(spark):
     assert picks(2) == [9.0, 7.0] and picks(3) == [9.0, 7.0, 8.0] and picks(9) == [9.0, 7.0, 8.0, 6.0]
 
 
+def plain_picks(windows, limit, apart):
+    """One pass over the windows in order, then the best that are left."""
+    ordered = sorted(set(windows), key=lambda w: (-w[2], w[0], w[1]))
+    first = []
+    for s, e, score in ordered:
+        if len(first) < limit and all(abs((s + e) - (p[0] + p[1])) >= 2 * apart for p in first):
+            first.append((s, e, score))
+    return (first + [w for w in ordered if w not in first])[:limit]
+
+
+@pytest.mark.parametrize("limit, apart", [(1, 50), (4, 0), (5, 30), (8, 90), (200, 3)])
+def test_diverse_picks_equal_a_plain_pass(spark, limit, apart):
+    rng = np.random.default_rng(limit)
+    rows = []
+    for rec in ("a", "b", None):
+        starts = rng.integers(0, 400, 60)
+        rows += [(rec, int(s), int(s + n), float(k)) for s, n, k in zip(starts, rng.integers(1, 40, 60), rng.integers(0, 9, 60))]
+    rows += rows[:10]
+    df = spark.createDataFrame(rows, "rec string, s_us long, e_us long, score double")
+    got = [(r.rec, r.pick, r.s_us, r.e_us, r.score) for r in mi.diverse(df.repartition(3), ["rec"], limit, apart).collect()]
+    want = [(rec, i, *w) for rec in ("a", "b", None) for i, w in enumerate(plain_picks([r[1:] for r in rows if r[0] == rec], limit, apart))]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert mi.diverse(df.limit(0), ["rec"], limit, apart).count() == 0
+
+
 def test_walk_cuts_in_silence_and_flags_forced_cuts():
     limits = sg.Limits(least=0.5, most=1.0, hard=1.5)
     speech = np.ones(600, bool)
