@@ -40,21 +40,23 @@ def limited_scale(gain: Column, true_peak_db: Column) -> Column:
 BLOCK = 1 << 16
 
 
-def resampled(samples: DataFrame, key: str, source_rate: int, rate: int, block: int = BLOCK) -> DataFrame:
+def resampled(samples: DataFrame, key: str, source_rate: int | str, rate: int, block: int = BLOCK) -> DataFrame:
     """``key, pos, x`` at another rate by linear interpolation between neighbours (the last sample holds).
 
     Samples meet in blocks of `block` positions, so a long recording is many tasks'
     work; a first pass gives, in one row a block, the recording's length and the
-    sample that follows the block.  Samples without a key go.
+    sample that follows the block.  Samples without a key go.  `source_rate` is a
+    number, or the column that has each recording's own.
     """
-    blocked = samples.select(key, "pos", "x", F.floor(F.col("pos") / block).alias("block_"))
-    firsts = blocked.groupBy(key, "block_").agg(F.count("*").alias("n_"), F.min_by(F.struct("x"), "pos").alias("first_"))
+    own = F.lit(source_rate) if isinstance(source_rate, int) else F.col(source_rate)
+    blocked = samples.select(key, "pos", "x", own.alias("rate_"), F.floor(F.col("pos") / block).alias("block_"))
+    firsts = blocked.groupBy(key, "block_").agg(F.count("*").alias("n_"), F.min_by(F.struct("x"), "pos").alias("first_"), F.min("rate_").alias("rate_"))
     recording = Window.partitionBy(key)
-    lookup = firsts.select(key, "block_", F.sum("n_").over(recording).alias("n"), F.lead("first_").over(recording.orderBy("block_")).alias("next_"))
+    lookup = firsts.select(key, "block_", "rate_", F.sum("n_").over(recording).alias("n"), F.lead("first_").over(recording.orderBy("block_")).alias("next_"))
     along = Window.partitionBy(key, "block_").orderBy("pos")
-    n_out = F.bround(F.col("n").cast("double") * rate / source_rate, 0).cast("long")
+    n_out = F.bround(F.col("n").cast("double") * rate / F.col("rate_"), 0).cast("long")
     then = F.coalesce(F.lead(F.struct("x")).over(along), F.col("next_"))["x"]
-    rows = blocked.join(lookup, [key, "block_"]).select(key, "pos", "x", F.coalesce(then, F.col("x")).alias("then"), "n", n_out.alias("n_out"))
+    rows = blocked.drop("rate_").join(lookup, [key, "block_"]).select(key, "pos", "x", F.coalesce(then, F.col("x")).alias("then"), "n", n_out.alias("n_out"))
     step = F.col("n") / F.col("n_out")
     first, last = F.ceil(F.col("pos") / step), F.ceil((F.col("pos") + 1) / step) - 1
     spread = rows.filter("n_out > 0").withColumn("new", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))).filter("new < n_out")
