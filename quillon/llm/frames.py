@@ -129,10 +129,10 @@ def with_totals(rows: DataFrame, keys: list[str], by: list[str], *totals: Column
 
 
 def attached(rows: DataFrame, lookup: DataFrame, keys: list[str], by: list[str], how: str = "inner", base: DataFrame | None = None) -> DataFrame:
-    """`rows` with the columns of `lookup`, which has one row a key; rows whose key it lacks go, or have nulls with ``how="left"``.
+    """`rows` with the columns of `lookup`; rows whose key it lacks go, or have nulls with ``how="left"``.
 
     The rows of a hot key are dealt by a hash of `by` over up to `SALTS` tasks, and
-    the key's lookup row goes to each.  Keys are counted in `base`, which is `rows`
+    the key's lookup rows (mostly one) go to each.  Keys are counted in `base`, which is `rows`
     or a written table with the same keys.
     """
     base = rows if base is None else base

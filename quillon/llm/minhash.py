@@ -132,13 +132,20 @@ def _open(entries: DataFrame, base: DataFrame) -> DataFrame:
     return attached(entries, mains.filter("roots > 1").drop("roots"), ["key"], ["node"], base=base)
 
 
-def _crossing(opened: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a key: a class outside the main component with one of another component."""
+def _crossing(opened: DataFrame, percent: int, base: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of a key: a class outside the main component with one of another component.
+
+    Where a key may have any number of classes, `base` is a written table with the
+    keys: the classes outside the main component of a hot key are dealt over tasks,
+    each with all classes of the key.
+    """
     side = lambda rows, name: rows.select("key", F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n_shingles", "root", "nth")])
     rest = lambda name: F.col(f"n_shingles_{name}") - F.col(f"nth_{name}")
     # what the sets can share at most if the key is the first of their shingles that they share
     reach = (F.least(rest("x"), rest("y")) + 1) * (100 + percent) >= (F.col("n_shingles_x") + F.col("n_shingles_y")) * percent
-    met = side(opened.filter("root <> main"), "x").join(side(opened, "y"), "key").filter("root_x <> root_y").filter(reach)
+    outside, every = side(opened.filter("root <> main"), "x"), side(opened, "y")
+    met = outside.join(every, "key") if base is None else attached(outside, every, ["key"], ["x"], base=base)
+    met = met.filter("root_x <> root_y").filter(reach)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -247,13 +254,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, b
     opened = cut(_open(placed, members))
     crowded = opened.filter(F.col("members") > SMALL).select("node", "n_shingles", "root").distinct()
     rarest = cut(_rarest(crowded, sets, percent))
-    rare = _open(rarest, rarest)
-    crossing = _crossing(opened.filter(F.col("members") <= SMALL), percent).union(_crossing(rare, percent)).distinct()
+    rare = cut(_open(rarest, rarest))
+    crossing = _crossing(opened.filter(F.col("members") <= SMALL), percent).union(_crossing(rare, percent, rare)).distinct()
     fresh = cut(crossing.join(tried, ["a", "b"], "left_anti"))
     more = cut(_linked(fresh, sets, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
-    for done in (members, sets, tried, links, opened, rarest, fresh, more):
+    for done in (members, sets, tried, links, opened, rarest, rare, fresh, more):
         discard(done)
 
     named = classes.join(roots, "node", "left").select(*digest, F.coalesce("root", "node").alias("root"))

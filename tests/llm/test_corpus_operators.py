@@ -413,6 +413,26 @@ def test_op10_components_equal_brute_force(spark, monkeypatch, small):
     assert len({c for _, c, _ in got.values()}) > 20
 
 
+def test_op10_crowded_keys_are_split_and_lose_no_pair(spark, monkeypatch):
+    rows = [(7, i, 40, i % 23, 1 + i % 9) for i in range(180)] + [(8, i, 40, i, 1) for i in range(5)] + [(9, i, 40, 3, 1) for i in range(20)]
+    entries = frames.cut(spark.createDataFrame(rows, minhash._ENTRIES))
+    opened = frames.cut(minhash._open(entries, entries))
+    want = set()
+    for key in (7, 8, 9):
+        own = [r for r in rows if r[0] == key]
+        roots = [r[3] for r in own]
+        main = max(set(roots), key=lambda x: (roots.count(x), x))
+        for _, x, n, root, nth in own:
+            if root != main:
+                want |= {(min(x, y), max(x, y)) for _, y, m, other, at in own if other != root and (min(n - nth, m - at) + 1) * 180 >= (n + m) * 80}
+    assert {tuple(r) for r in minhash._crossing(opened, 80).collect()} == want
+    monkeypatch.setattr(frames, "HOT_ROWS", 50)
+    split = minhash._crossing(opened, 80, opened)
+    assert {tuple(r) for r in split.collect()} == want and split.count() == minhash._crossing(opened, 80).count()
+    joins = [line for line in split._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert any("salt_" in line for line in joins)
+
+
 def test_op10_awkward_ids_and_empty_table(spark):
     got = minhash.near_duplicates(docs_of(spark, [(None, "a b c"), (2, "a b c"), (2, "a b c"), (9, "A B  c"), (4, None), (5, "")]), shingle=2).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id, r.kept) for r in got if r.doc_id is not None) == [(False, 2, 2, True), (False, 2, 2, True), (False, 4, 4, True), (False, 5, 5, True), (False, 9, 2, False)]
