@@ -95,7 +95,7 @@ def reel(clips: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("s_us", "clip_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     nth = F.row_number().over(order) - 1
-    return clips.filter("dur_us > 0").withColumns({"nth": nth, "offset_us": F.coalesce(F.sum("dur_us").over(before), F.lit(0)) + nth * gap_us})
+    return clips.filter("dur_us > 0").withColumns({"nth": nth, "offset_us": F.coalesce(F.sum("dur_us").over(before), F.lit(0)) + nth.cast("long") * gap_us})
 
 
 #: Fixed value: the peak (dB) of a clip without samples.
