@@ -53,7 +53,7 @@ def aud_wav_round_trip(spark, d):
 
 
 def snk_transcript_lines(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", (F.col("doc_id") * 1_234_567).alias("s_us"), (F.col("doc_id") * 1_234_567 + F.length("text") * 10_000).alias("e_us"), F.concat("source", F.lit(".wav")).alias("filename"), F.col("text").alias("transcript"))
+    rows = table(spark, d, "documents").select("doc_id", (F.col("doc_id") * 1_234_567).alias("s_us"), (F.col("doc_id") * 1_234_567 + F.length("text").cast("long") * 10_000).alias("e_us"), F.concat("source", F.lit(".wav")).alias("filename"), F.col("text").alias("transcript"))
     return rows.select("doc_id", si.transcript_line().alias("line"), si.transcript_block().alias("block"))
 
 

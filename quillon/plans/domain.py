@@ -41,7 +41,7 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("transcript"),
         F.col("source").alias("speaker"),
         F.col("lang").alias("language"),
-        (F.length("text") * 10_000).cast("long").alias("dur_us"),
+        (F.length("text").cast("long") * 10_000).alias("dur_us"),
         (F.col("doc_id") % 10 != 0).alias("silence_validated"),
         F.coalesce(F.col("quality") == 1, F.lit(True)).alias("verified"),
         "doc_id",

@@ -109,7 +109,7 @@ def int_timeline_duration(spark, d):
 
 
 def _doc_lengths(spark, d):
-    return table(spark, d, "documents").select("doc_id", (F.length("text") * 10_000).cast("long").alias("dur_us"))
+    return table(spark, d, "documents").select("doc_id", (F.length("text").cast("long") * 10_000).alias("dur_us"))
 
 
 def int_chunk_cover(spark, d):

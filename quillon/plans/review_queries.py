@@ -166,7 +166,7 @@ def rule_states(spark, d):
 
 def int_halved(spark, d):
     """Chunks halved while they do not fit, down to the floor; how much fits depends on the document."""
-    chunks = table(spark, d, "documents").select("doc_id", F.lit(0).cast("long").alias("s_us"), (F.length("text") * 40_000).cast("long").alias("e_us"))
+    chunks = table(spark, d, "documents").select("doc_id", F.lit(0).cast("long").alias("s_us"), (F.length("text").cast("long") * 40_000).alias("e_us"))
     fits = (F.col("e_us") - F.col("s_us") <= (F.col("doc_id") % 4 + 1) * 20_000_000) & (F.col("doc_id") % 5 != 0)
     return iv.halved(chunks, ["doc_id"], fits, FLOOR_US)
 
