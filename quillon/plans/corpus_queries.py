@@ -192,7 +192,9 @@ def seg_validated_only(spark, d):
 
 
 def src_silences(spark, d):
-    log = turns(spark, d).select("turn_id", F.concat(F.lit("silence_start: "), (F.col("s_us") / 1000000).cast("decimal(18,3)").cast("string"), F.lit("\nsilence_end: "), (F.col("e_us") / 1000000).cast("decimal(18,3)").cast("string"), F.lit(" | x\nsilence_start: 99.5")).alias("text"))
+    # seconds are rounded to thousandths as doubles, as the SQL does; decimals would part from it where half a thousandth is no double
+    seconds = lambda us: (F.floor(F.col(us) / 1000000 * 1000 + 0.5) / 1000).cast("decimal(18,3)").cast("string")
+    log = turns(spark, d).select("turn_id", F.concat(F.lit("silence_start: "), seconds("s_us"), F.lit("\nsilence_end: "), seconds("e_us"), F.lit(" | x\nsilence_start: 99.5")).alias("text"))
     return mi.silence_rows(log, "turn_id", "text")
 
 
