@@ -51,21 +51,24 @@ def last_lines(rows: DataFrame, key: str, order: list[Column], most: int) -> Dat
 def closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """All (node, needs) pairs reachable over ``edges``, by doubling: rounds grow as the logarithm of the depth.
 
-    Only pairs that the last round found are joined again, on either side.  A node
-    that very many others need is split (`shared.split_join`).  Edges with a null
-    end lead nowhere and go.  After `most_rounds` it raises.
+    Pairs are known with their distance.  A round joins those that are exactly as far
+    apart as the last round reached with all that are known, so a pair is found once for
+    each place in the middle of its shortest ways, and not once for each way to cut
+    them.  A node that very many others need is split (`shared.split_join`).  Edges
+    with a null end lead nowhere and go.  After `most_rounds` it raises.
     """
     from quillon.plans.shared import materialised, split_join
 
-    pairs = edges.select("node", "needs").dropna().distinct()
-    known = fresh = materialised(pairs)
+    known = materialised(edges.select("node", "needs").dropna().distinct().withColumn("far", F.lit(1).cast("long")))
+    reach = 1
     for _ in range(most_rounds):
-        through = lambda upper, lower: split_join(upper.select("node", F.col("needs").alias("via")), lower.select(F.col("node").alias("via"), "needs"), "via", "node").select("node", "needs")
-        step = through(fresh, known).union(through(known, fresh)).distinct()
-        fresh = materialised(step.join(known, ["node", "needs"], "left_anti"))
-        if fresh.isEmpty():
-            return known
-        known = materialised(known.union(fresh))
+        farthest = known.filter(F.col("far") == reach).select("node", F.col("needs").alias("via"))
+        if farthest.isEmpty():
+            return known.select("node", "needs")
+        step = split_join(farthest, known.select(F.col("node").alias("via"), "needs", "far"), "via", "node")
+        found = step.groupBy("node", "needs").agg((F.min("far") + reach).alias("far"))
+        known = materialised(known.union(found.join(known, ["node", "needs"], "left_anti").select("node", "needs", "far")))
+        reach *= 2
     raise RuntimeError("closure did not settle")
 
 

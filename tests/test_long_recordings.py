@@ -78,3 +78,18 @@ def test_lines_are_written_in_ranges_or_in_one_file(spark, tmp_path):
         parts = sorted((tmp_path / name).glob("part-*"))
         assert "".join(p.read_text() for p in parts).split() == [str(i) for i in range(1000)]
         assert not one or len(parts) == 1
+
+
+def test_closure_joins_each_round_from_one_distance_only(spark, monkeypatch):
+    """On a chain every pair but the edges is joined once, not once for each way to cut it."""
+    joined, own = [], shared.split_join
+
+    def counted(left, right, key, by):
+        out = own(left, right, key, by)
+        joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(shared, "split_join", counted)
+    chain = spark.range(1, 40).select(F.col("id").alias("node"), (F.col("id") - 1).alias("needs"))
+    assert ca.closure(chain).count() == 39 * 40 // 2
+    assert sum(joined) == 39 * 40 // 2 - 39
