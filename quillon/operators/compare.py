@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -52,10 +52,10 @@ def edits(reference: list, hypothesis: list) -> int:
     return distance
 
 
-@F.pandas_udf(IntegerType())
-def _edits_of_many(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """Edit distances of lists of words; null where there is none to compute."""
-    return pd.Series([None if r is None else edits(list(r), list(h)) for r, h in zip(reference, hypothesis, strict=True)], dtype="Int32")
+@F.arrow_udf(IntegerType())
+def _edits_of_many(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    """Edit distances of lists of words; null where there is none to compute.  Words become Python's a pair at a time, not a batch."""
+    return pa.array((edits(r.as_py(), h.as_py()) if r.is_valid else None for r, h in zip(reference, hypothesis, strict=True)), pa.int32())
 
 
 def word_errors(rows: DataFrame, reference: str, hypothesis: str, most: int = CHARACTERS) -> DataFrame:

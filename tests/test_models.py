@@ -7,6 +7,7 @@ import numpy as np
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from quillon.functions import table_functions as tf
 from quillon.operators import compare as cp
@@ -164,3 +165,7 @@ def test_retries_take_each_chunks_own_piece_and_join_no_text(spark, tmp_path, mo
     c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     cursor = c.execute(mq.ORACLE_SQL["int_retried"])
     assert sorted(tuple(r[x[0]] for x in cursor.description) for r in got.collect()) == sorted(cursor.fetchall())
+
+
+def test_words_of_large_pairs_become_pythons_a_pair_at_a_time():
+    assert cp._edits_of_many.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
