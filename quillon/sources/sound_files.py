@@ -1,12 +1,14 @@
 """Sound files as a Spark data source: read in parts, written all or nothing.
 
 * ``spark.read.format("quillon_sound").load(path)`` gives blocks of samples; a long
-  file is several partitions, each of which reads the header and its own bytes.
+  file is several partitions, each of which reads the header and its own bytes, and
+  short files share one.
 * ``.option("read", "headers")`` gives lengths from the headers alone.
 * ``df.write.format("quillon_sound").mode("append").save(path)`` writes a file for each
-  row (``name, rate, samples``) and a manifest.  Tasks write into a folder of their
-  own job; only when all have ended does the manifest point to it, by one atomic
-  move.  A job that fails takes its folder with it, and readers keep the old files.
+  row (``name, rate, samples``) and a manifest.  Tasks write into folders of their own
+  below the job's, of at most a thousand files each; only when all have ended does
+  the manifest name them, by one atomic move.  A job that fails takes its folder with
+  it, and readers keep the old files.  The driver knows folders, and tasks list them.
 
 Paths are those of pyarrow's file systems (local, HDFS, S3, GCS), so any executor can
 read them.
@@ -36,6 +38,10 @@ WRITTEN = "name string, rate int, samples array<double>"
 #: Bytes of sound in a partition, and samples in a block, unless given.
 PART_BYTES, BLOCK = 16 << 20, 1 << 16
 MANIFEST = "_current.json"
+#: Files and bytes of sound in a folder that a task writes; a longer file has one of its own.
+FOLDER_FILES, FOLDER_BYTES = 1000, 64 << 20
+#: Parts below `PART_BYTES` share partitions where there would be more of those than this.
+SMALL_PARTS = 256
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -102,11 +108,12 @@ def mono(raw: bytes, head: Header) -> np.ndarray:
 
 @dataclass
 class Part(InputPartition):
-    """Some files (headers), or the ``part``-th of ``parts`` byte ranges of one."""
+    """The ``part``-th of ``parts`` shares of the byte ranges (or headers) of some files, or of those in a folder."""
 
     files: list[tuple[str, int]]
     part: int = 0
     parts: int = 1
+    folder: str | None = None
 
 
 class SoundReader(DataSourceReader):
@@ -117,34 +124,52 @@ class SoundReader(DataSourceReader):
         self.part_bytes = int(options.get("partbytes", PART_BYTES))
         self.files_each = int(options.get("filesperpartition", 256))
 
-    def _listed(self) -> list[tuple[str, int]]:
+    def _below(self, files: pafs.FileSystem, folder: str, deep: bool = False) -> list[tuple[str, int]]:
+        found = files.get_file_info(pafs.FileSelector(folder, recursive=deep))
+        return sorted((x.path, x.size) for x in found if x.type == pafs.FileType.File and x.extension.lower() == "wav")
+
+    def _groups(self) -> list[tuple[Part, int, int]]:
+        """Folders of a manifest, or files, packed: each with its number of files and its bytes."""
         files, path = opened(self.path)
         info = files.get_file_info(path)
         if info.type == pafs.FileType.File:
-            return [(path, info.size)]
-        folder = path
+            return [(Part([(path, info.size)]), 1, info.size)]
         if files.get_file_info(posixpath.join(path, MANIFEST)).type == pafs.FileType.File:
-            # files of jobs that did not end are not listed
-            jobs = json.loads(files.open_input_stream(posixpath.join(path, MANIFEST)).read())["jobs"]
-            found = [x for j in jobs for x in files.get_file_info(pafs.FileSelector(posixpath.join(folder, j)))]
-        else:
-            found = files.get_file_info(pafs.FileSelector(path, recursive=True))
-        return sorted((x.path, x.size) for x in found if x.type == pafs.FileType.File and x.extension.lower() == "wav")
+            # files of jobs that did not end are in no folder that is named
+            named = json.loads(files.open_input_stream(posixpath.join(path, MANIFEST)).read())["folders"]
+            return [(Part([], folder=posixpath.join(path, f)), n, size) for f, n, size in named]
+        out: list[tuple[Part, int, int]] = []
+        for name, size in self._below(files, path, deep=True):
+            if out and out[-1][1] < self.files_each and out[-1][2] + size <= self.part_bytes:
+                part, n, before = out[-1]
+                part.files.append((name, size))
+                out[-1] = part, n + 1, before + size
+            else:
+                out.append((Part([(name, size)]), 1, size))
+        return out
 
     def partitions(self) -> list[Part]:
-        """Byte ranges by the listed sizes; no file is opened here."""
-        files = self._listed()
-        if self.headers:
-            return [Part(files[i : i + self.files_each]) for i in range(0, len(files), self.files_each)] or [Part([])]
+        """Shares of the groups by their sizes; no sound file is opened here."""
+        groups = self._groups()
+        count = lambda n, size: max(1, -(-n // self.files_each) if self.headers else -(-size // self.part_bytes))
+        wanted = sum(count(n, size) for _, n, size in groups)
+        most = max(SMALL_PARTS, sum(size for _, _, size in groups) // PART_BYTES)
         out = []
-        for path, size in files:
-            parts = max(1, -(-size // self.part_bytes))
-            out += [Part([(path, size)], i, parts) for i in range(parts)]
+        for group, n, size in groups:
+            parts = count(n, size) if wanted <= most else max(1, count(n, size) * most // wanted)
+            out += [Part(group.files, i, parts, group.folder) for i in range(parts)]
         return out or [Part([])]
 
+    def _ranges(self, files: pafs.FileSystem, partition: Part) -> list[tuple[str, int, int, int]]:
+        """``path, size, part, parts``: the byte ranges of files that are the partition's."""
+        found = partition.files if partition.folder is None else self._below(files, partition.folder)
+        every = [(path, size, i, n) for path, size in found for n in [1 if self.headers else max(1, -(-size // self.part_bytes))] for i in range(n)]
+        first, past = (len(every) * i // partition.parts for i in (partition.part, partition.part + 1))
+        return every[first:past]
+
     def read(self, partition: Part) -> Iterator[tuple]:
         files, _ = opened(self.path)
-        for path, size in partition.files:
+        for path, size, part, parts in self._ranges(files, partition):
             with files.open_input_file(path) as file:
                 head = header(file, size)
                 if self.headers:
@@ -153,14 +178,14 @@ class SoundReader(DataSourceReader):
                     else:
                         yield path, head.rate, head.channels, head.bits, head.frames, head.frames * 1_000_000 // head.rate, head.bytes_read
                 elif head is None:
-                    if partition.part == 0:
+                    if part == 0:
                         yield path, None, None, None, None, None
                 else:
-                    yield from self._blocks(file, path, head, partition)
+                    yield from self._blocks(file, path, head, part, parts)
 
-    def _blocks(self, file, path: str, head: Header, partition: Part) -> Iterator[tuple]:
+    def _blocks(self, file, path: str, head: Header, part: int, parts: int) -> Iterator[tuple]:
         count = -(-head.frames // self.block)
-        first, past = (count * i // partition.parts for i in (partition.part, partition.part + 1))
+        first, past = (count * i // parts for i in (part, part + 1))
         for number in range(first, past):
             begin = number * self.block
             file.seek(head.at + begin * head.width)
@@ -170,9 +195,9 @@ class SoundReader(DataSourceReader):
 
 @dataclass
 class Ended(WriterCommitMessage):
-    """What a task wrote."""
+    """What a task wrote: its folders, each with its number of files and their bytes."""
 
-    files: int
+    folders: list[tuple[str, int, int]]
     seconds: float
 
 
@@ -188,22 +213,30 @@ class SoundWriter(DataSourceWriter):
         return files, posixpath.join(path, *names)
 
     def write(self, iterator: Iterator[Row]) -> Ended:
-        """A file for each row, below the job's folder; a task that runs twice writes the same names again."""
-        files, folder = self._at(self.job)
-        files.create_dir(folder, recursive=True)
-        n = seconds = 0
+        """A file for each row, in folders of this run of the task; those of a run that is not counted are named nowhere."""
+        files, _ = opened(self.path)
+        folders: list[tuple[str, int, int]] = []
+        seconds, names = 0, set()
         for row in iterator:
             if not row["name"] or "/" in row["name"] or row["rate"] is None or row["samples"] is None:
                 raise ValueError(f"no sound file can be written for name {row['name']!r}")
-            with files.open_output_stream(posixpath.join(folder, row["name"])) as out:
-                out.write(wav_bytes(np.asarray(row["samples"], float), row["rate"]))
-            n, seconds = n + 1, seconds + len(row["samples"]) / row["rate"]
-        return Ended(n, seconds)
+            sound = wav_bytes(np.asarray(row["samples"], float), row["rate"])
+            if not folders or row["name"] in names or folders[-1][1] >= FOLDER_FILES or folders[-1][2] + len(sound) > FOLDER_BYTES:
+                folders.append((f"{self.job}/{uuid.uuid4().hex}", 0, 0))
+                names = set()
+                files.create_dir(self._at(folders[-1][0])[1], recursive=True)
+            folder, n, size = folders[-1]
+            with files.open_output_stream(self._at(folder, row["name"])[1]) as out:
+                out.write(sound)
+            names.add(row["name"])
+            folders[-1] = folder, n + 1, size + len(sound)
+            seconds += len(row["samples"]) / row["rate"]
+        return Ended(folders, seconds)
 
     def _current(self) -> dict:
         files, path = self._at(MANIFEST)
         if files.get_file_info(path).type != pafs.FileType.File:
-            return {"jobs": [], "files": 0, "seconds": 0.0}
+            return {"jobs": [], "folders": [], "files": 0, "seconds": 0.0}
         return json.loads(files.open_input_stream(path).read())
 
     def commit(self, messages: list[Ended | None]) -> None:
@@ -211,9 +244,10 @@ class SoundWriter(DataSourceWriter):
         done = [m for m in messages if m is not None]
         now = self._current()
         old = now["jobs"] if self.overwrite else []
-        kept = {"jobs": [], "files": 0, "seconds": 0.0} if self.overwrite else now
-        jobs = kept["jobs"] + ([self.job] if any(m.files for m in done) else [])
-        new = {"jobs": jobs, "files": kept["files"] + sum(m.files for m in done), "seconds": round(kept["seconds"] + sum(m.seconds for m in done), 6)}
+        kept = {"jobs": [], "folders": [], "files": 0, "seconds": 0.0} if self.overwrite else now
+        folders = sorted(f for m in done for f in m.folders)
+        jobs = kept["jobs"] + ([self.job] if folders else [])
+        new = {"jobs": jobs, "folders": kept["folders"] + folders, "files": kept["files"] + sum(n for _, n, _ in folders), "seconds": round(kept["seconds"] + sum(m.seconds for m in done), 6)}
         files, path = self._at(f"_{self.job}.json")
         files.create_dir(posixpath.dirname(path), recursive=True)
         with files.open_output_stream(path) as out:

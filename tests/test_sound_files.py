@@ -82,3 +82,17 @@ def test_a_job_that_fails_leaves_no_file_and_the_old_manifest(spark, tmp_path):
     assert names_read(spark, path) == ["d.wav"]
     with pytest.raises(Exception, match="need rate, samples"):
         spark.range(1).select(F.lit("x").alias("name")).write.format("quillon_sound").mode("append").save(path)
+
+
+def test_short_files_share_partitions_and_are_each_read_once(spark, tmp_path, monkeypatch):
+    sf.install(spark)
+    path = str(tmp_path / "many")
+    frame(spark, [f"{i:03}.wav" for i in range(300)]).coalesce(2).write.format("quillon_sound").mode("append").save(path)
+    named = json.load(open(f"{path}/_current.json"))["folders"]
+    assert sum(n for _, n, _ in named) == 300 and all(n == len(os.listdir(f"{path}/{f}")) and size == sum(os.path.getsize(f"{path}/{f}/{x}") for x in os.listdir(f"{path}/{f}")) for f, n, size in named)
+    for folder, small in ((path, None), (f"{path}/{named[0][0]}", None), (path, "30")):
+        reader = spark.read.format("quillon_sound").option("block", "7")
+        df = (reader if small is None else reader.option("partbytes", small)).load(folder)
+        assert df.rdd.getNumPartitions() <= sf.SMALL_PARTS
+        got = df.select("path", "begin", F.size("samples").alias("n")).collect()
+        assert len({(r.path, r.begin) for r in got}) == len(got) == 3 * (300 if folder == path else named[0][1]) and sum(r.n for r in got) == 20 * len(got) // 3
