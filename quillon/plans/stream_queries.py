@@ -13,7 +13,7 @@ from quillon.operators import intervals as iv
 from quillon.operators.vectors import cosine
 from quillon.plans.domain import TURNS_SQL, table, turns
 from quillon.plans.interval_queries import islands
-from quillon.plans.shared import shared_path
+from quillon.plans.shared import materialised, shared_path
 from quillon.sources import readers as rd
 from quillon.streaming import jobs as st
 from quillon.streaming.logs import BatchLog
@@ -64,22 +64,23 @@ def stm_sliding(spark, d):
 
 
 def _exits_first(spark, d):
-    """A log of runs in four files: every tenth event of a user is an exit that expects all other lines, and exits come in the first file."""
+    """A log of runs in four parts: every tenth event of a user is an exit that expects all other lines, and exits come in the first part."""
     events = table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("line"), (F.col("event_id") % 10 == 0).alias("ends"))
     expected = events.groupBy("run").agg(F.count_if(~F.col("ends")).alias("lines"))
     rows = events.join(expected, "run").select("run", "line", F.when(F.col("ends"), F.col("lines")).alias("expected"))
     part = F.when(F.col("expected").isNotNull(), 0).otherwise(F.pmod(F.hash("line"), F.lit(3)) + 1)
-    path = shared_path(spark, "runs")
-    for i in range(4):
-        logged = F.timestamp_seconds(F.lit(1_700_000_000 + 60 * i)).alias("ts")
-        rows.filter(part == i).select("*", logged).coalesce(1).write.mode("append").parquet(path)
-    return rows.withColumn("ts", F.current_timestamp()).schema, path
+    return materialised(rows.withColumn("part", part).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("part"))))
 
 
 def _ordered(spark, d):
-    schema, path = _exits_first(spark, d)
-    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("ts", "10 minutes")
-    return st.available(st.lines_then_exit(log, wait_ms=3_600_000))
+    """The parts are logged one after another, in as many files as there are tasks; the stream takes a part as one batch and goes on from its state."""
+    rows, path = _exits_first(spark, d), shared_path(spark, "runs")
+    at = shared_path(spark, "streams"), shared_path(spark, "stream-state")
+    for i in range(4):
+        rows.filter(F.col("part") == i).drop("part").write.mode("append").parquet(path)
+        log = spark.readStream.schema(rows.drop("part").schema).parquet(path).withWatermark("ts", "10 minutes")
+        given = st.available(st.lines_then_exit(log, wait_ms=3_600_000), at=at)
+    return given
 
 
 def stm_line_order(spark, d):
@@ -100,14 +101,18 @@ def stm_session_log(spark, d):
     start = F.unix_micros(ts)
     rows = table(spark, d, "events").select(F.col("event_type").alias("spk"), "event_id", ts.alias("ts"), start.alias("s_us"), (start + F.round(F.col("value") * 1e6).cast("long")).alias("e_us"))
     source, state = shared_path(spark, "turns"), shared_path(spark, "stream-state")
-    # two files in order of time, each with its rows twice
+    # two halves in order of time, each with its rows twice, and each a batch of as many files as there are tasks
     middle = rows.agg(F.expr("percentile_approx(s_us, 0.5)").alias("m")).first().m or 0
-    for half in (F.col("s_us") <= middle, F.col("s_us") > middle):
+
+    def logged(half):
         own = rows.filter(half)
-        own.unionByName(own).coalesce(1).write.mode("append").parquet(source)
+        own.unionByName(own).write.mode("append").parquet(source)
+
     log = BatchLog(shared_path(spark, "streams"), StructType.fromDDL("spk string, s_us long, e_us long, n long"))
-    job = lambda most=None: st.session_job(source, rows.schema, log, state, ["spk"], iv.GAP_US, ["event_id"], most_batches=most)
+    job = lambda most=None: st.session_job(source, rows.schema, log, state, ["spk"], iv.GAP_US, ["event_id"], most_batches=most, files_each=None)
+    logged(F.col("s_us") <= middle)
     job(1)
+    logged(F.col("s_us") > middle)
     job()
     st.flush(source, rows.schema, {"spk": "", "event_id": -1})
     job()

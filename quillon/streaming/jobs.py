@@ -32,10 +32,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
 
 
-def available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Append everything the stream gives now to a table, once, and return the table."""
+def available(stream: DataFrame, mode: str = "append", at: tuple[str, str] | None = None) -> DataFrame:
+    """Append everything the stream gives now to a table, once, and return the table.
+
+    Run again with the same folders `at` (of the table and the state), it goes on with
+    what has come since.
+    """
     spark = stream.sparkSession
-    out, state = shared_path(spark, "streams"), shared_path(spark, "stream-state")
+    out, state = at or (shared_path(spark, "streams"), shared_path(spark, "stream-state"))
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -103,15 +107,16 @@ def closed_sessions(turns: DataFrame, keys: list[str], gap_us: int) -> DataFrame
     return own.agg(F.min("s_us").alias("s_us"), F.max("e_us").alias("e_us"), F.count("*").alias("n")).drop("session_window")
 
 
-def session_job(source: str, schema: StructType, log: BatchLog, state: str, keys: list[str], gap_us: int, ids: list[str], delay: str = LATE, most_batches: int | None = None) -> None:
-    """Work off the files that are there now: events once each, closed sessions to a log, one file a batch.
+def session_job(source: str, schema: StructType, log: BatchLog, state: str, keys: list[str], gap_us: int, ids: list[str], delay: str = LATE, most_batches: int | None = None, files_each: int | None = 1) -> None:
+    """Work off the files that are there now: events once each, closed sessions to a log, `files_each` files a batch (None: all that are there).
 
     ``source`` holds files of ``ts, s_us, e_us`` with the keys and ids.  Run again on
     the same `state` it goes on where it stopped, in the middle of a session too.
     With `most_batches` it ends after so many (what a crash leaves).
     """
     spark = SparkSession.active()
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    reader = spark.readStream.schema(schema)
+    events = (reader if files_each is None else reader.option("maxFilesPerTrigger", files_each)).parquet(source)
     found = closed_sessions(once(events, ids, delay), keys, gap_us)
     done = 0
 

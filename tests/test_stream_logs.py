@@ -78,3 +78,29 @@ def test_an_update_log_follows_its_keys_not_its_batches(spark, tmp_path, monkeyp
     stream = spark.readStream.schema("k long").option("maxFilesPerTrigger", 1).parquet(path)
     got = st.latest(stream.groupBy("k").agg(F.count("*").alias("n")), ["k"], "n").collect()
     assert sorted(map(tuple, got)) == [(0, 9), (1, 6)]
+
+
+def test_a_stream_goes_on_from_its_state_with_what_has_come_since(spark, tmp_path):
+    """The lines and exits of a run, logged in two parts of several files each, which are a batch each."""
+    path, at = str(tmp_path / "log"), (str(tmp_path / "out"), str(tmp_path / "state"))
+    logged = lambda rows, minute: spark.createDataFrame([(datetime(2024, 1, 1, 0, minute), *r) for r in rows], "ts timestamp, run string, line long, expected long").repartition(3, "line").write.mode("append").parquet(path)
+    logged([("a", 100, 5), ("a", 0, None), ("a", 1, None)], 0)
+    stream = lambda: st.lines_then_exit(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withWatermark("ts", "10 minutes"), wait_ms=3_600_000)
+    assert {r.line for r in st.available(stream(), at=at).collect()} == {0, 1}
+    logged([("a", i, None) for i in (2, 3, 4)], 1)
+    got = {r.line: (r.ends, r.after, r.complete) for r in st.available(stream(), at=at).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 100} and got[100] == (True, 5, True)
+
+
+def test_all_files_that_are_there_can_be_one_batch(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows = [(datetime(2024, 1, 1, 0, i), i * 60_000_000, i * 60_000_000 + 1_000_000, "x", i) for i in range(9)]
+    df = spark.createDataFrame(rows, "ts timestamp, s_us long, e_us long, spk string, id long").repartition(3, "id")
+    df.write.parquet(source)
+    log = BatchLog(str(tmp_path / "log"), StructType.fromDDL("spk string, s_us long, e_us long, n long"))
+    job = lambda: st.session_job(source, df.schema, log, str(tmp_path / "state"), ["spk"], 250_000, ["id"], files_each=None)
+    job()
+    assert len({p.name for p in (tmp_path / "state" / "sources" / "0").glob("[0-9]*")}) == 1
+    st.flush(source, df.schema, {"spk": "", "id": -1})
+    job()
+    assert sorted(r.s_us for r in log.rows(spark).collect()) == [r[1] for r in rows]
