@@ -46,8 +46,11 @@ def resampled(samples: DataFrame, key: str, source_rate: int | str, rate: int, b
     Samples meet in blocks of `block` positions, so a long recording is many tasks'
     work; a first pass gives, in one row a block, the recording's length and the
     sample that follows the block.  Samples without a key go.  `source_rate` is a
-    number, or the column that has each recording's own.
+    number, or the column that has each recording's own.  At one and the same number
+    samples stay as they are.
     """
+    if source_rate == rate:
+        return samples.filter(F.col(key).isNotNull()).select(key, F.col("pos").cast("long").alias("pos"), "x")
     own = F.lit(source_rate) if isinstance(source_rate, int) else F.col(source_rate)
     blocked = samples.select(key, "pos", "x", own.alias("rate_"), F.floor(F.col("pos") / block).alias("block_"))
     firsts = blocked.groupBy(key, "block_").agg(F.count("*").alias("n_"), F.min_by(F.struct("x"), "pos").alias("first_"), F.min("rate_").alias("rate_"))

@@ -169,3 +169,22 @@ def test_retries_take_each_chunks_own_piece_and_join_no_text(spark, tmp_path, mo
 
 def test_words_of_large_pairs_become_pythons_a_pair_at_a_time():
     assert cp._edits_of_many.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+
+
+def test_blocks_of_recordings_are_numbered_over_ranges_and_export_sorts_no_samples(spark, tmp_path, monkeypatch):
+    from quillon.operators import audio
+    from quillon.plans import model_queries as mq
+
+    monkeypatch.setattr(mq, "NUMBERED_IDS", 5)
+    rows = [(i * 3 % 101, [float(i % 101)] * 64, i % 3) for i in range(101)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.label, r.block, r.first) for r in mq._recording_blocks(spark, str(tmp_path)).select("label", "block", F.get("samples", F.lit(0)).alias("first")).collect())
+    want = []
+    for label in range(3):
+        want += [(label, n, r[1][0]) for n, r in enumerate(sorted(r for r in rows if r[2] == label))]
+    assert got == want
+    samples = spark.createDataFrame([("a", 0, 0.5), ("a", 1, 0.25), (None, 0, 1.0)], "rec string, pos long, x double")
+    same = audio.resampled(samples, "rec", 16, 16)
+    assert sorted(tuple(r) for r in same.collect()) == [("a", 0, 0.5), ("a", 1, 0.25)]
+    plan = same._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
